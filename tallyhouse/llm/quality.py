@@ -112,10 +112,14 @@ def fit_nbsvm(found: list[np.ndarray], label: np.ndarray, cost: float = 1.0, epo
     return QualityModel(weight.astype(np.float32), bias, *logistic_fit(margin, label))
 
 
-def train_quality_model(rows: DataFrame, id_col="doc_id", text_col="text", label_col="quality", most_rows: int = 4000, **how) -> QualityModel:
-    """Fit on at most ``most_rows`` labelled rows (the bound of the sample), whose indicators alone go to the driver."""
-    rows = rows.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull())
-    rows = sample_rows(rows, id_col, most_rows).select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label"), F.col(text_col).cast("string").alias("text"))
+def train_quality_model(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text", label_col="quality", most_rows: int = 4000, **how) -> QualityModel:
+    """Fit on documents of at most ``most_rows`` labels (the bound of the sample), whose indicators alone go to the driver.
+
+    Labels other than 0 and 1 and null ids are left out; of an id with several labels the highest holds.
+    """
+    labels = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull())
+    labels = sample_rows(labels, id_col, most_rows).groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).cast("int").alias("label"))
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(labels), "id").select("id", "label", "text")
 
     def run(batches):
         for batch in batches:
