@@ -6,8 +6,9 @@
    n - ceil(t*n) + 1 (its prefix).  Most texts have that many shingles of their own and
    are done.  To find this out only the part of each set below ``CUT`` of the hash
    space travels (all of it where that part is shorter than the prefix).
-3. The others are gathered into clusters that share prefix shingles, the clusters cut
-   into blocks, and each pair of blocks of a cluster is searched by DivideSkip: the
+3. The home of a shingle is the smallest document with it in its prefix.  Each of the
+   others visits the homes of its prefix shingles, which are few, as near copies share most
+   homes.  The visitors of a home are cut into blocks, and each pair of blocks is searched by DivideSkip: the
    longest inverted lists are set aside, the short ones merged, and those documents that
    reach the reduced threshold are looked up in the long lists by binary search.
 4. Links inside each pair of blocks leave as a spanning forest and counts.
@@ -232,21 +233,27 @@ class InvertedIndex:
 
 
 def _tile(num: int, den: int):
-    """Links within a block or between two blocks: (0, a, b) of a spanning forest and (1, id, links)."""
+    """Links within a block or between two blocks: (0, a, b) of a spanning forest and (1, id, links).
+
+    A pair that meets at several homes counts at the smallest.
+    """
 
     def run(table: pa.Table) -> pa.Table:
-        low, high = table["low"][0].as_py(), table["high"][0].as_py()
+        home, low, high = (table[c][0].as_py() for c in ("home", "low", "high"))
         block = table["block"].to_numpy()
         ids, weight = table["id"].to_numpy(), table["weight"].to_numpy()
         sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in table["set"]]
         ask = np.flatnonzero(block == low)
         of = ask if low == high else np.flatnonzero(block == high)
         index = InvertedIndex([sets[i] for i in of.tolist()])
+        lower = [frozenset(x for x in own if x < home) for own in table["homes"].to_pylist()]
         forest, links, edges = Forest(len(ids)), np.zeros(len(ids), np.int64), []
         for i in ask.tolist():
             found = of[index.search(sets[i], num, den)]
             if low == high:
                 found = found[found > i]
+            if lower[i] and len(found):
+                found = found[[lower[i].isdisjoint(lower[j]) for j in found.tolist()]]
             if len(found):
                 links[i] += weight[found].sum()
                 links[found] += weight[i]
@@ -291,20 +298,21 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     postings = written(known.groupBy("part").applyInArrow(_prefixes(num, den), "shingle long, id long, n long"), "postings")
     drop(spark, asks_uri)
 
-    least = postings.groupBy("shingle").agg(F.min("id").alias("b"), F.count("*").alias("c")).where("c > 1")
-    near = components(postings.join(least, "shingle").select(F.col("id").alias("a"), "b").where("a <> b"))
-    clusters = written(near.select(F.col("node").alias("id"), F.col("component").alias("cluster")).join(reps, "id"), "clusters")
-    total = clusters.agg(F.sum("n")).first()[0] or 0
+    least = postings.groupBy("shingle").agg(F.min("id").alias("home"), F.count("*").alias("c")).where("c > 1")
+    visits = written(postings.join(least, "shingle").select("id", "n", "home").distinct(), "visits")
+    total = visits.agg(F.sum("n")).first()[0] or 0
     block = min(max(total * 8 // partitions(spark), 64 << 10), 8 << 20)
-    blocks = clusters.groupBy("cluster").agg(F.ceil(F.sum("n") * 8 / F.lit(block)).alias("blocks"))
-    placed = clusters.join(blocks, "cluster").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
-    sets = only_ids(docs.where("id is not null"), clusters.select("id"), "left_semi").mapInArrow(_full(k), "id long, set binary")
+    blocks = visits.groupBy("home").agg(F.ceil(F.sum("n") * 8 / F.lit(block)).alias("blocks"))
+    homes = visits.groupBy("id").agg(F.collect_list("home").alias("homes"))
+    searched = written(homes.join(reps, "id").select("id", "weight", "homes"), "searched")
+    sets = only_ids(docs.where("id is not null"), searched.select("id"), "left_semi").mapInArrow(_full(k), "id long, set binary")
+    placed = visits.join(blocks, "home").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
     tiles = (
-        placed.select("id", "cluster", "weight", "block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
-        .select("id", "cluster", "weight", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
-        .join(sets, "id")
+        placed.select("id", "home", "block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
+        .select("id", "home", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
+        .join(searched.join(sets, "id"), "id")
     )
-    links = written(tiles.groupBy("cluster", "low", "high").applyInArrow(_tile(num, den), "kind int, a long, b long"), "links")
+    links = written(tiles.groupBy("home", "low", "high").applyInArrow(_tile(num, den), "kind int, a long, b long"), "links")
 
     joined = written(components(links.where("kind = 0").select("a", "b")), "joined")
     counts = links.where("kind = 1").groupBy(F.col("a").alias("node")).agg(F.sum("b").alias("links"))
