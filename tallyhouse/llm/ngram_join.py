@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+import secrets
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,6 +38,9 @@ CUT = np.uint64(int(0.35 * 2**64))
 HOLD = 1_500_000
 #: Ids up to which a key list may be broadcast (8 bytes each).
 BROADCAST_IDS = 1_000_000
+#: Documents of a buffer, so that two bytes number them; LAST stands for more than one.
+MOST_DOCS = 60_000
+LAST = 0xFFFF
 #: Weight of a probe against a merge step in the choice of how many lists count as long.
 MU = 0.05
 
@@ -71,15 +75,18 @@ def _pack(*arrays: np.ndarray) -> bytes:
     return b"".join([np.array([len(a) for a in arrays], np.int64).tobytes(), *(a.tobytes() for a in arrays)])
 
 
-def _unpack(blobs: pa.ChunkedArray, kinds: tuple) -> list[np.ndarray]:
-    parts: list[list[np.ndarray]] = [[] for _ in kinds]
+def _views(blobs: pa.ChunkedArray, kinds: tuple) -> Iterator[list[np.ndarray]]:
     for blob in blobs:
         view = blob.as_buffer()
-        sizes, at = np.frombuffer(view, np.int64, len(kinds)), 8 * len(kinds)
-        for part, kind, size in zip(parts, kinds, sizes.tolist()):
-            part.append(np.frombuffer(view, kind, size, at))
-            at += 8 * size
-    return [np.concatenate(p) if p else np.zeros(0, kind) for p, kind in zip(parts, kinds)]
+        sizes, at, found = np.frombuffer(view, np.int64, len(kinds)), 8 * len(kinds), []
+        for kind, size in zip(kinds, sizes.tolist()):
+            found.append(np.frombuffer(view, kind, size, at))
+            at += found[-1].nbytes
+        yield found
+
+
+def _joined(views: list, kinds: tuple) -> list[np.ndarray]:
+    return [np.concatenate(v) for v in zip(*views)] if views else [np.zeros(0, kind) for kind in kinds]
 
 
 def _split(key: np.ndarray, n: int, *arrays: np.ndarray) -> Iterator[tuple[int, list[np.ndarray]]]:
@@ -91,35 +98,38 @@ def _split(key: np.ndarray, n: int, *arrays: np.ndarray) -> Iterator[tuple[int,
         yield p, [a[edges[p] : edges[p + 1]] for a in arrays]
 
 
-def _bucket(ids: np.ndarray, n: int) -> np.ndarray:
-    return (mix(ids.astype(np.uint64)) % np.uint64(n)).astype(np.int64)
+def _bucket(keys: np.ndarray, n: int) -> np.ndarray:
+    """Place of documents by their keys; 1,024 neighbours of a buffer stay together."""
+    return (mix((keys >> 10).astype(np.uint64)) % np.uint64(n)).astype(np.int64)
 
 
-_DOC = (np.int64, np.int64, np.int64, np.int64, np.uint64)  # id, n, n below CUT; id and hash of a shared shingle
-_ENTRY = (np.uint64, np.int64)  # hash; id, or -1 for more than one
+#: A document's key is a random number of its buffer, then its number in the buffer.
+_DOC = (np.int64, np.int64, np.int64, np.int64, np.int64, np.uint64)  # key, id, n, n below CUT; key and hash of a shared shingle
+_ENTRY = (np.int64, np.uint64, np.uint16)  # key of the buffer; hash, number in the buffer
 
 
 def _asks(k: int, num: int, den: int, parts: int):
     """Per buffer of documents: (0, part, hashes with ids) and (1, bucket, documents with shingles known to be shared)."""
 
     def flush(held):
+        base = np.array([secrets.randbits(46) << 16])
         docs = np.array([(d, n, m) for d, n, m, _ in held], np.int64).reshape(-1, 3)
+        key = base + np.arange(len(docs))
         h = np.concatenate([s for *_, s in held])
-        owner = np.repeat(docs[:, 0], [len(s) for *_, s in held])
+        owner = np.repeat(np.arange(len(docs)), [len(s) for *_, s in held])
         order = np.argsort(h, kind="stable")
         h, owner = h[order], owner[order]
-        first = np.concatenate(([True], h[1:] != h[:-1])) if len(h) else np.zeros(0, bool)
-        size = np.diff(np.append(np.flatnonzero(first), len(h)))
+        lead = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
+        size = np.diff(np.append(lead, len(h)))
         many = np.repeat(size > 1, size)
-        lead = np.flatnonzero(first)
-        ask, who = h[lead], np.where(size > 1, -1, owner[lead])
-        rows = [(0, p, _pack(*x)) for p, x in _split((ask % np.uint64(parts)).astype(np.int64), parts, ask, who)]
-        own = dict(_split(_bucket(docs[:, 0], parts), parts, docs[:, 0], docs[:, 1], docs[:, 2]))
-        shared = dict(_split(_bucket(owner[many], parts), parts, owner[many], h[many]))
+        ask, who = h[lead], np.where(size > 1, LAST, owner[lead]).astype(np.uint16)
+        rows = [(0, p, _pack(base, *x)) for p, x in _split((ask % np.uint64(parts)).astype(np.int64), parts, ask, who)]
+        own = dict(_split(_bucket(key, parts), parts, key, *docs.T))
+        shared = dict(_split(_bucket(key[owner[many]], parts), parts, key[owner[many]], h[many]))
         none = [np.zeros(0, np.int64), np.zeros(0, np.uint64)]
         rows += [(1, p, _pack(*x, *shared.get(p, none))) for p, x in own.items()]
-        side, key, blob = zip(*rows)
-        return pa.RecordBatch.from_arrays([pa.array(side, pa.int32()), pa.array(key, pa.int32()), pa.array(blob, pa.binary())], names=["side", "part", "blob"])
+        side, part, blob = zip(*rows)
+        return pa.RecordBatch.from_arrays([pa.array(side, pa.int32()), pa.array(part, pa.int32()), pa.array(blob, pa.binary())], names=["side", "part", "blob"])
 
     def run(batches):
         held, size = [], 0
@@ -132,7 +142,7 @@ def _asks(k: int, num: int, den: int, parts: int):
                 keep = s[:below].copy() if below >= n - needed(n, num, den) + 1 else s.copy()
                 held.append((doc, n, below, keep))
                 size += len(keep) + 8
-                if size >= HOLD:
+                if size >= HOLD or len(held) >= MOST_DOCS:
                     yield flush(held)
                     held, size = [], 0
         if held:
@@ -145,14 +155,15 @@ def _answers(parts: int):
     """Shingles of one part of the hash space that occur in more than one document, sent to those documents."""
 
     def run(table: pa.Table) -> pa.Table:
-        h, owner = _unpack(table["blob"], _ENTRY)
+        views = [(h, np.where(who == LAST, -1, base + who.astype(np.int64))) for base, h, who in _views(table["blob"], _ENTRY)]
+        h, owner = _joined(views, (np.uint64, np.int64))
         order = np.argsort(h, kind="stable")
         h, owner = h[order], owner[order]
         lead = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1]))) if len(h) else np.zeros(0, np.int64)
         size = np.diff(np.append(lead, len(h)))
         told = np.repeat(size > 1, size) & (owner >= 0) if len(h) else np.zeros(0, bool)
         none = np.zeros(0, np.int64)
-        rows = [(p, _pack(none, none, none, *x)) for p, x in _split(_bucket(owner[told], parts), parts, owner[told], h[told])]
+        rows = [(p, _pack(none, none, none, none, *x)) for p, x in _split(_bucket(owner[told], parts), parts, owner[told], h[told])]
         return pa.table({"part": pa.array([r[0] for r in rows], pa.int32()), "blob": pa.array([r[1] for r in rows], pa.binary())})
 
     return run
@@ -162,9 +173,9 @@ def _prefixes(num: int, den: int):
     """Shared shingles in the prefix of each document that isn't done."""
 
     def run(table: pa.Table) -> pa.Table:
-        doc, n, below, who, h = _unpack(table["blob"], _DOC)
+        doc, ids, n, below, who, h = _joined(list(_views(table["blob"], _DOC)), _DOC)
         order = np.argsort(doc, kind="stable")
-        doc, n, below = doc[order], n[order], below[order]
+        doc, ids, n, below = doc[order], ids[order], n[order], below[order]
         late = h >= CUT
         order = np.lexsort((h, late, who))
         who, h, late = who[order], h[order], late[order]
@@ -177,7 +188,7 @@ def _prefixes(num: int, den: int):
         first0 = np.concatenate(([0], np.cumsum(shared0 + shared1)))[:-1]
         rank = np.arange(len(h)) - first0[at] if len(h) else np.zeros(0, np.int64)
         keep = np.where(late, rank - shared0[at] < take1[at], rank < take0[at]) if len(h) else np.zeros(0, bool)
-        return pa.table({"shingle": pa.array(h[keep].view(np.int64)), "id": pa.array(who[keep]), "n": pa.array(n[at[keep]])})
+        return pa.table({"shingle": pa.array(h[keep].view(np.int64)), "id": pa.array(ids[at[keep]]), "n": pa.array(n[at[keep]])})
 
     return run
 
@@ -301,7 +312,7 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     least = postings.groupBy("shingle").agg(F.min("id").alias("home"), F.count("*").alias("c")).where("c > 1")
     visits = written(postings.join(least, "shingle").select("id", "n", "home").distinct(), "visits")
     total = visits.agg(F.sum("n")).first()[0] or 0
-    block = min(max(total * 8 // partitions(spark), 64 << 10), 8 << 20)
+    block = min(max(total * 16 // partitions(spark), 64 << 10), 8 << 20)
     blocks = visits.groupBy("home").agg(F.ceil(F.sum("n") * 8 / F.lit(block)).alias("blocks"))
     homes = visits.groupBy("id").agg(F.collect_list("home").alias("homes"))
     searched = written(homes.join(reps, "id").select("id", "weight", "homes"), "searched")
