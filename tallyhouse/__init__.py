@@ -1,0 +1 @@
+"""Tallyhouse: counting anonymous poll votes on Spark, in batch and in streams."""
