@@ -1,4 +1,388 @@
-"""Registered queries and their SQL."""
+"""Registered queries of the vote domain, each with SQL for the same result."""
+
+from __future__ import annotations
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from .config import Config
+from .functions import identity
+from .functions.numeric import shard
+from .operators.admission import admit, status_counts, validate_polls
+from .operators.batching import batch_numbers, done_is_last
+from .operators.completion import completion, stale_counts
+from .operators.limits import issue_counts, issue_limit, newest_entries
+from .operators.progress import commit_prefix, deltas
+from .operators.report import labelled_counts, load_plan, mean_rate, percentiles, reconcile
+from .operators.settle import evictable, new_finals, outcomes
+from .operators.tally import poll_totals, snapshot, tally, workers
+from .plans.tables import SECRET, events, messages, polls, votes
+from .sources.messages import decode, encode_value, votes_of
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
+
+_VOTES = """v as (
+  select strftime(ts, '%Y-%m-%d') as poll_id, user_id::varchar as fingerprint, cast(json_extract_string(props, '$.k') as bigint) % 4 + 1 as option_id,
+    'w' || (event_id % 3)::varchar as worker_id, event_id as seq, ts from events
+), polls as (
+  select strftime(ts, '%Y-%m-%d') as id, min(date_trunc('day', ts))::timestamp + interval 20 hours as ends_at from events group by 1
+)"""
+_FIRST = "f as (select poll_id, fingerprint, arg_min(option_id, seq) as option_id from v group by 1, 2)"
+_TALLY = f"{_FIRST}, t as (select poll_id, option_id, count(*) as votes from f group by 1, 2)"
+_MESSAGES = """e as (
+  select poll_id, worker_id, max(seq) as seq from v group by 1, 2
+), m as (
+  select v.*, e.seq is not null and (v.worker_id <> 'w2' or substr(v.poll_id, 9, 2)::int % 2 = 0) as done from v left join e using (poll_id, worker_id, seq)
+)"""
+_WORKERS = "w as (select poll_id, count(distinct worker_id) as workers_seen, count(distinct case when done then worker_id end) as workers_done from m group by 1)"
+
+
+def query(sql: str, *parts: str):
+    """Registers a query with its SQL, behind the parts it builds on."""
+
+    def keep(f):
+        QUERIES[f.__name__] = f
+        SQL[f.__name__] = f"with {', '.join(parts)} {sql}" if parts else sql
+        return f
+
+    return keep
+
+
+@query("select * from t", _VOTES, _TALLY)
+def tally_first_wins(spark, sf_dir):
+    return tally(votes(spark, sf_dir)).withColumnRenamed("count", "votes")
+
+
+@query("select poll_id, count(distinct fingerprint) as unique_voters, (select sum(votes)::bigint from t where t.poll_id = v.poll_id) as total from v group by poll_id", _VOTES, _TALLY)
+def unique_voters(spark, sf_dir):
+    v = votes(spark, sf_dir)
+    return v.groupBy("poll_id").agg(F.count_distinct("fingerprint").alias("unique_voters")).join(poll_totals(v), "poll_id")
+
+
+@query("select poll_id, sum(votes)::bigint as total from t group by 1", _VOTES, _TALLY)
+def poll_totals_query(spark, sf_dir):
+    return poll_totals(votes(spark, sf_dir))
+
+
+@query(
+    """select poll_id, '[' || string_agg('{"option_id":' || option_id || ',"count":' || votes || '}', ',' order by option_id) || ']' as options, sum(votes)::bigint as total from t group by 1""",
+    _VOTES,
+    _TALLY,
+)
+def poll_results_nested(spark, sf_dir):
+    options = F.to_json(F.array_sort(F.collect_list(F.struct("option_id", "count"))))
+    return tally(votes(spark, sf_dir)).groupBy("poll_id").agg(options.alias("options"), F.sum("count").alias("total"))
+
+
+_STATUS = """a as (
+  select seq, poll_id, case when id is null then 404 when option_id not in (1, 2, 3) then 400 when ts >= ends_at then 403 else 202 end as status
+  from (select v.*, id, ends_at from (select * replace (case when seq % 50 = 7 then 'none' else poll_id end as poll_id) from v) v left join polls on id = poll_id)
+)"""
+
+
+def _requests(spark, sf_dir):
+    return votes(spark, sf_dir).withColumn("poll_id", F.when(F.col("seq") % 50 == 7, "none").otherwise(F.col("poll_id")))
+
+
+@query("select seq, poll_id, status from a", _VOTES, _STATUS)
+def admission_status(spark, sf_dir):
+    return admit(_requests(spark, sf_dir), polls(spark, sf_dir)).select("seq", "poll_id", "status")
+
+
+@query(
+    "select poll_id, count(*) filter (status = 202) as accepted, count(*) filter (status = 403) as forbidden, count(*) filter (status = 400) as bad, count(*) filter (status = 404) as unknown from a group by 1",
+    _VOTES,
+    _STATUS,
+)
+def admission_status_counts(spark, sf_dir):
+    return status_counts(admit(_requests(spark, sf_dir), polls(spark, sf_dir)), "poll_id")
+
+
+_ADDRESS = """x as (
+  select event_id, case event_id % 4 when 0 then ' 10.0.' || user_id % 256 || '.1 , 6.6.6.6' when 1 then '' end as xff,
+    case event_id % 4 when 1 then ' 8.8.' || user_id % 256 || '.8 ' end as real_ip,
+    case event_id % 4 when 2 then '9.9.' || user_id % 256 || '.9:1111' else 'pipe' end as remote,
+    case event_id % 4 when 0 then '10.0.' || user_id % 256 || '.1' when 1 then '8.8.' || user_id % 256 || '.8' when 2 then '9.9.' || user_id % 256 || '.9' else 'pipe' end as client_ip
+  from events
+)"""
+
+
+@query("select event_id, client_ip, sha256(client_ip) as fingerprint from x", _ADDRESS)
+def fingerprint_fallback(spark, sf_dir):
+    k, u = F.col("event_id") % 4, (F.col("user_id") % 256).cast("string")
+    rows = events(spark, sf_dir).select(
+        "event_id",
+        F.when(k == 0, F.concat(F.lit(" 10.0."), u, F.lit(".1 , 6.6.6.6"))).when(k == 1, "").alias("xff"),
+        F.when(k == 1, F.concat(F.lit(" 8.8."), u, F.lit(".8 "))).alias("real_ip"),
+        F.when(k == 2, F.concat(F.lit("9.9."), u, F.lit(".9:1111"))).otherwise("pipe").alias("remote"),
+    )
+    rows = rows.withColumn("client_ip", identity.client_ip(F.col("xff"), F.col("real_ip"), F.col("remote")))
+    return rows.select("event_id", "client_ip", identity.hash_ip(F.col("client_ip")).alias("fingerprint"))
+
+
+def _hmac_sql(message: str) -> str:
+    key = SECRET.ljust(64, b"\0")
+    inner, outer = (bytes(b ^ x for b in key).hex() for x in (0x36, 0x5C))
+    return f"sha256(unhex('{outer}') || unhex(sha256(unhex('{inner}') || {message})))"
+
+
+_SIGNED = f"c as (select seq, poll_id, fingerprint, fingerprint || '.' || {_hmac_sql("encode(poll_id) || unhex('00') || encode(fingerprint)")} as cookie from v)"
+
+
+@query("select seq, cookie from c", _VOTES, _SIGNED)
+def cookie_sign(spark, sf_dir):
+    return votes(spark, sf_dir).select("seq", identity.sign(SECRET, F.col("poll_id"), F.col("fingerprint")).alias("cookie"))
+
+
+@query("select seq, case when seq % 4 in (0, 3) then fingerprint end as raw from c", _VOTES, _SIGNED)
+def cookie_verify(spark, sf_dir):
+    """Every fourth cookie is for another poll, every fourth cut short, every fourth in upper case."""
+    v = votes(spark, sf_dir).withColumn("cookie", identity.sign(SECRET, F.col("poll_id"), F.col("fingerprint")))
+    k = F.col("seq") % 4
+    poll = F.when(k == 1, "other").otherwise(F.col("poll_id"))
+    cookie = F.when(k == 2, F.expr("left(cookie, length(cookie) - 1)")).when(k == 3, F.upper("cookie")).otherwise(F.col("cookie"))
+    return v.select("seq", identity.verify(SECRET, poll, cookie).alias("raw"))
+
+
+@query(
+    """select seq, row_number() over (partition by v.poll_id, user5 order by ts, seq) <= 20 or ts > ends_at + interval 10 minutes as issued
+    from (select *, fingerprint::bigint % 5 as user5 from v) v join polls on id = poll_id""",
+    _VOTES,
+)
+def issue_limit_query(spark, sf_dir):
+    rows = votes(spark, sf_dir).join(polls(spark, sf_dir).select(F.col("id").alias("poll_id"), "ends_at"), "poll_id")
+    rows = rows.withColumn("ip_hash", identity.hash_ip((F.col("fingerprint").cast("bigint") % 5).cast("string")))
+    return issue_limit(rows, 20).select("seq", "issued")
+
+
+@query("select poll_id, sha256((fingerprint::bigint % 5)::varchar) as ip_hash, count(*) as requests from v group by all", _VOTES)
+def issue_counts_query(spark, sf_dir):
+    return issue_counts(votes(spark, sf_dir).withColumn("ip_hash", identity.hash_ip((F.col("fingerprint").cast("bigint") % 5).cast("string"))))
+
+
+@query("select fingerprint as key, max(seq) as first_seen from v group by 1 order by 2 desc limit 100", _VOTES)
+def newest_limiter_entries(spark, sf_dir):
+    entries = votes(spark, sf_dir).groupBy(F.col("fingerprint").alias("key")).agg(F.max("seq").alias("first_seen"))
+    return newest_entries(entries, 100)
+
+
+@query(
+    "select poll_id, worker_id, batch, count(*) as votes, min(seq) as first_seq from (select *, (row_number() over (partition by poll_id, worker_id order by seq) - 1) // 10 as batch from v) group by 1, 2, 3",
+    _VOTES,
+)
+def batch_pack(spark, sf_dir):
+    return batch_numbers(votes(spark, sf_dir), 10).groupBy("poll_id", "worker_id", "batch").agg(F.count("*").alias("votes"), F.min("seq").alias("first_seq"))
+
+
+@query("select poll_id, worker_id, coalesce(max(case when done then seq end) = max(seq), true) as ok from m group by 1, 2", _VOTES, _MESSAGES)
+def done_is_last_query(spark, sf_dir):
+    return done_is_last(messages(spark, sf_dir))
+
+
+@query("select * from w", _VOTES, _MESSAGES, _WORKERS)
+def workers_seen_done(spark, sf_dir):
+    return workers(messages(spark, sf_dir))
+
+
+_NOW = "timestamp '2024-01-15 20:00:10'"
+_STALE = "n as (select count(*) as total from m), s as (select poll_id, total - 1 - min(seq) - (count(*) - 1) as code, total - 1 - max(seq) as spec from m, n group by poll_id, total)"
+
+
+@query("select poll_id, code as stale from s", _VOTES, _MESSAGES, _STALE)
+def stale_code(spark, sf_dir):
+    return stale_counts(messages(spark, sf_dir), "code")
+
+
+@query("select poll_id, spec as stale from s", _VOTES, _MESSAGES, _STALE)
+def stale_spec(spark, sf_dir):
+    return stale_counts(messages(spark, sf_dir), "spec")
+
+
+_REASON = f"""r as (
+  select poll_id, workers_seen, workers_done, code as stale, case when {_NOW} < ends_at + interval 1 second then null when {_NOW} >= ends_at + interval 10 days then 'hard_timeout'
+    when not q and code >= 300 then 'stale' when q then 'quorum' end as reason
+  from (select *, workers_seen > 0 and workers_done >= greatest((workers_seen * 90 + 99) // 100, 1) as q from w join s using (poll_id) join polls on id = poll_id)
+)"""
+
+
+def _completion(spark, sf_dir):
+    ends = polls(spark, sf_dir).select(F.col("id").alias("poll_id"), "ends_at")
+    return completion(messages(spark, sf_dir), ends, F.expr("timestamp_ntz '2024-01-15 20:00:10'"), Config(stale_messages=300, hard_timeout=864000.0))
+
+
+@query("select * from r", _VOTES, _MESSAGES, _WORKERS, _STALE, _REASON)
+def completion_reason(spark, sf_dir):
+    return _completion(spark, sf_dir)
+
+
+_PARTITIONED = "p as (select poll_id, (seq % 2)::int as part, seq as off, seq % 97 = 0 as malformed from v), settled as (select distinct poll_id from v where substr(poll_id, 9, 2)::int <= 12)"
+
+
+@query(
+    """select part as partition, max(off) as committed from (
+      select part, off, bool_and(malformed or poll_id in (select poll_id from settled)) over (partition by part order by off rows unbounded preceding) as ok from p) where ok group by 1""",
+    _VOTES,
+    _PARTITIONED,
+)
+def commit_prefix_query(spark, sf_dir):
+    v = votes(spark, sf_dir)
+    rows = v.select("poll_id", (F.col("seq") % 2).cast("int").alias("partition"), F.col("seq").alias("offset"), (F.col("seq") % 97 == 0).alias("malformed"))
+    settled = v.where(F.substring("poll_id", 9, 2).cast("int") <= 12).select("poll_id")
+    return commit_prefix(rows, settled)
+
+
+_SETTLE = "fin as (select poll_id from r where reason is not null union all values ('none')), comp as (select id as poll_id from polls where substr(id, 9, 2)::int % 3 = 0)"
+
+
+def _settling(spark, sf_dir):
+    finals = _completion(spark, sf_dir).where("reason is not null").select("poll_id").unionByName(spark.createDataFrame([("none",)], "poll_id string"))
+    done = polls(spark, sf_dir).select(F.col("id").alias("poll_id")).where(F.substring("poll_id", 9, 2).cast("int") % 3 == 0)
+    return finals, done
+
+
+@query(
+    "select poll_id, case when poll_id not in (select id from polls) then 'not_found' when poll_id in (select poll_id from comp) then 'already_completed' else 'written' end as outcome from fin",
+    _VOTES, _MESSAGES, _WORKERS, _STALE, _REASON, _SETTLE,
+)
+def settle_outcome(spark, sf_dir):
+    finals, done = _settling(spark, sf_dir)
+    return outcomes(finals, polls(spark, sf_dir), done)
+
+
+@query("select poll_id from fin where poll_id not in (select poll_id from comp)", _VOTES, _MESSAGES, _WORKERS, _STALE, _REASON, _SETTLE)
+def new_finals_query(spark, sf_dir):
+    return new_finals(*_settling(spark, sf_dir))
+
+
+@query("select distinct poll_id from fin where poll_id not in (select poll_id from v where seq >= 5000)", _VOTES, _MESSAGES, _WORKERS, _STALE, _REASON, _SETTLE)
+def evict_candidates(spark, sf_dir):
+    return evictable(_settling(spark, sf_dir)[0], votes(spark, sf_dir).where("seq >= 5000"))
+
+
+@query(
+    "select poll_id, total, workers_seen, workers_done, substr(poll_id, 9, 2)::int % 3 = 0 as flushed from w join (select poll_id, sum(votes)::bigint as total from t group by 1) using (poll_id)",
+    _VOTES, _TALLY, _MESSAGES, _WORKERS,
+)
+def active_polls(spark, sf_dir):
+    m = messages(spark, sf_dir)
+    return snapshot(m, m, _settling(spark, sf_dir)[1])
+
+
+@query(
+    """select poll_id, accepted, total as counted, case when total is null then 'NO RESULT' when total < accepted then 'LOST ' || (accepted - total) when total > accepted then '+' || (total - accepted) || ' unconfirmed' else 'OK' end as verdict,
+      total is null or total < accepted as failed
+    from (select poll_id, count(*) filter (status = 202) as accepted from a group by 1) left join (select poll_id, sum(votes)::bigint as total from t group by 1) using (poll_id)""",
+    _VOTES, _STATUS, _TALLY,
+)
+def reconcile_accepted(spark, sf_dir):
+    accepted = status_counts(admit(_requests(spark, sf_dir), polls(spark, sf_dir)), "poll_id").select("poll_id", "accepted")
+    return reconcile(accepted, poll_totals(votes(spark, sf_dir)))
+
+
+@query(
+    """select event_type, n, s[(floor(0.5::double * (n - 1)))::bigint + 1] as p50, s[(floor(0.9::double * (n - 1)))::bigint + 1] as p90, s[(floor(0.99::double * (n - 1)))::bigint + 1] as p99, s[n] as highest
+    from (select event_type, count(value) as n, list_sort(list(value) filter (value is not null)) as s from events group by 1)"""
+)
+def latency_percentiles(spark, sf_dir):
+    return percentiles(events(spark, sf_dir), "event_type", "value", {"p50": 0.5, "p90": 0.9, "p99": 0.99})
+
+
+@query("select strftime(date_trunc('hour', ts), '%Y-%m-%d %H') as hour, count(*) as n, sum(count(*)) over (order by date_trunc('hour', ts))::bigint as running from events group by date_trunc('hour', ts)")
+def throughput_per_window(spark, sf_dir):
+    rows = events(spark, sf_dir).groupBy(F.date_format("ts", "yyyy-MM-dd HH").alias("hour")).agg(F.count("*").alias("n"))
+    return rows.withColumn("running", F.sum("n").over(Window.orderBy("hour")))
+
+
+@query("select event_type, strftime(ts, '%Y-%m-%d') as day, count(*) as delta from events group by 1, 2")
+def running_deltas(spark, sf_dir):
+    """Running totals by day taken apart again."""
+    n = events(spark, sf_dir).groupBy("event_type", F.date_format("ts", "yyyy-MM-dd").alias("day")).agg(F.count("*").alias("n"))
+    running = n.withColumn("total", F.sum("n").over(Window.partitionBy("event_type").orderBy("day")))
+    return deltas(running, "event_type", "day", "total").select("event_type", "day", "delta")
+
+
+@query("select count(*) as n, round(count(*) / ((epoch_us(max(ts)) - epoch_us(min(ts))) / 1e6), 9) as rate from events")
+def mean_rate_query(spark, sf_dir):
+    return mean_rate(events(spark, sf_dir), "ts").select("n", F.round("rate", 9).alias("rate"))
+
+
+@query(
+    "select tick, want, want - lag(want, 1, 0) over (order by tick) as launch from (select range as tick, floor(40000 * (3 * x * x - 2 * x * x * x))::bigint as want from (select range, range / 100.0::double as x from range(101)))"
+)
+def load_profile(spark, sf_dir):
+    return load_plan(spark, 40_000, 100)
+
+
+@query(
+    """select * from (values (1, 'question is required', null::bigint, null::varchar), (2, 'at least two options are required', null, null), (3, 'option 1 is empty', null, null), (4, 'ends_at is in the past', null, null),
+      (5, 'duration_seconds or ends_at is required', null, null), (6, null, 2, '2026-09-10 08:01:00'), (7, null, 3, '2026-09-10 09:00:00'), (8, 'duration_seconds or ends_at is required', null, null)) t(n, error, options, ends_at)"""
+)
+def create_poll_validate(spark, sf_dir):
+    now = "timestamp_ntz '2026-09-10 08:00:00'"
+    rows = spark.sql(
+        f"""select * from values (1, '', array('a', 'b'), 60, cast(null as timestamp_ntz)), (2, 'q', array('a'), 60, null), (3, 'q', array('a', '', ''), 60, null), (4, 'q', array('a', 'b'), 60, {now}),
+        (5, 'q', array('a', 'b'), 0, null), (6, 'q', array('a', 'b'), 60, null), (7, 'q', array('a', 'a', 'b'), 5, {now} + interval 1 hour), (8, 'q', array('a', 'b'), null, null) t(n, question, options, duration_seconds, ends_at)"""
+    )
+    return validate_polls(rows, F.expr(now)).select("n", "error", F.when(F.col("error").isNull(), F.size("options")).cast("bigint").alias("options"), F.date_format("ends_at", "yyyy-MM-dd HH:mm:ss").alias("ends_at"))
+
+
+_BODIES = [
+    '{"poll_id":"p1","worker_id":"w1","done":false,"votes":[{"fingerprint":"fp1","option_id":1}]}',
+    "{not json",
+    "",
+    '{"poll_id":"p1","worker_id":"w1","votes":[{"fingerprint":"fp1","option_id":"x"}]}',
+    '{"poll_id":"p1","done":true,"more":1}',
+    '{"worker_id":"w1"}',
+    "[]",
+    '{"poll_id":"p2","votes":[{"fingerprint":"a","option_id":2},{"fingerprint":"b","option_id":3000000000}]}',
+]
+
+
+@query(
+    """select * from (values (0, false, 'p1', 'w1', false, 1), (1, true, '', '', false, 0), (2, true, '', '', false, 0), (3, true, 'p1', 'w1', false, -1), (4, false, 'p1', '', true, 0), (5, true, '', 'w1', false, 0),
+      (6, true, '', '', false, 0), (7, false, 'p2', '', false, 2)) t("offset", malformed, poll_id, worker_id, done, votes)"""
+)
+def message_decode(spark, sf_dir):
+    rows = spark.createDataFrame([(i, b.encode()) for i, b in enumerate(_BODIES)], "offset int, value binary")
+    bad_votes = F.when(F.col("offset") == 3, -1).otherwise(F.size("votes"))
+    return decode(rows).select("offset", "malformed", "poll_id", "worker_id", "done", bad_votes.alias("votes"))
+
+
+@query("select * from t", _VOTES, _TALLY)
+def round_trip_tally(spark, sf_dir):
+    """Votes packed into messages, encoded, decoded and counted."""
+    v = votes(spark, sf_dir)
+    one = v.select(F.col("seq").alias("offset"), "poll_id", "worker_id", F.lit(False).alias("done"), F.array(F.struct("fingerprint", "option_id")).alias("votes"))
+    sent = one.select("offset", encode_value().alias("value"))
+    return tally(votes_of(decode(sent))).withColumnRenamed("count", "votes")
+
+
+@query("select id as poll_id, o as option_id, 'option ' || o as text, coalesce(votes, 0)::bigint as votes from polls cross join (values (1), (2), (3)) x(o) left join t on t.poll_id = id and t.option_id = o", _VOTES, _TALLY)
+def option_labels(spark, sf_dir):
+    counts = labelled_counts(polls(spark, sf_dir), tally(votes(spark, sf_dir)))
+    return counts.withColumnRenamed("count", "votes").withColumn("option_id", F.col("option_id").cast("int"))
+
+
+@query("select poll_id, min(seq) as first_seen, max(seq) as last_seen from v group by 1", _VOTES)
+def first_last_seen(spark, sf_dir):
+    return votes(spark, sf_dir).groupBy("poll_id").agg(F.min("seq").alias("first_seen"), F.max("seq").alias("last_seen"))
+
+
+@query("select strftime(max(ends_at), '%Y-%m-%d %H:%M') as last_end from polls", _VOTES)
+def last_end(spark, sf_dir):
+    return polls(spark, sf_dir).agg(F.date_format(F.max("ends_at"), "yyyy-MM-dd HH:mm").alias("last_end"))
+
+
+@query("select f.poll_id, v.seq, v.fingerprint from v join (select poll_id, fingerprint, min(seq) as seq from v group by 1, 2) f using (poll_id, fingerprint) where v.seq > f.seq", _VOTES)
+def repeated_votes(spark, sf_dir):
+    """Votes that don't count because their fingerprint has voted."""
+    v = votes(spark, sf_dir)
+    first = v.groupBy("poll_id", "fingerprint").agg(F.min("seq").alias("_first"))
+    return v.join(first, ["poll_id", "fingerprint"]).where("seq > _first").select("poll_id", "seq", "fingerprint")
+
+
+@query("select * from (values ('', 5::bigint), ('a', 44), ('foobar', 40)) t(key, shard)")
+def shard_of(spark, sf_dir):
+    rows = spark.createDataFrame([("",), ("a",), ("foobar",)], "key string")
+    return rows.select("key", shard(F.col("key"), 64).alias("shard"))

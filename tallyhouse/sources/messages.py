@@ -25,10 +25,15 @@ def read_json_folder(spark: SparkSession, path: str, streaming: bool = False, pe
     return reader.json(path)
 
 
-def encode(batches: DataFrame) -> DataFrame:
-    """(key, value) of batches; empty votes are left out, as are nulls."""
+def encode_value() -> Column:
+    """JSON of a batch; empty votes are left out, as are nulls."""
     body = F.struct("poll_id", "worker_id", "done", F.when(F.size("votes") > 0, F.col("votes")).alias("votes"))
-    return batches.select(F.col("poll_id").cast("binary").alias("key"), F.to_json(body).cast("binary").alias("value"))
+    return F.to_json(body).cast("binary")
+
+
+def encode(batches: DataFrame) -> DataFrame:
+    """(key, value) of batches."""
+    return batches.select(F.col("poll_id").cast("binary").alias("key"), encode_value().alias("value"))
 
 
 def write_kafka(batches: DataFrame, servers: str, topic: str = "votes") -> None:
