@@ -11,6 +11,7 @@ from .decontaminate import contamination_digest, find_benchmark
 from .embedding_dedup import embedding_near_duplicates
 from .html_text import extract_main_text
 from .language_id import predict_language, train_language_model
+from .line_dedup import dedup_lines
 from .mixing import mix_sources
 from .ngram_join import ngram_jaccard_join
 from .quality import score_quality, train_quality_model
@@ -57,6 +58,10 @@ def op3_mixing(spark, sf_dir):
     return mix_sources(table(spark, sf_dir, "documents"))
 
 
+def op4_line_dedup(spark, sf_dir):
+    return dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op5_embedding_dedup(spark, sf_dir):
     return embedding_near_duplicates(table(spark, sf_dir, "embeddings"))
 
@@ -126,6 +131,25 @@ select doc_id, size, source_size, target,
 from p
 """
 
+OP4_SQL = r"""
+with l as (
+  select doc_id, line, body, list_filter(regexp_split_to_array(lower(body), '[\x20\x09-\x0D]+'), lambda x: x <> '') as w
+  from (select doc_id, unnest(string_split(text, chr(10))) as body, generate_subscripts(string_split(text, chr(10)), 1) - 1 as line from documents)
+), t as (
+  select doc_id, line, list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i : i + 4], ' '))) as t from l where len(w) >= 5
+), s as (
+  select list_sort(t) as t, min({'doc_id': doc_id, 'line': line}) as f from t group by 1
+), p as (
+  select f, len(t) as n, unnest(t) as token from s
+), near as (
+  select x.f from p x join p y on x.token = y.token and y.f < x.f group by x.f, y.f, x.n, y.n having count(*) * 100 >= 80 * (x.n + y.n - count(*))
+), gone as (
+  select doc_id, line from t where {'doc_id': doc_id, 'line': line} not in (select f from s) union select f.doc_id, f.line from near
+)
+select doc_id, coalesce(string_agg(body, chr(10) order by l.line) filter (gone.line is null), '') as text, count(*)::bigint as n_lines, count(gone.line)::bigint as n_removed
+from l left join gone using (doc_id, line) group by doc_id
+"""
+
 OP10_SQL = r"""
 with c as (
   select page_id, page_id % 365 as fetched, url, rtrim(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?([^/:?#@]+)', 1)), '.') as host from pages
@@ -152,5 +176,5 @@ select c.page_id, c.fetched, coalesce(n, 0)::bigint as n_active, coalesce(n, 0)
 from c left join m using (page_id)
 """
 
-QUERIES = {f.__name__: f for f in (op1_ngram_join, op2_html_text, op3_mixing, op5_embedding_dedup, op6_language_id, op7_decontamination, op8_quality, op9_warc, op10_url_filter)}
-SQL = {"op3_mixing": OP3_SQL, "op10_url_filter": OP10_SQL}
+QUERIES = {f.__name__: f for f in (op1_ngram_join, op2_html_text, op3_mixing, op4_line_dedup, op5_embedding_dedup, op6_language_id, op7_decontamination, op8_quality, op9_warc, op10_url_filter)}
+SQL = {"op4_line_dedup": OP4_SQL, "op3_mixing": OP3_SQL, "op10_url_filter": OP10_SQL}
