@@ -20,6 +20,8 @@ from .scratch import drop, written, written_at
 
 #: Buckets of word counts: the counts are one array of so many numbers, whatever the input.
 BUCKETS = 1 << 16
+#: Removed lines up to which their list may be broadcast (8 bytes each); beyond, texts are shuffled by id.
+BROADCAST_LINES = 2_000_000
 _HASH = (1 << 48) - 1
 
 
@@ -84,7 +86,7 @@ def similar_lines(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, le
     copies = written(lines.select("id", "line").join(first.select("id", "line"), ["id", "line"], "left_anti"), "copies")
     drop(docs.sparkSession, lines_uri)
 
-    postings = first.select("id", "line", "n", F.posexplode("prefix").alias("pos", "token"))
+    postings = first.select("id", "line", "n", F.posexplode("prefix").alias("pos", "token")).repartition("token")
     x, y = postings.alias("x"), postings.alias("y")
     same = F.col("x.token") == F.col("y.token")
     later = x.join(y, same & _earlier("y", "x") & _may_reach("x", "y", num, den), "left_semi").select("x.*")
@@ -118,7 +120,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     key = F.col(id_col).cast("long")
     gone = similar_lines(docs.select(key.alias("id"), F.col(text_col).cast("string").alias("text")).where("id is not null"), k, num, den, least_words)
     gone = written(gone.groupBy(F.col("id").alias("_id")).agg(F.sort_array(F.collect_set("line")).alias("_gone")), "gone")
-    rows = docs.join(gone, key == F.col("_id"), "left")
+    few = (gone.agg(F.sum(F.size("_gone") + 2)).first()[0] or 0) <= BROADCAST_LINES
+    rows = docs.join(F.broadcast(gone) if few else gone, key == F.col("_id"), "left")
     lines = F.split(F.col(text_col), "\n")
     kept = F.filter(lines, lambda line, i: ~F.array_contains("_gone", i))
     text = F.when(F.col("_gone").isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n"))

@@ -7,6 +7,7 @@ The folder is ``spark.checkpoint.dir`` of the session.  Only where that is unset
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 
@@ -27,7 +28,12 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def drop(spark: SparkSession, uri: str) -> None:
-    """Delete a folder by Hadoop's file system, so any store works."""
+    """Delete a folder by Hadoop's file system, so any store works.
+
+    Shuffle files go when the driver collects the plans that made them, so it is asked to.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
     jvm = spark.sparkContext._jvm
     path = jvm.org.apache.hadoop.fs.Path(uri)
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
