@@ -131,6 +131,7 @@ LABELLED = np.array(
         (1, 0.0, 80, 0.05, 30, 0.2, 0, 1, 1), (30, 0.2, 1, 0.0, 12, 0.0, 0, 1, 1), (12, 0.0, 30, 0.2, 4, 1.0, 0, 1, 1), (5, 0.4, 12, 0.0, 50, 0.0, 0, 1, 1),
         (4, 1.0, 12, 0.0, 50, 0.0, 0, 1, 1), (150, 0.02, 5, 0.4, 9, 0.0, 0, 1, 1), (9, 0.0, 150, 0.02, 10, 0.0, 0, 1, 1), (2, 0.0, 9, 0.0, 2, 0.0, 0, 1, 1),
         (2, 0.0, 2, 0.0, 40, 0.0, 0, 1, 1), (400, 0.0, 2, 0.0, 0, 0.0, 0, 1, 1), (6, 0.0, 1, 1.0, 1, 0.0, 0, 1, 1), (20, 0.5, 70, 0.0, 6, 0.0, 0, 1, 1),
+        (3, 0.0, 2, 1.0, 45, 0.0, 0, 1, 1), (2, 0.0, 1, 1.0, 30, 0.0, 0, 1, 1), (1, 0.0, 4, 1.0, 1, 0.0, 0, 1, 1), (4, 0.0, 3, 1.0, 12, 0.0, 0, 1, 1), (1, 0.0, 1, 1.0, 0, 0.0, 0, 1, 1),
         # things inside an article or main element that are not its text: share rows, adverts, comments, forms
         (4, 1.0, 90, 0.0, 4, 1.0, 1, 1, 0), (12, 0.0, 90, 0.0, 70, 0.0, 1, 1, 0), (55, 0.0, 30, 0.0, 40, 0.0, 1, 1, 0), (140, 0.0, 55, 0.0, 30, 0.1, 1, 1, 0),
         (3, 0.0, 20, 0.0, 1, 0.0, 1, 1, 0), (7, 0.6, 1, 0.0, 3, 1.0, 1, 1, 0), (25, 0.0, 200, 0.0, 25, 0.0, 1, 1, 0),

@@ -251,6 +251,10 @@ def _tile(num: int, den: int):
 
     def run(table: pa.Table) -> pa.Table:
         home, low, high = (table[c][0].as_py() for c in ("home", "low", "high"))
+        # rows that repeat an id with the same set are one
+        once = {(i, x.as_buffer().to_pybytes()): at for at, (i, x) in enumerate(zip(table["id"].to_pylist(), table["set"]))}
+        if len(once) < len(table):
+            table = table.take(pa.array(sorted(once.values())))
         block = table["block"].to_numpy()
         ids, weight = table["id"].to_numpy(), table["weight"].to_numpy()
         sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in table["set"]]
@@ -262,7 +266,7 @@ def _tile(num: int, den: int):
         for i in ask.tolist():
             found = of[index.search(sets[i], num, den)]
             if low == high:
-                found = found[found > i]
+                found = found[(found > i) & (ids[found] != ids[i])]
             if lower[i] and len(found):
                 found = found[[lower[i].isdisjoint(lower[j]) for j in found.tolist()]]
             if len(found):
@@ -289,8 +293,8 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     Two rows link when den * |intersection| >= num * |union| of their sets of ``k``-word
     shingles.  Texts without words have an empty set, no link, and are their own component;
     a null text counts as empty.  Rows with a null id keep n_shingles, have null n_links and
-    component_id and link with nothing.  Rows that repeat an id are one node: its links are
-    those of all its rows.  Other columns, whatever their names, are ignored.
+    component_id and link with nothing.  Rows that repeat an id are one node: it has the
+    links of all its rows, and n_links adds up those of its different texts.  Other columns, whatever their names, are ignored.
     """
     spark = docs.sparkSession
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
