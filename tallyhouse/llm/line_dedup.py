@@ -22,6 +22,8 @@ from .scratch import drop, written, written_at
 BUCKETS = 1 << 16
 #: Removed lines up to which their list may be broadcast (8 bytes each); beyond, texts are shuffled by id.
 BROADCAST_LINES = 2_000_000
+#: Tokens of several lines up to which their set may be broadcast (8 bytes each); beyond, postings are shuffled.
+BROADCAST_TOKENS = 3_000_000
 _HASH = (1 << 48) - 1
 
 
@@ -86,7 +88,12 @@ def similar_lines(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, le
     copies = written(lines.select("id", "line").join(first.select("id", "line"), ["id", "line"], "left_anti"), "copies")
     drop(docs.sparkSession, lines_uri)
 
-    postings = first.select("id", "line", "n", F.posexplode("prefix").alias("pos", "token")).repartition("token")
+    # most prefix tokens occur once: only those of two lines or more are joined
+    held = first.select(F.explode("prefix").alias("token")).groupBy("token").agg(F.count("*").alias("c")).where("c > 1")
+    held = written(held.select("token"), "held")
+    postings = first.select("id", "line", "n", F.posexplode("prefix").alias("pos", "token"))
+    postings = written(postings.join(F.broadcast(held) if held.count() <= BROADCAST_TOKENS else held, "token", "left_semi"), "postings")
+    drop(docs.sparkSession, first_uri)
     x, y = postings.alias("x"), postings.alias("y")
     same = F.col("x.token") == F.col("y.token")
     later = x.join(y, same & _earlier("y", "x") & _may_reach("x", "y", num, den), "left_semi").select("x.*")
@@ -94,7 +101,6 @@ def similar_lines(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, le
     # partners of those: postings of the tokens that are left, before one of them
     some = later.select("token").distinct()
     partner = written(postings.join(some, "token", "left_semi"), "partner")
-    drop(docs.sparkSession, first_uri)
     wanted = written(partner.select("id", "line").distinct(), "wanted")
     texts = only_ids(docs.where("id is not null"), wanted.select("id").distinct(), "left_semi")
     again = texts.select("id", F.posexplode(line_words(F.col("text"))).alias("line", "w")).where(F.size("w") >= max(k, least_words))
