@@ -24,6 +24,8 @@ BUCKETS = 1 << 16
 BROADCAST_LINES = 2_000_000
 #: Tokens of several lines up to which their set may be broadcast (8 bytes each); beyond, postings are shuffled.
 BROADCAST_TOKENS = 3_000_000
+#: Lines to compare in full up to which their list may be broadcast (16 bytes each).
+BROADCAST_WANTED = 1_000_000
 _HASH = (1 << 48) - 1
 
 
@@ -104,7 +106,8 @@ def similar_lines(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, le
     wanted = written(partner.select("id", "line").distinct(), "wanted")
     texts = only_ids(docs.where("id is not null"), wanted.select("id").distinct(), "left_semi")
     again = texts.select("id", F.posexplode(line_words(F.col("text"))).alias("line", "w")).where(F.size("w") >= max(k, least_words))
-    sets = again.join(wanted, ["id", "line"], "left_semi").select("id", "line", tokens(F.col("w"), level, k).alias("t")).dropDuplicates(["id", "line"])
+    few = wanted.count() <= BROADCAST_WANTED
+    sets = again.join(F.broadcast(wanted) if few else wanted, ["id", "line"], "left_semi").select("id", "line", tokens(F.col("w"), level, k).alias("t")).dropDuplicates(["id", "line"])
     sets = written(sets, "sets")
     x, y = later.join(sets, ["id", "line"]).alias("x"), partner.join(sets, ["id", "line"]).alias("y")
     both = F.size(F.array_intersect("x.t", "y.t"))
