@@ -29,9 +29,10 @@ from .components import Forest, components
 from .scratch import partitions, written
 
 #: Vectors of a block, about; a task multiplies two blocks.
-BLOCK = 2048
-#: Pivots for cells: a sample of this many vectors at most.
-PIVOTS = 64
+BLOCK = 4096
+#: Pivots for cells, at most.  More than one pays only where angles between clusters are far above
+#: twice that of the threshold; else every vector visits every cell.
+PIVOTS = 1
 _SLACK = 1e-9
 
 
@@ -176,7 +177,7 @@ def embedding_near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector
         dealt = own.mapInArrow(_cells(pivots, width, least), "id long, weight long, vector array<double>, cell int, own boolean")
         dealt = written(dealt.withColumn("vector", F.col("vector").cast("array<double>")), "dealt")
         homes = dealt.where("own").select("id", F.col("cell").alias("home"))
-        sizes = dealt.groupBy("cell").agg(F.ceil(F.count("*") / F.lit(min(BLOCK, max(256, count // (2 * partitions(spark)))))).alias("blocks"))
+        sizes = dealt.groupBy("cell").agg(F.ceil(F.count("*") / F.lit(min(BLOCK, max(256, count // partitions(spark))))).alias("blocks"))
         placed = dealt.join(homes, "id").join(sizes, "cell").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
         tiles = placed.select(
             "id", "weight", "vector", "cell", "own", "home", "block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other")
