@@ -1,22 +1,29 @@
-"""Line dedup by an exact set-similarity join, in DataFrame operations alone.
+"""Line dedup by an exact set-similarity join.
 
 A line's tokens are its distinct shingles of ``k`` words, ordered by rarity: by the count of the
 rarest of their words (words are counted in hashed buckets over the whole table), then by
 hash.  Two lines with Jaccard similarity num/den share a token in their prefixes, at places
-from which the overlap can still be reached (prefix, positional and length filters).
+from which the overlap can still be reached (prefix, positional and length filters), and the
+parity bitmaps of their sets differ in few bits.
 
 Whether a line goes depends only on some earlier line being similar, so candidates are found by
 semi joins: their output is at most one row for each posting, however many copies a line
 has.  Equal token sets are one line from the start.
+
+Words are counted and tokens made in numpy: as DataFrame functions they took more CPU time than
+the whole operator may.  All that follows is joins and aggregations.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .ngram_join import only_ids
 from .scratch import drop, written, written_at
+from .textkit import NOT_BLANK, mix, pieces, shingles, string_parts, word_hashes, words
 
 #: Buckets of word counts: the counts are one array of so many numbers, whatever the input.
 BUCKETS = 1 << 16
@@ -24,43 +31,93 @@ BUCKETS = 1 << 16
 BROADCAST_LINES = 2_000_000
 #: Tokens of several lines up to which their set may be broadcast (8 bytes each); beyond, postings are shuffled.
 BROADCAST_TOKENS = 3_000_000
-#: Lines to compare in full up to which their list may be broadcast (16 bytes each).
+#: Lines up to which a list of them may be broadcast (16 to 24 bytes each).
 BROADCAST_WANTED = 1_000_000
-_HASH = (1 << 48) - 1
-
-
-def line_words(text: Column) -> Column:
-    """Lines of a text, each as the hashes of its lower-cased words."""
-    lines = F.split(F.translate(F.lower(text), "\t\x0b\x0c\r", "    "), "\n")
-    return F.transform(lines, lambda line: F.transform(F.filter(F.split(line, " "), lambda w: w != ""), lambda w: F.xxhash64(w)))
-
-
-def rarity(words: DataFrame) -> Column:
-    """Array of a number for each bucket that grows with the count of its words, under 2**15."""
-    counts = words.select(F.explode("w").alias("h")).groupBy(F.col("h").bitwiseAND(BUCKETS - 1).alias("bucket")).agg(F.count("*").alias("n"))
-    level = [0] * BUCKETS
+_HASH = np.uint64((1 << 48) - 1)
+_BUCKET = np.uint64(BUCKETS - 1)
+
+
+def _counts(batches):
+    """(bucket, n): words by bucket of their hash; one set of buckets for each task."""
+    total = np.zeros(BUCKETS, np.int64)
+    for batch in batches:
+        data, offsets = string_parts(batch.column("low"))
+        for a, b in pieces(offsets):
+            own = data[offsets[a] : offsets[b]]
+            starts, ends, _ = words(own, offsets[a : b + 1] - offsets[a], NOT_BLANK)
+            total += np.bincount((word_hashes(own, starts, ends) & _BUCKET).astype(np.int64), minlength=BUCKETS)
+    full = np.flatnonzero(total)
+    yield pa.RecordBatch.from_arrays([pa.array(full.astype(np.int32)), pa.array(total[full])], names=["bucket", "n"])
+
+
+def rarity(low: DataFrame) -> np.ndarray:
+    """A number for each bucket that grows with the count of its words, under 2**15."""
+    counts = low.select("low").mapInArrow(_counts, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
+    level = np.zeros(BUCKETS, np.uint64)
     for bucket, rank in counts.select("bucket", F.least(F.round(F.log("n") * 700), F.lit(32767)).cast("int")).collect():
         level[bucket] = rank
-    # a text that the optimizer folds to one constant array
-    return F.split(F.lit(",".join(map(str, level))), ",").cast("array<int>")
+    return level
 
 
-def tokens(w: Column, level: Column, k: int) -> Column:
-    """Sorted distinct tokens of a line: 15 bits of rarity, 48 of hash."""
-    word = F.transform(w, lambda h: F.shiftleft(F.get(level, h.bitwiseAND(BUCKETS - 1).cast("int")).cast("long"), 48).bitwiseOR(h.bitwiseAND(_HASH)))
+def _token_sets(data: np.ndarray, offsets: np.ndarray, level: np.ndarray, k: int, least_words: int):
+    """Token sets of the lines of some texts: text and line of each, where its tokens start, all tokens sorted.
 
-    def shingle(i, ws):
-        of = [F.get(ws, i + j) for j in range(k)]
-        rare = F.least(*of) if k > 1 else of[0]
-        return rare.bitwiseAND(~_HASH).bitwiseOR(F.xxhash64(*of).bitwiseAND(_HASH))
-
-    # the words go through a one-element array, so that they are made once
-    per_line = F.transform(F.array(word), lambda ws: F.sort_array(F.array_distinct(F.transform(F.sequence(F.lit(0), F.size(ws) - k), lambda i: shingle(i, ws)))))
-    return F.get(per_line, 0)
-
-
-def _needed(n: Column, num: int, den: int) -> Column:
-    return F.floor((n * num + (den - 1)) / F.lit(den)).cast("int")
+    A token has 15 bits of rarity (of the rarest word in it) above 48 of hash.
+    """
+    starts, ends, bounds = words(data, offsets, NOT_BLANK)
+    breaks = np.flatnonzero(data == 10)
+    text = np.repeat(np.arange(len(offsets) - 1), np.diff(bounds))
+    unit = np.searchsorted(breaks, starts) + text  # a number for each line, growing over all texts
+    h = word_hashes(data, starts, ends)
+    n = max(0, len(h) - k + 1)
+    rank = level[(h & _BUCKET).astype(np.int64)]
+    rare = rank[:n].copy()
+    for i in range(1, k):
+        np.minimum(rare, rank[i : i + n], out=rare)
+    keep = np.flatnonzero((unit[:n] == unit[k - 1 :][:n]) & (np.bincount(unit)[unit[:n]] >= max(k, least_words))) if n else np.zeros(0, np.int64)
+    token, unit, text = (shingles(h, k)[keep] & _HASH) | (rare[keep] << np.uint64(48)), unit[keep], text[keep]
+    order = np.lexsort((token, unit))
+    token = token[order]
+    new = np.ones(len(token), bool)
+    new[1:] = (token[1:] != token[:-1]) | (unit[1:] != unit[:-1])
+    token, unit, text = token[new], unit[new], text[new]
+    at = np.flatnonzero(np.concatenate(([True], unit[1:] != unit[:-1]))) if len(unit) else np.zeros(0, np.int64)
+    text = text[at]
+    line = unit[at] - text - np.searchsorted(breaks, offsets[:-1])[text]
+    return text, line, at, token
+
+
+def _runs(values: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)), pa.array(values.view(np.int64)))
+
+
+LINES = "id long, line int, key1 long, key2 long, n int, bits1 long, bits2 long, tokens array<long>"
+
+
+def _lines(level: np.ndarray, k: int, num: int, den: int, least_words: int, whole: bool):
+    """Rows of ``LINES``: two hashes of the token set, its size, its parity bitmap, and its prefix (or all of it)."""
+
+    def run(batches):
+        for batch in batches:
+            ids = batch.column("id").to_numpy(zero_copy_only=False)
+            data, offsets = string_parts(batch.column("low"))
+            for a, b in pieces(offsets):
+                text, line, at, token = _token_sets(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], level, k, least_words)
+                if not len(at):
+                    continue
+                n = np.diff(np.concatenate((at, [len(token)])))
+                bit, side = np.uint64(1) << (token & np.uint64(63)), (token >> np.uint64(6)) & np.uint64(1)
+                parts = [mix(token.copy()), mix(token ^ np.uint64(0x5851F42D4C957F2D))]
+                sums = [np.add.reduceat(x, at) for x in parts] + [np.bitwise_xor.reduceat(bit * s, at) for s in (side, side ^ np.uint64(1))]
+                size = n if whole else n - (n * num + den - 1) // den + 1
+                held = token if whole else token[np.arange(len(token)) - np.repeat(at, n) < np.repeat(size, n)]
+                key1, key2, bits1, bits2 = (pa.array(x.view(np.int64)) for x in sums)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(ids[a:b][text]), pa.array(line.astype(np.int32)), key1, key2, pa.array(n.astype(np.int32)), bits1, bits2, _runs(held, size)],
+                    names=["id", "line", "key1", "key2", "n", "bits1", "bits2", "tokens"],
+                )
+
+    return run
 
 
 def _earlier(y: str, x: str) -> Column:
@@ -69,50 +126,48 @@ def _earlier(y: str, x: str) -> Column:
 
 
 def _may_reach(x: str, y: str, num: int, den: int) -> Column:
-    """Length and positional filter for postings of one token."""
+    """Length, positional and bitmap filter for postings of one token."""
     xn, yn, xp, yp = (F.col(f"{a}.{b}") for a, b in ((x, "n"), (y, "n"), (x, "pos"), (y, "pos")))
     fits = (yn * den >= xn * num) & (xn * den >= yn * num)
     # overlap o reaches num/den if o * (num + den) >= num * (n + m)
-    return fits & (F.least(xn - xp, yn - yp) * (num + den) >= (xn + yn) * num)
+    fits &= F.least(xn - xp, yn - yp) * (num + den) >= (xn + yn) * num
+    # bits of odd counts that differ are no more than the tokens that differ, n + m - 2 * o
+    apart = sum((F.bit_count(F.col(f"{x}.{b}").bitwiseXOR(F.col(f"{y}.{b}"))) for b in ("bits1", "bits2")), F.lit(0))
+    return fits & (apart * (num + den) <= (xn + yn) * (den - num))
 
 
 def similar_lines(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, least_words: int = 5) -> DataFrame:
     """(id, line) of the lines of ``docs`` (id, text) that an earlier line is similar to."""
-    words = docs.select("id", F.posexplode(line_words(F.col("text"))).alias("line", "w"))
-    words = words.where(F.size("w") >= max(k, least_words))
-    level = rarity(words)
-    made = words.select("id", "line", tokens(F.col("w"), level, k).alias("t"))
-    prefix = F.slice("t", F.lit(1), F.size("t") - _needed(F.size("t"), num, den) + 1)
-    lines = made.select("id", "line", F.xxhash64("t").alias("key1"), F.xxhash64(F.lit(1), "t").alias("key2"), F.size("t").alias("n"), prefix.alias("prefix"))
-    lines, lines_uri = written_at(lines, "lines")
-    first = lines.groupBy("key1", "key2").agg(F.min(F.struct("id", "line", "n", "prefix")).alias("f")).select("f.*")
-    first, first_uri = written_at(first, "first")
-    copies = written(lines.select("id", "line").join(first.select("id", "line"), ["id", "line"], "left_anti"), "copies")
-    drop(docs.sparkSession, lines_uri)
+    spark = docs.sparkSession
+    low = docs.select("id", F.lower("text").alias("low"))
+    level = rarity(low)
+    lines, lines_uri = written_at(low.mapInArrow(_lines(level, k, num, den, least_words, False), LINES), "lines")
+    first = lines.groupBy("key1", "key2").agg(F.min(F.struct("id", "line")).alias("f")).select("f.*")
+    copies = written(lines.select("id", "line").join(first, ["id", "line"], "left_anti"), "copies")
+    # of equal sets, the first one's postings are compared
+    own = lines.join(F.broadcast(copies) if copies.count() <= BROADCAST_WANTED else copies, ["id", "line"], "left_anti")
 
     # most prefix tokens occur once: only those of two lines or more are joined
-    held = first.select(F.explode("prefix").alias("token")).groupBy("token").agg(F.count("*").alias("c")).where("c > 1")
+    held = own.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("c")).where("c > 1")
     held = written(held.select("token"), "held")
-    postings = first.select("id", "line", "n", F.posexplode("prefix").alias("pos", "token"))
+    postings = own.select("id", "line", "key1", "n", "bits1", "bits2", F.posexplode("tokens").alias("pos", "token"))
     postings = written(postings.join(F.broadcast(held) if held.count() <= BROADCAST_TOKENS else held, "token", "left_semi"), "postings")
-    drop(docs.sparkSession, first_uri)
+    drop(spark, lines_uri)
     x, y = postings.alias("x"), postings.alias("y")
-    same = F.col("x.token") == F.col("y.token")
-    later = x.join(y, same & _earlier("y", "x") & _may_reach("x", "y", num, den), "left_semi").select("x.*")
-    later = written(later, "later")
-    # partners of those: postings of the tokens that are left, before one of them
-    some = later.select("token").distinct()
-    partner = written(postings.join(some, "token", "left_semi"), "partner")
-    wanted = written(partner.select("id", "line").distinct(), "wanted")
-    texts = only_ids(docs.where("id is not null"), wanted.select("id").distinct(), "left_semi")
-    again = texts.select("id", F.posexplode(line_words(F.col("text"))).alias("line", "w")).where(F.size("w") >= max(k, least_words))
+    pair = (F.col("x.token") == F.col("y.token")) & _earlier("y", "x") & _may_reach("x", "y", num, den)
+    later = written(x.join(y, pair, "left_semi").select("x.*"), "later")
+    x = later.alias("x")
+    partner = written(y.join(x, pair, "left_semi").select("y.*"), "partner")
+    which = ["id", "line", "key1"]
+    wanted = written(later.select(*which).union(partner.select(*which)).distinct(), "wanted")
+    texts = only_ids(low.where("id is not null"), wanted.select("id").distinct(), "left_semi")
+    again = texts.mapInArrow(_lines(level, k, num, den, least_words, True), LINES).select(*which, F.col("tokens").alias("t"))
     few = wanted.count() <= BROADCAST_WANTED
-    sets = again.join(F.broadcast(wanted) if few else wanted, ["id", "line"], "left_semi").select("id", "line", tokens(F.col("w"), level, k).alias("t")).dropDuplicates(["id", "line"])
-    sets = written(sets, "sets")
-    x, y = later.join(sets, ["id", "line"]).alias("x"), partner.join(sets, ["id", "line"]).alias("y")
+    sets = written(again.join(F.broadcast(wanted) if few else wanted, which, "left_semi").dropDuplicates(which), "sets")
+    x, y = later.join(sets, which).alias("x"), partner.join(sets, which).alias("y")
     both = F.size(F.array_intersect("x.t", "y.t"))
     alike = both * (num + den) >= (F.col("x.n") + F.col("y.n")) * num
-    near = x.join(y, same & _earlier("y", "x") & _may_reach("x", "y", num, den) & alike, "left_semi").select("x.id", "x.line")
+    near = x.join(y, pair & alike, "left_semi").select("x.id", "x.line")
     return copies.unionByName(near.distinct()).distinct()
 
 
