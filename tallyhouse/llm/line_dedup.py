@@ -10,8 +10,8 @@ Whether a line goes depends only on some earlier line being similar, so candidat
 semi joins: their output is at most one row for each posting, however many copies a line
 has.  Equal token sets are one line from the start.
 
-Words are counted and tokens made in numpy: as DataFrame functions they took more CPU time than
-the whole operator may.  All that follows is joins and aggregations.
+Words are counted and tokens made by DataFrame functions (``native``) or in numpy, which takes
+about a third of their CPU time.  All that follows is joins and aggregations.
 """
 
 from __future__ import annotations
@@ -52,7 +52,10 @@ def _counts(batches):
 
 def rarity(low: DataFrame) -> np.ndarray:
     """A number for each bucket that grows with the count of its words, under 2**15."""
-    counts = low.select("low").mapInArrow(_counts, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
+    return _levels(low.select("low").mapInArrow(_counts, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")))
+
+
+def _levels(counts: DataFrame) -> np.ndarray:
     level = np.zeros(BUCKETS, np.uint64)
     for bucket, rank in counts.select("bucket", F.least(F.round(F.log("n") * 700), F.lit(32767)).cast("int")).collect():
         level[bucket] = rank
@@ -120,6 +123,46 @@ def _lines(level: np.ndarray, k: int, num: int, den: int, least_words: int, whol
     return run
 
 
+def _spaced(low: Column) -> Column:
+    return F.translate(low, "\t\x0b\x0c\r", "    ")
+
+
+def rarity_native(low: DataFrame) -> Column:
+    """As ``rarity``, by functions alone: an array column that the optimizer folds to a constant."""
+    word = low.select(F.explode(F.split(F.translate(_spaced(F.col("low")), "\n", " "), " ")).alias("w")).where("w <> ''")
+    counts = word.groupBy(F.xxhash64("w").bitwiseAND(BUCKETS - 1).alias("bucket")).agg(F.count("*").alias("n"))
+    return F.split(F.lit(",".join(map(str, _levels(counts).tolist()))), ",").cast("array<int>")
+
+
+def _native_tokens(w: Column, level: Column, k: int) -> Column:
+    """Sorted distinct tokens of a line of words."""
+    mask = int(_HASH)
+    hashes = F.transform(w, lambda x: F.xxhash64(x))
+    word = F.transform(hashes, lambda h: F.shiftleft(F.get(level, h.bitwiseAND(BUCKETS - 1).cast("int")).cast("long"), 48).bitwiseOR(h.bitwiseAND(mask)))
+
+    def shingle(i, ws):
+        of = [F.get(ws, i + j) for j in range(k)]
+        rare = F.least(*of) if k > 1 else of[0]
+        # without nulls longs are sorted as such
+        return F.coalesce(rare.bitwiseAND(~mask).bitwiseOR(F.xxhash64(*of).bitwiseAND(mask)), F.lit(0))
+
+    # the words go through a one-element array, so that they are made once
+    return F.get(F.transform(F.array(word), lambda ws: F.sort_array(F.array_distinct(F.transform(F.sequence(F.lit(0), F.size(ws) - k), lambda i: shingle(i, ws))))), 0)
+
+
+def _native_lines(low: DataFrame, level: Column, k: int, num: int, den: int, least_words: int, whole: bool) -> DataFrame:
+    """Rows of ``LINES`` by functions alone; the bitmap has 63 bits."""
+    lines = low.select("id", F.posexplode(F.split(_spaced(F.col("low")), "\n")).alias("line", "s"))
+    split = lines.select("id", "line", F.array_remove(F.split("s", " "), "").alias("w")).where(F.size("w") >= max(k, least_words))
+    made = split.select("id", "line", _native_tokens(F.col("w"), level, k).alias("t"))
+    n = F.size("t")
+    prefix = F.slice("t", F.lit(1), n - F.floor((n * num + (den - 1)) / F.lit(den)).cast("int") + 1)
+    powers = F.lit([1 << i for i in range(63)])
+    flipped = F.aggregate("t", F.lit(0).cast("long"), lambda b, t: b.bitwiseXOR(F.coalesce(F.get(powers, (t % 63).cast("int")), F.lit(0))))
+    bits = F.lit(0).cast("long") if whole else flipped
+    return made.select("id", "line", F.xxhash64("t").alias("key1"), F.xxhash64(F.lit(1), "t").alias("key2"), n.alias("n"), bits.alias("bits1"), F.lit(0).cast("long").alias("bits2"), (F.col("t") if whole else prefix).alias("tokens"))
+
+
 def _earlier(y: str, x: str) -> Column:
     c = F.col
     return (c(f"{y}.id") < c(f"{x}.id")) | ((c(f"{y}.id") == c(f"{x}.id")) & (c(f"{y}.line") < c(f"{x}.line")))
@@ -136,12 +179,18 @@ def _may_reach(x: str, y: str, num: int, den: int) -> Column:
     return fits & (apart * (num + den) <= (xn + yn) * (den - num))
 
 
-def similar_lines(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, least_words: int = 5) -> DataFrame:
+def similar_lines(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, least_words: int = 5, native: bool = True) -> DataFrame:
     """(id, line) of the lines of ``docs`` (id, text) that an earlier line is similar to."""
     spark = docs.sparkSession
     low = docs.select("id", F.lower("text").alias("low"))
-    level = rarity(low)
-    lines, lines_uri = written_at(low.mapInArrow(_lines(level, k, num, den, least_words, False), LINES), "lines")
+    level = rarity_native(low) if native else rarity(low)
+
+    def made(rows: DataFrame, whole: bool) -> DataFrame:
+        if native:
+            return _native_lines(rows, level, k, num, den, least_words, whole)
+        return rows.mapInArrow(_lines(level, k, num, den, least_words, whole), LINES)
+
+    lines, lines_uri = written_at(made(low, False), "lines")
     first = lines.groupBy("key1", "key2").agg(F.min(F.struct("id", "line")).alias("f")).select("f.*")
     copies = written(lines.select("id", "line").join(first, ["id", "line"], "left_anti"), "copies")
     # of equal sets, the first one's postings are compared
@@ -161,7 +210,7 @@ def similar_lines(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, le
     which = ["id", "line", "key1"]
     wanted = written(later.select(*which).union(partner.select(*which)).distinct(), "wanted")
     texts = only_ids(low.where("id is not null"), wanted.select("id").distinct(), "left_semi")
-    again = texts.mapInArrow(_lines(level, k, num, den, least_words, True), LINES).select(*which, F.col("tokens").alias("t"))
+    again = made(texts, True).select(*which, F.col("tokens").alias("t"))
     few = wanted.count() <= BROADCAST_WANTED
     sets = written(again.join(F.broadcast(wanted) if few else wanted, which, "left_semi").dropDuplicates(which), "sets")
     x, y = later.join(sets, which).alias("x"), partner.join(sets, which).alias("y")
@@ -171,18 +220,18 @@ def similar_lines(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, le
     return copies.unionByName(near.distinct()).distinct()
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, num: int = 80, den: int = 100, least_words: int = 5) -> DataFrame:
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, num: int = 80, den: int = 100, least_words: int = 5, native: bool = True) -> DataFrame:
     """``docs`` without lines similar to an earlier one, with n_lines and n_removed.
 
     Earlier is by id, then by place in the text; the similarity is that of the sets of ``k``-word shingles,
     num/den or more, and equal lines have it.  Lines under ``least_words`` words stay.  A null text stays
     null with no lines; rows with a null id pass unchanged and aren't compared.  Rows that repeat an id
-    are judged by their lines' places as one document.  Other columns pass; those called n_lines or n_removed are replaced.
+    are judged by their lines' places as one document.  ``native`` says how tokens are made, not which lines go.  Other columns pass; those called n_lines or n_removed are replaced.
     """
     rest = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
     docs = docs.select(*rest)
     key = F.col(id_col).cast("long")
-    gone = similar_lines(docs.select(key.alias("id"), F.col(text_col).cast("string").alias("text")).where("id is not null"), k, num, den, least_words)
+    gone = similar_lines(docs.select(key.alias("id"), F.col(text_col).cast("string").alias("text")).where("id is not null"), k, num, den, least_words, native)
     gone = written(gone.groupBy(F.col("id").alias("_id")).agg(F.sort_array(F.collect_set("line")).alias("_gone")), "gone")
     few = (gone.agg(F.sum(F.size("_gone") + 2)).first()[0] or 0) <= BROADCAST_LINES
     rows = docs.join(F.broadcast(gone) if few else gone, key == F.col("_id"), "left")

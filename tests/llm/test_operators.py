@@ -102,12 +102,18 @@ def test_line_dedup_equals_sql(spark, duck):
     assert rows_of(q.op4_line_dedup(spark, DATA).toPandas()) == rows_of(duck.execute(q.SQL["op4_line_dedup"]).fetchdf())
 
 
+def test_line_dedup_forms_agree(spark):
+    docs = q.table(spark, DATA, "documents").select("doc_id", "text")
+    assert rows_of(dedup_lines(docs, native=True).toPandas()) == rows_of(dedup_lines(docs, native=False).toPandas())
+
+
 def test_line_dedup_cases(spark):
     long = " ".join(f"w{i}" for i in range(40))
     near = long.replace("w39", "other")
     texts = [(1, f"{long}\nshort line"), (2, f"short line\n{near}\nkept words are not like any"), (3, None), (None, long), (4, ""), (2, f"short line\n{near}\nkept words are not like any"), (5, f"{near}\n{near}")]
-    got = {(r.doc_id, r.text, r.n_lines, r.n_removed) for r in dedup_lines(docs_of(spark, texts)).collect()}
-    assert got == {(1, f"{long}\nshort line", 2, 0), (2, "short line\nkept words are not like any", 3, 1), (3, None, 0, 0), (None, long, 1, 0), (4, "", 1, 0), (5, "", 2, 2)}
+    for native in (True, False):
+        got = {(r.doc_id, r.text, r.n_lines, r.n_removed) for r in dedup_lines(docs_of(spark, texts), native=native).collect()}
+        assert got == {(1, f"{long}\nshort line", 2, 0), (2, "short line\nkept words are not like any", 3, 1), (3, None, 0, 0), (None, long, 1, 0), (4, "", 1, 0), (5, "", 2, 2)}
     out = dedup_lines(docs_of(spark, []))
     assert out.count() == 0 and out.columns == [*docs_of(spark, []).columns, "n_lines", "n_removed"]
 
