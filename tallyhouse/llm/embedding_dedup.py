@@ -33,6 +33,8 @@ BLOCK = 4096
 #: Pivots for cells, at most.  More than one pays only where angles between clusters are far above
 #: twice that of the threshold; else every vector visits every cell.
 PIVOTS = 1
+#: Partitions over which tiles are dealt, at most.
+MOST_PARTITIONS = 20_000
 _SLACK = 1e-9
 
 
@@ -182,6 +184,9 @@ def embedding_near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector
         tiles = placed.select(
             "id", "weight", "vector", "cell", "own", "home", "block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other")
         ).withColumns({"low": F.least("block", "other"), "high": F.greatest("block", "other")}).drop("other")
+        # a number of partitions is given, as tiles have few bytes for their work and would be put together
+        number = sizes.agg(F.sum(F.col("blocks") * (F.col("blocks") + 1) / 2)).first()[0]
+        tiles = tiles.repartition(int(min(max(number, 1), MOST_PARTITIONS)), "cell", "low", "high")
         found = tiles.groupBy("cell", "low", "high").applyInArrow(_tile(width, least), "kind int, a long, b long")
         links = found if links is None else links.unionByName(found)
     if links is None:
