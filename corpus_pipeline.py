@@ -36,7 +36,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines similar to an earlier one go, and documents of which nothing is left."""
-    kept = dedup_lines(docs.select(*COLUMNS))
+    kept = dedup_lines(docs.select(*COLUMNS), least_words=1)
     return _documents(kept.where((F.col("n_removed") == 0) | F.col("text").rlike("[^\\x20\\x09-\\x0D]")))
 
 

@@ -1,6 +1,6 @@
 """Line dedup by an exact set-similarity join.
 
-A line's tokens are its distinct shingles of ``k`` words, ordered by rarity: by the count of the
+A line's tokens are its distinct shingles of ``k`` words (of a shorter line its whole sequence of words), ordered by rarity: by the count of the
 rarest of their words (words are counted in hashed buckets over the whole table), then by
 hash.  Two lines with Jaccard similarity num/den share a token in their prefixes, at places
 from which the overlap can still be reached (prefix, positional and length filters), and the
@@ -77,10 +77,17 @@ def _token_sets(data: np.ndarray, offsets: np.ndarray, level: np.ndarray, k: int
     rare = rank[:n].copy()
     for i in range(1, k):
         np.minimum(rare, rank[i : i + n], out=rare)
-    keep = np.flatnonzero((unit[:n] == unit[k - 1 :][:n]) & (np.bincount(unit)[unit[:n]] >= max(k, least_words))) if n else np.zeros(0, np.int64)
-    token, unit, text = (shingles(h, k)[keep] & _HASH) | (rare[keep] << np.uint64(48)), unit[keep], text[keep]
+    size = np.bincount(unit)[unit]
+    keep = np.flatnonzero((unit[:n] == unit[k - 1 :][:n]) & (size[:n] >= least_words)) if n else np.zeros(0, np.int64)
+    token = (shingles(h, k)[keep] & _HASH) | (rare[keep] << np.uint64(48))
+    lead = np.flatnonzero(np.diff(unit, prepend=-1))
+    for m in range(max(1, least_words), k):  # a shorter line has one token, its whole sequence
+        at = lead[size[lead] == m]
+        rare = rank[at[:, None] + np.arange(m)].min(axis=1)
+        keep, token = np.concatenate([keep, at]), np.concatenate([token, (shingles(h, m)[at] & _HASH) | (rare << np.uint64(48))])
+    unit, text = unit[keep], text[keep]
     order = np.lexsort((token, unit))
-    token = token[order]
+    token, unit, text = token[order], unit[order], text[order]
     new = np.ones(len(token), bool)
     new[1:] = (token[1:] != token[:-1]) | (unit[1:] != unit[:-1])
     token, unit, text = token[new], unit[new], text[new]
@@ -135,7 +142,7 @@ def rarity_native(low: DataFrame) -> Column:
 
 
 def _native_tokens(w: Column, level: Column, k: int) -> Column:
-    """Sorted distinct tokens of a line of words."""
+    """Sorted distinct tokens of a line of words; of words past its end a shingle takes no notice."""
     mask = int(_HASH)
     hashes = F.transform(w, lambda x: F.xxhash64(x))
     word = F.transform(hashes, lambda h: F.shiftleft(F.get(level, h.bitwiseAND(BUCKETS - 1).cast("int")).cast("long"), 48).bitwiseOR(h.bitwiseAND(mask)))
@@ -147,13 +154,13 @@ def _native_tokens(w: Column, level: Column, k: int) -> Column:
         return F.coalesce(rare.bitwiseAND(~mask).bitwiseOR(F.xxhash64(*of).bitwiseAND(mask)), F.lit(0))
 
     # the words go through a one-element array, so that they are made once
-    return F.get(F.transform(F.array(word), lambda ws: F.sort_array(F.array_distinct(F.transform(F.sequence(F.lit(0), F.size(ws) - k), lambda i: shingle(i, ws))))), 0)
+    return F.get(F.transform(F.array(word), lambda ws: F.sort_array(F.array_distinct(F.transform(F.sequence(F.lit(0), F.greatest(F.size(ws) - k, F.lit(0))), lambda i: shingle(i, ws))))), 0)
 
 
 def _native_lines(low: DataFrame, level: Column, k: int, num: int, den: int, least_words: int, whole: bool) -> DataFrame:
     """Rows of ``LINES`` by functions alone; the bitmap has 63 bits."""
     lines = low.select("id", F.posexplode(F.split(_spaced(F.col("low")), "\n")).alias("line", "s"))
-    split = lines.select("id", "line", F.array_remove(F.split("s", " "), "").alias("w")).where(F.size("w") >= max(k, least_words))
+    split = lines.select("id", "line", F.array_remove(F.split("s", " "), "").alias("w")).where(F.size("w") >= max(1, least_words))
     made = split.select("id", "line", _native_tokens(F.col("w"), level, k).alias("t"))
     n = F.size("t")
     prefix = F.slice("t", F.lit(1), n - F.floor((n * num + (den - 1)) / F.lit(den)).cast("int") + 1)
@@ -224,7 +231,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """``docs`` without lines similar to an earlier one, with n_lines and n_removed.
 
     Earlier is by id, then by place in the text; the similarity is that of the sets of ``k``-word shingles,
-    num/den or more, and equal lines have it.  Lines under ``least_words`` words stay.  A null text stays
+    num/den or more, and equal lines have it.  Lines under ``least_words`` words, and those without words, stay; lines of
+    ``least_words`` to ``k`` - 1 words go if they repeat an earlier line's words.  A null text stays
     null with no lines; rows with a null id pass unchanged and aren't compared.  Rows that repeat an id
     are judged by their lines' places as one document.  ``native`` says how tokens are made, not which lines go.  Other columns pass; those called n_lines or n_removed are replaced.
     """

@@ -118,6 +118,32 @@ def test_line_dedup_cases(spark):
     assert out.count() == 0 and out.columns == [*docs_of(spark, []).columns, "n_lines", "n_removed"]
 
 
+def similar_to_earlier(docs, least_words, k=5):
+    """(id, line) of lines whose set of shingles has a Jaccard similarity of 0.8 with an earlier line's, pair by pair."""
+    sets, gone = [], set()
+    for i, t in sorted(docs):
+        for at, line in enumerate((t or "").split("\n")):
+            w = re.findall(r"[^\x20\x09-\x0D]+", low(line))
+            if len(w) >= max(1, least_words):
+                own = {tuple(w[j : j + k]) for j in range(max(1, len(w) - k + 1))}
+                if any(100 * len(own & x) >= 80 * len(own | x) for x in sets):
+                    gone.add((i, at))
+                sets.append(own)
+    return gone
+
+
+@pytest.mark.parametrize("least_words", [0, 1, 3, 5, 7])
+def test_short_lines_against_brute_force(spark, least_words):
+    rng = random.Random(7)
+    lines = ["", " ", "one", "One", "one two", "ONE \t two", "two one", "one two three", "one two three four", "one two three four five", "one two three four five six", "les.", " les. ", "a a a a", "a a a a a a", "a a a"]
+    docs = [(i, "\n".join(rng.choice(lines) for _ in range(rng.randrange(1, 5)))) for i in range(30)]
+    gone = similar_to_earlier(docs, least_words)
+    want = [(i, "\n".join(x for at, x in enumerate(t.split("\n")) if (i, at) not in gone)) for i, t in docs]
+    for native in (True, False):
+        got = dedup_lines(docs_of(spark, docs).repartition(3), least_words=least_words, native=native)
+        assert sorted((r.doc_id, r.text) for r in got.collect()) == want
+
+
 def test_suffix_array_and_index():
     rng = np.random.default_rng(0)
     for n, top in ((1, 1), (50, 2), (400, 3), (300, 5000)):
