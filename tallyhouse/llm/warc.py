@@ -31,6 +31,7 @@ VERSION = b"WARC/1.1"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 ROLL = 16 << 20
 CHUNK = 1 << 20
+#: Header of a plain record, at most; that of a gzip member ends with its member.
 MOST_HEADER = 1 << 16
 _START = re.compile(rb"WARC/1\.[01]\r?\n")
 
@@ -69,7 +70,7 @@ def encode_record(headers: dict[str, str], block: bytes) -> bytes:
 def parse_record(data: bytes) -> Record:
     """A record from exactly its bytes; ValueError says what is wrong."""
     head, sep, rest = data.partition(b"\r\n\r\n")
-    if not sep or len(head) > MOST_HEADER:
+    if not sep:
         raise ValueError("no end of header")
     lines = head.split(b"\r\n")
     if not _START.fullmatch(lines[0] + b"\n"):
@@ -132,6 +133,8 @@ def _plain(w: _Window) -> tuple[bytes, int]:
         if n > MOST_HEADER or not w.fill(n) and w.ended and w.data.find(b"\r\n\r\n") < 0:
             raise ValueError("no end of header")
         n *= 2
+    if end > MOST_HEADER:
+        raise ValueError("no end of header")
     m = re.search(rb"\r\ncontent-length:[ \t]*(\d+)", bytes(w.data[:end]), re.I)
     if not m:
         raise ValueError("bad content length")

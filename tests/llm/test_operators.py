@@ -293,6 +293,14 @@ def test_warc_round_trip(spark):
     assert warc_round_trip(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_warc_keeps_records_with_long_headers(spark):
+    pages = [(i, "http://a/" + "é" * n, "p") for i, n in enumerate((10, 40_000, 300_000))]
+    got = warc_round_trip(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()
+    assert sorted((r.page_id, r.record_type, r.refers_to) for r in got) == [(0, "revisit", 2), (1, "revisit", 2), (2, "response", None)]
+    record = encode_record({"WARC-Type": "response", "WARC-Target-URI": "u" * 70_000}, b"x")
+    assert isinstance(next(salvage(io.BytesIO(record))), Gap) and next(salvage(io.BytesIO(gzip.compress(record)))).block == b"x"
+
+
 @pytest.mark.parametrize("pack", [gzip.compress, bytes])
 def test_salvage(spark, pack):
     records = [pack(encode_record({"WARC-Type": "response", "WARC-Block-Digest": "sha1:" + digest(b"x%d" % i * 50)}, b"x%d" % i * 50)) for i in range(12)]
