@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -49,8 +50,8 @@ def _matrix(column: pa.Array, width: int) -> np.ndarray:
     return out
 
 
-def _prepared(batches):
-    """Key of each vector that takes part; null for the others."""
+def _prepared(batches, more=()):
+    """Key of each vector that takes part, null for the others, and columns that pass."""
     for batch in batches:
         keys = []
         for v in batch.column("vector").to_pylist():
@@ -59,7 +60,7 @@ def _prepared(batches):
                 continue
             x = np.array(v, np.float64) + 0.0  # -0.0 becomes 0.0
             keys.append(hashlib.blake2b(x.tobytes(), digest_size=16).digest() if np.isfinite(x).all() and x.any() else None)
-        yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(keys, pa.binary())], names=["id", "key"])
+        yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(keys, pa.binary()), *(batch.column(c) for c in more)], names=["id", "key", *more])
 
 
 def unit(x: np.ndarray) -> np.ndarray:
@@ -105,7 +106,7 @@ def close_pairs(v: np.ndarray, w: np.ndarray, least: float) -> tuple[np.ndarray,
 
 
 def _cells(pivots: np.ndarray, width: int, least: float):
-    """(id, vector, cell, own): the cell of each vector, and the others that may hold a partner."""
+    """(id, key, weight, vector, cell, home): the cell of each vector, its home, and the others that may hold a partner."""
     reach = 2 * math.acos(min(1.0, least)) + 1e-6
 
     def run(batches):
@@ -115,15 +116,15 @@ def _cells(pivots: np.ndarray, width: int, least: float):
             own = angle.argmin(axis=1)
             i, cell = np.nonzero(angle <= angle.min(axis=1, keepdims=True) + reach)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("id").take(pa.array(i)), batch.column("weight").take(pa.array(i)), column.take(pa.array(i)), pa.array(cell.astype(np.int32)), pa.array(own[i] == cell)],
-                names=["id", "weight", "vector", "cell", "own"],
+                [*(batch.column(c).take(pa.array(i)) for c in ("id", "key", "weight", "vector")), pa.array(cell.astype(np.int32)), pa.array(own[i].astype(np.int32))],
+                names=["id", "key", "weight", "vector", "cell", "home"],
             )
 
     return run
 
 
 def _tile(width: int, least: float):
-    """Links between two blocks of a cell: (0, a, b) of a spanning forest and (1, id, links).
+    """Links between two blocks of a cell: (0, a, b) of a spanning forest and (1, id, links) with the key of the vector.
 
     A pair of own vectors counts here, and so does an own one with a guest of a later cell.
     """
@@ -131,7 +132,8 @@ def _tile(width: int, least: float):
     def run(table: pa.Table) -> pa.Table:
         low, high, cell = (table[c][0].as_py() for c in ("low", "high", "cell"))
         block, ids, weight = table["block"].to_numpy(), table["id"].to_numpy(), table["weight"].to_numpy()
-        own, home = table["own"].to_numpy(), table["home"].to_numpy()
+        home = table["home"].to_numpy()
+        own = home == cell
         v = unit(_matrix(table["vector"].combine_chunks(), width))
         forest, links, edges = Forest(len(ids)), np.zeros(len(ids), np.int64), []
         x, y = np.flatnonzero(block == low), np.flatnonzero(block == high)
@@ -139,6 +141,7 @@ def _tile(width: int, least: float):
             i, j = close_pairs(v[x[a : a + 1024]], v[y], least)
             i, j = x[a : a + 1024][i], y[j]
             use = (own[i] & own[j]) | (own[i] & (home[j] > cell)) | (own[j] & (home[i] > cell))
+            use &= ids[i] != ids[j]
             use &= (i < j) if low == high else True
             i, j = i[use], j[use]
             links += np.bincount(i, weight[j], len(ids)).astype(np.int64) + np.bincount(j, weight[i], len(ids)).astype(np.int64)
@@ -146,7 +149,8 @@ def _tile(width: int, least: float):
         seen = np.flatnonzero(links)
         a = np.concatenate([ids[[p for p, _ in edges]], ids[seen]]).astype(np.int64)
         b = np.concatenate([ids[[q for _, q in edges]], links[seen]]).astype(np.int64)
-        return pa.table({"kind": pa.array(np.repeat([0, 1], [len(edges), len(seen)]).astype(np.int32)), "a": pa.array(a), "b": pa.array(b)})
+        key = pa.chunked_array([pa.nulls(len(edges), pa.binary()), table["key"].combine_chunks().take(pa.array(seen)).cast(pa.binary())])
+        return pa.table({"kind": pa.array(np.repeat([0, 1], [len(edges), len(seen)]).astype(np.int32)), "a": pa.array(a), "b": pa.array(b), "key": key})
 
     return run
 
@@ -157,17 +161,19 @@ def embedding_near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector
     Rows link when the cosine of their vectors in double precision is ``least`` or more (0.5 to 1).
     Vectors that are null, empty, zero, or hold null or non-finite components link with nothing
     and are their own component; vectors of different lengths don't link with each other.  Rows with a null id have a null component
-    and are not kept.  Rows that repeat an id are one node.  Other columns are ignored.
+    and are not kept.  Rows that repeat an id are one node: it has the links of all its rows, and n_links
+    adds up those of its different vectors.  Other columns are ignored.
     """
     spark = vectors.sparkSession
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("vector"))
     keys = written(rows.mapInArrow(_prepared, "id long, key binary"), "keys")
     members = keys.where("id is not null and key is not null")
     classes = written(members.groupBy("key").agg(F.min("id").alias("rep"), F.countDistinct("id").alias("weight")), "classes")
-    reps = classes.groupBy(F.col("rep").alias("id")).agg(F.max("weight").alias("weight"))
-    # one row for each representative, whatever repeats
-    held = rows.where("id is not null").join(reps, "id").groupBy("id").agg(F.first("weight").alias("weight"), F.min_by("vector", F.xxhash64("vector")).alias("vector"))
-    held = written(held.where(F.size("vector") > 0), "held")
+    # one row for each class, whatever repeats
+    full = rows.where("id is not null").join(classes.select(F.col("rep").alias("id")).distinct(), "id")
+    full = full.mapInArrow(partial(_prepared, more=("vector",)), "id long, key binary, vector array<double>")
+    held = full.join(classes.withColumnRenamed("rep", "id"), ["id", "key"]).groupBy("id", "key").agg(F.first("weight").alias("weight"), F.first("vector").alias("vector"))
+    held = written(held, "held")
     widths = sorted(r[0] for r in held.select(F.size("vector")).distinct().collect())
     links = None
     for width in widths:
@@ -176,26 +182,30 @@ def embedding_near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector
         wanted = max(1, min(PIVOTS, count // 512))
         sample = own.orderBy(F.xxhash64("id"), "id").limit(wanted).select("vector").collect()
         pivots = unit(np.array([r[0] for r in sample]))
-        dealt = own.mapInArrow(_cells(pivots, width, least), "id long, weight long, vector array<double>, cell int, own boolean")
+        dealt = own.mapInArrow(_cells(pivots, width, least), "id long, key binary, weight long, vector array<double>, cell int, home int")
         dealt = written(dealt.withColumn("vector", F.col("vector").cast("array<double>")), "dealt")
-        homes = dealt.where("own").select("id", F.col("cell").alias("home"))
         sizes = dealt.groupBy("cell").agg(F.ceil(F.count("*") / F.lit(min(BLOCK, max(256, count // partitions(spark))))).alias("blocks"))
-        placed = dealt.join(homes, "id").join(sizes, "cell").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
+        placed = dealt.join(sizes, "cell").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
         tiles = placed.select(
-            "id", "weight", "vector", "cell", "own", "home", "block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other")
+            "id", "key", "weight", "vector", "cell", "home", "block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other")
         ).withColumns({"low": F.least("block", "other"), "high": F.greatest("block", "other")}).drop("other")
         # a number of partitions is given, as tiles have few bytes for their work and would be put together
         number = sizes.agg(F.sum(F.col("blocks") * (F.col("blocks") + 1) / 2)).first()[0]
         tiles = tiles.repartition(int(min(max(number, 1), MOST_PARTITIONS)), "cell", "low", "high")
-        found = tiles.groupBy("cell", "low", "high").applyInArrow(_tile(width, least), "kind int, a long, b long")
+        found = tiles.groupBy("cell", "low", "high").applyInArrow(_tile(width, least), "kind int, a long, b long, key binary")
         links = found if links is None else links.unionByName(found)
     if links is None:
-        links = spark.createDataFrame([], "kind int, a long, b long")
+        links = spark.createDataFrame([], "kind int, a long, b long, key binary")
     links = written(links, "links")
-    joined = written(components(links.where("kind = 0").select("a", "b")), "joined")
-    counts = links.where("kind = 1").groupBy(F.col("a").alias("node")).agg(F.sum("b").alias("links"))
-    by_class = classes.join(joined.withColumnRenamed("node", "rep"), "rep", "left").join(counts.withColumnRenamed("node", "rep"), "rep", "left")
+    # ids with several vectors, or with one that takes part and one that doesn't, are one node of all of them
+    kinds = keys.where("id is not null").groupBy("id").agg(F.min("key").alias("low"), F.max("key").alias("high"), F.count("key").alias("n"), F.count("*").alias("rows"))
+    several = written(kinds.where("low <> high or (n > 0 and n < rows)").select("id"), "several")
+    theirs = written(members.join(several, "id", "left_semi").distinct().join(classes, "key").select("id", "key", "rep"), "theirs")
+    joined = written(components(links.where("kind = 0").select("a", "b").union(theirs.select(F.col("id").alias("a"), F.col("rep").alias("b")))), "joined")
+    counts = links.where("kind = 1").groupBy("key").agg(F.sum("b").alias("links"))
+    by_class = classes.join(joined.withColumnRenamed("node", "rep"), "rep", "left").join(counts, "key", "left")
     by_class = by_class.select("key", F.coalesce("component", "rep").alias("component"), (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("links"))
-    out = keys.join(by_class, "key", "left")
-    component = F.when(F.col("id").isNotNull(), F.coalesce("component", "id"))
-    return out.select(F.col("id").alias(id_col), F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(component == F.col("id"), F.lit(False)).alias("kept"))
+    by_id = theirs.join(by_class, "key").groupBy("id").agg(F.min("component").alias("id_component"), F.sum("links").alias("id_links"))
+    out = keys.join(by_class, "key", "left").join(by_id, "id", "left")
+    component = F.when(F.col("id").isNotNull(), F.coalesce("id_component", "component", "id"))
+    return out.select(F.col("id").alias(id_col), F.coalesce("id_links", "links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(component == F.col("id"), F.lit(False)).alias("kept"))

@@ -225,6 +225,14 @@ def test_embedding_duplicates(spark):
     assert embedding_near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
+def test_embedding_duplicates_of_ids_with_several_vectors(spark):
+    axis = lambda i, j=None: [float(x == i) + 0.3 * (x == j) for x in range(12)]
+    rows = [(1, axis(0)), (1, axis(1)), (2, axis(0, 5)), (3, axis(1, 6)), (4, None), (4, axis(2)), (4, [0.0] * 12), (5, axis(2, 7)), (6, axis(3)), (7, axis(4)), (8, axis(4, 8)), (9, axis(3)), (9, axis(4)), (10, axis(9)), (10, axis(9, 10)), (11, None), (11, [])]
+    got = embedding_near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)).collect()
+    want = {1: (2, 1), 2: (1, 1), 3: (1, 1), 4: (1, 4), 5: (1, 4), 6: (1, 6), 7: (2, 6), 8: (2, 6), 9: (3, 6), 10: (0, 10), 11: (0, 11)}
+    assert len(got) == len(rows) and all((r.n_links, r.component_id, r.kept) == (*want[r.vec_id], want[r.vec_id][1] == r.vec_id) for r in got)
+
+
 def test_html_cases(spark):
     tree = grow_tree(LABELLED[:, :-1], LABELLED[:, -1])
     page = """<html><head><title>t</title><script>var x = "</p>";</script></head><body><header class=top><p>Site name</p></header><nav><a href=/>Home</a></nav>
