@@ -49,8 +49,13 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def benchmark_free(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a passage of the benchmark go."""
-    hit = find_benchmark(docs, table(spark, sf_dir, "benchmark")).where(F.size("spans") > 0).select("doc_id").distinct()
-    return docs.join(hit, "doc_id", "left_anti").select(*COLUMNS)
+    benchmark = table(spark, sf_dir, "benchmark")
+    hit = find_benchmark(docs, benchmark).where(F.size("spans") > 0).select("doc_id").distinct()
+    # rows without id match no id; the few of them are numbered
+    loose = written(docs.where("doc_id is null").withColumn("_row", F.monotonically_increasing_id()), "loose")
+    loose_hit = find_benchmark(loose, benchmark, id_col="_row").where(F.size("spans") > 0).select("_row")
+    named = docs.where("doc_id is not null").join(hit, "doc_id", "left_anti").select(*COLUMNS)
+    return named.unionByName(loose.join(loose_hit, "_row", "left_anti").select(*COLUMNS))
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -358,3 +358,14 @@ def test_pipeline_stages(spark):
         before = after
     mix = p.STAGES[-1][1](spark, docs, DATA).toPandas()
     assert sorted(mix.doc_id) == sorted(before)
+
+
+def test_pipeline_drops_contaminated_rows_without_id(spark):
+    import corpus_pipeline as p
+
+    item = spark.read.parquet(f"{DATA}/benchmark.parquet").orderBy("item_id").first().text
+    rows = [(1, "clean words", "en", "s", 1), (2, item, "en", "s", 1), (None, item, "en", "s", 1), (None, "clean words too", "en", "s", 1), (None, None, "en", "s", 1), (None, f"x {item} y", "en", "s", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    assert sorted(((r.doc_id, r.text) for r in p.benchmark_free(spark, docs, DATA).collect()), key=str) == [(1, "clean words"), (None, "clean words too"), (None, None)]
+
+
