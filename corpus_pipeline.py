@@ -18,7 +18,7 @@ from tallyhouse.llm.queries import crc_mod, ship_package, table
 from tallyhouse.llm.scratch import written
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-#: Texts whose language is surer than this stay.
+#: Texts whose language is surer than this stay; it is close to the floor of the score, so in practice only "und" goes.
 LEAST_SCORE = 0.3
 
 
@@ -27,7 +27,7 @@ def _documents(rows: DataFrame) -> DataFrame:
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts in one of the learned languages; null texts and those without a letter go."""
+    """Null texts and those without a letter go; a text in a language that wasn't learned is taken for one that was."""
     ship_package(spark)
     model = train_language_model(docs.where(crc_mod("doc_id", 4) != 2))
     told = predict_language(docs.select(*COLUMNS), model)
