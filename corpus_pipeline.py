@@ -74,5 +74,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return STAGES[-1][1](spark, docs, sf_dir)
 
 
-#: Naive Bayes can't be told in SQL; the pipeline is tested against a brute-force version.
+#: Naive Bayes can't be told in SQL.  In the tests language ID is held to op6, mixing to OP3_SQL, the other stages to brute force.
 ORACLE_SQL = None

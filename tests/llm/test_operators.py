@@ -369,3 +369,53 @@ def test_pipeline_drops_contaminated_rows_without_id(spark):
     assert sorted(((r.doc_id, r.text) for r in p.benchmark_free(spark, docs, DATA).collect()), key=str) == [(1, "clean words"), (None, "clean words too"), (None, None)]
 
 
+def test_pipeline_stages_against_other_ways(spark):
+    """Language ID against op6, line dedup and n-gram join against all pairs that share a shingle, mixing against OP3_SQL."""
+    import corpus_pipeline as p
+    import duckdb
+
+    from tallyhouse.llm.scratch import written
+
+    words_of = lambda t: re.findall(r"[^\x20\x09-\x0D]+", t)
+
+    def similar(sets):
+        """Pairs (i, j), i < j, of sets with a Jaccard similarity of 0.8 or more."""
+        holders, pairs = defaultdict(list), Counter()
+        for j, own in enumerate(sets):
+            for x in own:
+                pairs.update((i, j) for i in holders[x])
+                holders[x].append(j)
+        return [(i, j) for (i, j), both in pairs.items() if 100 * both >= 80 * (len(sets[i]) + len(sets[j]) - both)]
+
+    def shingles_of(w):
+        return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    before = {r.doc_id: r.text for r in docs.collect()}
+    stages = dict(p.STAGES)
+    docs = written(stages["language id"](spark, docs, DATA), "stage")
+    after = {r.doc_id: r.text for r in docs.collect()}
+    told = q.op6_language_id(spark, DATA).where((F.col("lang_pred") != "und") & (F.col("score") >= p.LEAST_SCORE)).collect()
+    assert after == {r.doc_id: before[r.doc_id] for r in told}
+
+    docs, before = written(stages["line dedup"](spark, docs, DATA), "stage"), after
+    after = {r.doc_id: r.text for r in docs.collect()}
+    lines = [(i, at, shingles_of(words_of(x.lower()))) for i, t in sorted(before.items()) for at, x in enumerate(t.split("\n"))]
+    gone = {lines[j][:2] for _, j in similar([x[2] for x in lines])}
+    want = {}
+    for i, t in before.items():
+        kept = "\n".join(x for at, x in enumerate(t.split("\n")) if (i, at) not in gone)
+        if kept == t or words_of(kept):
+            want[i] = kept
+    assert gone and after == want
+
+    docs, before = written(stages["n-gram join"](spark, docs, DATA), "stage"), after
+    after = {r.doc_id: r.text for r in docs.collect()}
+    ids = sorted(before)
+    comp = groups([(ids[i], ids[j]) for i, j in similar([shingles_of(words_of(low(before[i]))) for i in ids])], ids)
+    assert after == {i: before[i] for i in ids if comp[i] == i}
+
+    docs = written(stages["decontamination"](spark, docs, DATA), "stage")
+    con = duckdb.connect()
+    documents = docs.toPandas()  # noqa: F841 (the table of the SQL)
+    assert rows_of(stages["mixing"](spark, docs, DATA).toPandas()) == rows_of(con.execute(q.SQL["op3_mixing"]).fetchdf())
