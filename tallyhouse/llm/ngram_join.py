@@ -329,15 +329,20 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     )
     links = written(tiles.groupBy("home", "low", "high").applyInArrow(_tile(num, den), "kind int, a long, b long"), "links")
 
-    joined = written(components(links.where("kind = 0").select("a", "b")), "joined")
+    # ids with several texts are joined with the representatives of all of them
+    kinds = keys.where("id is not null").groupBy("id").agg(F.min(F.struct("key1", "key2")).alias("low"), F.max(F.struct("key1", "key2")).alias("high"))
+    several = written(kinds.where("low <> high").select("id"), "several")
+    theirs = written(only_ids(full, several, "left_semi").select("id", "key1", "key2").distinct().join(classes, ["key1", "key2"]).select("id", "rep"), "theirs")
+    joined = written(components(links.where("kind = 0").select("a", "b").union(theirs.select(F.col("id").alias("a"), F.col("rep").alias("b")))), "joined")
     counts = links.where("kind = 1").groupBy(F.col("a").alias("node")).agg(F.sum("b").alias("links"))
     by_class = classes.join(joined.withColumnRenamed("node", "rep"), "rep", "left").join(counts.withColumnRenamed("node", "rep"), "rep", "left")
     by_class = by_class.select("key1", "key2", F.coalesce("component", "rep").alias("component"), (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("links"))
-    found = keys.join(by_class, ["key1", "key2"], "left")
+    by_id = theirs.withColumn("node", F.col("rep")).join(joined, "node", "left").groupBy("id").agg(F.min(F.coalesce("component", "rep")).alias("id_component"))
+    found = keys.join(by_class, ["key1", "key2"], "left").join(by_id, "id", "left")
     alone = F.col("id").isNotNull()
     return found.select(
         F.col("id").alias(id_col),
         F.col("n").alias("n_shingles"),
         F.when(alone & (F.col("n") > 0), F.col("links")).when(alone, F.lit(0)).cast("long").alias("n_links"),
-        F.when(alone, F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("id"))).alias("component_id"),
+        F.when(alone, F.coalesce("id_component", F.when(F.col("n") > 0, F.col("component")), "id")).alias("component_id"),
     )

@@ -98,6 +98,13 @@ def test_ngram_join_of_nothing_and_of_repeated_rows(spark):
     assert sorted(map(tuple, ngram_jaccard_join(twice).collect())) == [(1, 2, 1, 1), (1, 2, 1, 1), (2, 2, 1, 1)]
 
 
+def test_ngram_join_of_ids_with_several_texts(spark):
+    p, q_, r = ("a b c d e f", " ".join(f"w{i}" for i in range(40)), "one two three four five six")
+    rows = [(6, p), (7, q_), (8, q_.replace("w39", "v")), (9, p), (9, q_), (2, r), (3, r), (3, None), (4, "alone here"), (None, p)]
+    got = {(x.doc_id, x.component_id) for x in ngram_jaccard_join(docs_of(spark, rows).repartition(3)).collect()}
+    assert got == {(6, 6), (7, 6), (8, 6), (9, 6), (2, 2), (3, 2), (4, 4), (None, None)}
+
+
 def test_line_dedup_equals_sql(spark, duck):
     assert rows_of(q.op4_line_dedup(spark, DATA).toPandas()) == rows_of(duck.execute(q.SQL["op4_line_dedup"]).fetchdf())
 
