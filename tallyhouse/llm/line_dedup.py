@@ -1,91 +1,65 @@
 """Line dedup by an exact set-similarity join.
 
-A line's tokens are its distinct shingles of ``k`` words (of a shorter line its whole sequence of words), ordered by rarity: by the count of the
-rarest of their words (words are counted in hashed buckets over the whole table), then by
-hash.  Two lines with Jaccard similarity num/den share a token in their prefixes, at places
-from which the overlap can still be reached (prefix, positional and length filters), and the
-parity bitmaps of their sets differ in few bits.
+A line's tokens are its distinct shingles of ``k`` words (of a shorter line its whole sequence of
+words).  In a common order of tokens, two lines with Jaccard similarity num/den share one of the
+first n - ceil(num/den * n) + 1 of each (their prefixes), at places from which the overlap can still
+be reached (prefix, positional and length filters).  Equal token sets are one line from the start.
+
+The order is by rarity, found in two steps, so that no frequency of a token that no other line has is ever shuffled:
+
+1. All lines give the prefix of their tokens by hash.  Its tokens are counted: those of one line find
+   nothing, those of up to ``FREQUENT`` lines are joined at once.  A pair with such a token in both prefixes is
+   found here.
+2. Any other similar pair shares only frequent tokens in these prefixes, so both of its lines hold some.  Those lines order all of
+   their tokens by exact frequency among themselves, then by hash, and are joined by the prefixes of that
+   order, in bands of length.
 
 Whether a line goes depends only on some earlier line being similar, so candidates are found by
-semi joins: their output is at most one row for each posting, however many copies a line
-has.  Equal token sets are one line from the start.
+semi joins: their output is at most one row for each posting, however many copies a line has.
 
-Words are counted and tokens made by DataFrame functions (``native``) or in numpy, which takes
-about a third of their CPU time.  All that follows is joins and aggregations.
+Tokens are made by DataFrame functions (``native``) or in numpy.  All that follows is joins and
+aggregations.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .ngram_join import only_ids
 from .scratch import drop, written, written_at
 from .textkit import NOT_BLANK, mix, pieces, shingles, string_parts, word_hashes, words
 
-#: Buckets of word counts: the counts are one array of so many numbers, whatever the input.
-BUCKETS = 1 << 16
+#: Lines with a token in their prefix from which on it counts as frequent.
+FREQUENT = 128
 #: Removed lines up to which their list may be broadcast (8 bytes each); beyond, texts are shuffled by id.
 BROADCAST_LINES = 2_000_000
-#: Tokens of several lines up to which their set may be broadcast (8 bytes each); beyond, postings are shuffled.
-BROADCAST_TOKENS = 3_000_000
+#: Tokens of several lines up to which their counts may be broadcast (16 bytes each); beyond, postings are shuffled.
+BROADCAST_TOKENS = 1_500_000
 #: Lines up to which a list of them may be broadcast (16 to 24 bytes each).
 BROADCAST_WANTED = 1_000_000
-_HASH = np.uint64((1 << 48) - 1)
-_BUCKET = np.uint64(BUCKETS - 1)
-
-
-def _counts(batches):
-    """(bucket, n): words by bucket of their hash; one set of buckets for each task."""
-    total = np.zeros(BUCKETS, np.int64)
-    for batch in batches:
-        data, offsets = string_parts(batch.column("low"))
-        for a, b in pieces(offsets):
-            own = data[offsets[a] : offsets[b]]
-            starts, ends, _ = words(own, offsets[a : b + 1] - offsets[a], NOT_BLANK)
-            total += np.bincount((word_hashes(own, starts, ends) & _BUCKET).astype(np.int64), minlength=BUCKETS)
-    full = np.flatnonzero(total)
-    yield pa.RecordBatch.from_arrays([pa.array(full.astype(np.int32)), pa.array(total[full])], names=["bucket", "n"])
-
-
-def rarity(low: DataFrame) -> np.ndarray:
-    """A number for each bucket that grows with the count of its words, under 2**15."""
-    return _levels(low.select("low").mapInArrow(_counts, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")))
 
 
-def _levels(counts: DataFrame) -> np.ndarray:
-    level = np.zeros(BUCKETS, np.uint64)
-    for bucket, rank in counts.select("bucket", F.least(F.round(F.log("n") * 700), F.lit(32767)).cast("int")).collect():
-        level[bucket] = rank
-    return level
-
-
-def _token_sets(data: np.ndarray, offsets: np.ndarray, level: np.ndarray, k: int, least_words: int):
-    """Token sets of the lines of some texts: text and line of each, where its tokens start, all tokens sorted.
-
-    A token has 15 bits of rarity (of the rarest word in it) above 48 of hash.
-    """
+def _token_sets(data: np.ndarray, offsets: np.ndarray, k: int, least_words: int):
+    """Token sets of the lines of some texts: text and line of each, where its tokens start, all tokens sorted."""
     starts, ends, bounds = words(data, offsets, NOT_BLANK)
     breaks = np.flatnonzero(data == 10)
     text = np.repeat(np.arange(len(offsets) - 1), np.diff(bounds))
     unit = np.searchsorted(breaks, starts) + text  # a number for each line, growing over all texts
     h = word_hashes(data, starts, ends)
     n = max(0, len(h) - k + 1)
-    rank = level[(h & _BUCKET).astype(np.int64)]
-    rare = rank[:n].copy()
-    for i in range(1, k):
-        np.minimum(rare, rank[i : i + n], out=rare)
     size = np.bincount(unit)[unit]
     keep = np.flatnonzero((unit[:n] == unit[k - 1 :][:n]) & (size[:n] >= least_words)) if n else np.zeros(0, np.int64)
-    token = (shingles(h, k)[keep] & _HASH) | (rare[keep] << np.uint64(48))
+    token = shingles(h, k)[keep]
     lead = np.flatnonzero(np.diff(unit, prepend=-1))
     for m in range(max(1, least_words), k):  # a shorter line has one token, its whole sequence
         at = lead[size[lead] == m]
-        rare = rank[at[:, None] + np.arange(m)].min(axis=1)
-        keep, token = np.concatenate([keep, at]), np.concatenate([token, (shingles(h, m)[at] & _HASH) | (rare << np.uint64(48))])
-    unit, text = unit[keep], text[keep]
+        keep, token = np.concatenate([keep, at]), np.concatenate([token, shingles(h, m)[at]])
+    unit, text, token = unit[keep], text[keep], token.view(np.int64)
     order = np.lexsort((token, unit))
     token, unit, text = token[order], unit[order], text[order]
     new = np.ones(len(token), bool)
@@ -98,34 +72,29 @@ def _token_sets(data: np.ndarray, offsets: np.ndarray, level: np.ndarray, k: int
 
 
 def _runs(values: np.ndarray, sizes: np.ndarray) -> pa.Array:
-    return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)), pa.array(values.view(np.int64)))
+    return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)), pa.array(values))
 
 
-LINES = "id long, line int, key1 long, key2 long, n int, bits1 long, bits2 long, tokens array<long>"
+LINES = "id long, line int, key1 long, key2 long, n int, tokens array<long>"
 
 
-def _lines(level: np.ndarray, k: int, num: int, den: int, least_words: int, whole: bool):
-    """Rows of ``LINES``: two hashes of the token set, its size, its parity bitmap, and its prefix (or all of it)."""
+def _lines(k: int, num: int, den: int, least_words: int, whole: bool):
+    """Rows of ``LINES``: two hashes of the token set, its size, and its prefix by hash (or all of it)."""
 
     def run(batches):
         for batch in batches:
             ids = batch.column("id").to_numpy(zero_copy_only=False)
             data, offsets = string_parts(batch.column("low"))
             for a, b in pieces(offsets):
-                text, line, at, token = _token_sets(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], level, k, least_words)
+                text, line, at, token = _token_sets(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], k, least_words)
                 if not len(at):
                     continue
                 n = np.diff(np.concatenate((at, [len(token)])))
-                bit, side = np.uint64(1) << (token & np.uint64(63)), (token >> np.uint64(6)) & np.uint64(1)
-                parts = [mix(token.copy()), mix(token ^ np.uint64(0x5851F42D4C957F2D))]
-                sums = [np.add.reduceat(x, at) for x in parts] + [np.bitwise_xor.reduceat(bit * s, at) for s in (side, side ^ np.uint64(1))]
+                bits = token.view(np.uint64)
+                key1, key2 = (pa.array(np.add.reduceat(mix(x), at).view(np.int64)) for x in (bits.copy(), bits ^ np.uint64(0x5851F42D4C957F2D)))
                 size = n if whole else n - (n * num + den - 1) // den + 1
                 held = token if whole else token[np.arange(len(token)) - np.repeat(at, n) < np.repeat(size, n)]
-                key1, key2, bits1, bits2 = (pa.array(x.view(np.int64)) for x in sums)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids[a:b][text]), pa.array(line.astype(np.int32)), key1, key2, pa.array(n.astype(np.int32)), bits1, bits2, _runs(held, size)],
-                    names=["id", "line", "key1", "key2", "n", "bits1", "bits2", "tokens"],
-                )
+                yield pa.RecordBatch.from_arrays([pa.array(ids[a:b][text]), pa.array(line.astype(np.int32)), key1, key2, pa.array(n.astype(np.int32)), _runs(held, size)], names=["id", "line", "key1", "key2", "n", "tokens"])
 
     return run
 
@@ -134,40 +103,25 @@ def _spaced(low: Column) -> Column:
     return F.translate(low, "\t\x0b\x0c\r", "    ")
 
 
-def rarity_native(low: DataFrame) -> Column:
-    """As ``rarity``, by functions alone: an array column that the optimizer folds to a constant."""
-    word = low.select(F.explode(F.split(F.translate(_spaced(F.col("low")), "\n", " "), " ")).alias("w")).where("w <> ''")
-    counts = word.groupBy(F.xxhash64("w").bitwiseAND(BUCKETS - 1).alias("bucket")).agg(F.count("*").alias("n"))
-    return F.split(F.lit(",".join(map(str, _levels(counts).tolist()))), ",").cast("array<int>")
-
-
-def _native_tokens(w: Column, level: Column, k: int) -> Column:
-    """Sorted distinct tokens of a line of words; of words past its end a shingle takes no notice."""
-    mask = int(_HASH)
-    hashes = F.transform(w, lambda x: F.xxhash64(x))
-    word = F.transform(hashes, lambda h: F.shiftleft(F.get(level, h.bitwiseAND(BUCKETS - 1).cast("int")).cast("long"), 48).bitwiseOR(h.bitwiseAND(mask)))
+def _once(value: Column) -> Column:
+    """``value`` as a generator of one row: what filters and later columns read of it isn't computed again for each."""
+    return F.explode(F.array(value))
 
-    def shingle(i, ws):
-        of = [F.get(ws, i + j) for j in range(k)]
-        rare = F.least(*of) if k > 1 else of[0]
-        # without nulls longs are sorted as such
-        return F.coalesce(rare.bitwiseAND(~mask).bitwiseOR(F.xxhash64(*of).bitwiseAND(mask)), F.lit(0))
 
-    # the words go through a one-element array, so that they are made once
-    return F.get(F.transform(F.array(word), lambda ws: F.sort_array(F.array_distinct(F.transform(F.sequence(F.lit(0), F.greatest(F.size(ws) - k, F.lit(0))), lambda i: shingle(i, ws))))), 0)
-
-
-def _native_lines(low: DataFrame, level: Column, k: int, num: int, den: int, least_words: int, whole: bool) -> DataFrame:
-    """Rows of ``LINES`` by functions alone; the bitmap has 63 bits."""
+def _native_lines(low: DataFrame, k: int, num: int, den: int, least_words: int, whole: bool, wanted: DataFrame | None = None) -> DataFrame:
+    """Rows of ``LINES`` by functions alone; of the lines ``wanted`` (id, line), if given, only."""
     lines = low.select("id", F.posexplode(F.split(_spaced(F.col("low")), "\n")).alias("line", "s"))
-    split = lines.select("id", "line", F.array_remove(F.split("s", " "), "").alias("w")).where(F.size("w") >= max(1, least_words))
-    made = split.select("id", "line", _native_tokens(F.col("w"), level, k).alias("t"))
+    if wanted is not None:
+        lines = lines.join(wanted, ["id", "line"], "left_semi")
+    hashed = lines.select("id", "line", _once(F.transform(F.array_remove(F.split("s", " "), ""), lambda w: F.xxhash64(w))).alias("h"))
+    hashed = hashed.where(F.size("h") >= max(1, least_words))
+    # nulls behind the last word of a line of under k words leave a hash as it is
+    count = F.greatest(F.size("h") - (k - 1), F.lit(1))
+    runs = F.arrays_zip(*[F.slice("h", F.lit(1 + i), count).alias(f"w{i}") for i in range(k)])
+    made = hashed.select("id", "line", F.sort_array(F.array_distinct(F.transform(runs, lambda run: F.xxhash64(run)))).alias("t"))
     n = F.size("t")
     prefix = F.slice("t", F.lit(1), n - F.floor((n * num + (den - 1)) / F.lit(den)).cast("int") + 1)
-    powers = F.lit([1 << i for i in range(63)])
-    flipped = F.aggregate("t", F.lit(0).cast("long"), lambda b, t: b.bitwiseXOR(F.coalesce(F.get(powers, (t % 63).cast("int")), F.lit(0))))
-    bits = F.lit(0).cast("long") if whole else flipped
-    return made.select("id", "line", F.xxhash64("t").alias("key1"), F.xxhash64(F.lit(1), "t").alias("key2"), n.alias("n"), bits.alias("bits1"), F.lit(0).cast("long").alias("bits2"), (F.col("t") if whole else prefix).alias("tokens"))
+    return made.select("id", "line", F.xxhash64("t").alias("key1"), F.xxhash64(F.lit(1), "t").alias("key2"), n.alias("n"), (F.col("t") if whole else prefix).alias("tokens"))
 
 
 def _earlier(y: str, x: str) -> Column:
@@ -176,76 +130,103 @@ def _earlier(y: str, x: str) -> Column:
 
 
 def _may_reach(x: str, y: str, num: int, den: int) -> Column:
-    """Length, positional and bitmap filter for postings of one token."""
+    """Length and positional filter for postings of one token."""
     xn, yn, xp, yp = (F.col(f"{a}.{b}") for a, b in ((x, "n"), (y, "n"), (x, "pos"), (y, "pos")))
     fits = (yn * den >= xn * num) & (xn * den >= yn * num)
     # overlap o reaches num/den if o * (num + den) >= num * (n + m)
-    fits &= F.least(xn - xp, yn - yp) * (num + den) >= (xn + yn) * num
-    # bits of odd counts that differ are no more than the tokens that differ, n + m - 2 * o
-    apart = sum((F.bit_count(F.col(f"{x}.{b}").bitwiseXOR(F.col(f"{y}.{b}"))) for b in ("bits1", "bits2")), F.lit(0))
-    return fits & (apart * (num + den) <= (xn + yn) * (den - num))
+    return fits & (F.least(xn - xp, yn - yp) * (num + den) >= (xn + yn) * num)
+
+
+def _alike(num: int, den: int) -> Column:
+    return F.size(F.array_intersect("x.t", "y.t")) * (num + den) >= (F.col("x.n") + F.col("y.n")) * num
+
+
+def _small(df: DataFrame, most: int) -> DataFrame:
+    """``df``, a written table, to be broadcast if it is counted to be small."""
+    return F.broadcast(df) if df.count() <= most else df
 
 
-def similar_lines(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, least_words: int = 5, native: bool = True) -> DataFrame:
+def _frequent_pairs(sets: DataFrame, num: int, den: int) -> DataFrame:
+    """(id, line) of those ``sets`` (id, line, key1, n, t) that an earlier one is similar to, by prefixes in order of frequency."""
+    which = ["id", "line", "key1"]
+    token = sets.select(*which, "n", F.explode("t").alias("token"))
+    shared = written(token.groupBy("token").agg(F.count("*").alias("c")).where("c > 1"), "frequencies")
+    known = token.join(_small(shared, BROADCAST_TOKENS), "token")
+    # tokens of one line come first in its order; there are n less the shared ones of them
+    line = known.groupBy(*which, "n").agg(F.sort_array(F.collect_list(F.struct("c", "token"))).alias("own"))
+    own = F.col("n") - F.size("own")
+    length = F.greatest(F.col("n") - F.floor((F.col("n") * num + (den - 1)) / F.lit(den)).cast("int") + 1 - own, F.lit(0))
+    prefix = line.select(*which, "n", own.alias("before"), F.posexplode(F.slice("own", F.lit(1), length)).alias("at", "o"))
+    band = F.floor(F.log(F.col("n").cast("double")) / math.log(den / num)) if den > num else F.col("n")
+    prefix = prefix.select(*which, "n", (F.col("before") + F.col("at")).alias("pos"), F.col("o.token").alias("token"), band.cast("int").alias("band"))
+    prefix = written(prefix.join(sets.select(*which, "t"), which), "prefixes")
+    # lengths that fit lie in the same band or next to it
+    x, y = prefix.withColumn("band", F.explode(F.array(*[F.col("band") + i for i in (-1, 0, 1)]))).alias("x"), prefix.alias("y")
+    pair = (F.col("x.token") == F.col("y.token")) & (F.col("x.band") == F.col("y.band")) & _earlier("y", "x") & _may_reach("x", "y", num, den)
+    return x.join(y, pair & _alike(num, den), "left_semi").select("x.id", "x.line")
+
+
+def similar_lines(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, least_words: int = 5, native: bool = True, frequent: int = FREQUENT) -> DataFrame:
     """(id, line) of the lines of ``docs`` (id, text) that an earlier line is similar to."""
     spark = docs.sparkSession
     low = docs.select("id", F.lower("text").alias("low"))
-    level = rarity_native(low) if native else rarity(low)
-
-    def made(rows: DataFrame, whole: bool) -> DataFrame:
-        if native:
-            return _native_lines(rows, level, k, num, den, least_words, whole)
-        return rows.mapInArrow(_lines(level, k, num, den, least_words, whole), LINES)
-
-    lines, lines_uri = written_at(made(low, False), "lines")
+    which = ["id", "line", "key1"]
+    made = _native_lines(low, k, num, den, least_words, False) if native else low.mapInArrow(_lines(k, num, den, least_words, False), LINES)
+    lines, lines_uri = written_at(made, "lines")
     first = lines.groupBy("key1", "key2").agg(F.min(F.struct("id", "line")).alias("f")).select("f.*")
     copies = written(lines.select("id", "line").join(first, ["id", "line"], "left_anti"), "copies")
     # of equal sets, the first one's postings are compared
-    own = lines.join(F.broadcast(copies) if copies.count() <= BROADCAST_WANTED else copies, ["id", "line"], "left_anti")
+    own = lines.join(_small(copies, BROADCAST_WANTED), ["id", "line"], "left_anti")
 
     # most prefix tokens occur once: only those of two lines or more are joined
-    held = own.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("c")).where("c > 1")
-    held = written(held.select("token"), "held")
-    postings = own.select("id", "line", "key1", "n", "bits1", "bits2", F.posexplode("tokens").alias("pos", "token"))
-    postings = written(postings.join(F.broadcast(held) if held.count() <= BROADCAST_TOKENS else held, "token", "left_semi"), "postings")
+    held = written(own.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("c")).where("c > 1"), "held")
+    postings = own.select(*which, "n", F.posexplode("tokens").alias("pos", "token"))
+    postings = written(postings.join(_small(held, BROADCAST_TOKENS), "token"), "postings")
     drop(spark, lines_uri)
-    x, y = postings.alias("x"), postings.alias("y")
+    rare = postings.where(F.col("c") <= frequent).drop("c")
+    x, y = rare.alias("x"), rare.alias("y")
     pair = (F.col("x.token") == F.col("y.token")) & _earlier("y", "x") & _may_reach("x", "y", num, den)
     later = written(x.join(y, pair, "left_semi").select("x.*"), "later")
     x = later.alias("x")
     partner = written(y.join(x, pair, "left_semi").select("y.*"), "partner")
-    which = ["id", "line", "key1"]
-    wanted = written(later.select(*which).union(partner.select(*which)).distinct(), "wanted")
+    often = postings.where(F.col("c") > frequent).select(*which, F.lit(True).alias("often"))
+    wanted = later.select(*which, F.lit(False).alias("often")).unionByName(partner.select(*which, F.lit(False).alias("often"))).unionByName(often)
+    wanted = written(wanted.groupBy(*which).agg(F.max("often").alias("often")), "wanted")
+
+    places = _small(wanted, BROADCAST_WANTED)
     texts = only_ids(low.where("id is not null"), wanted.select("id").distinct(), "left_semi")
-    again = made(texts, True).select(*which, F.col("tokens").alias("t"))
-    few = wanted.count() <= BROADCAST_WANTED
-    sets = written(again.join(F.broadcast(wanted) if few else wanted, which, "left_semi").dropDuplicates(which), "sets")
-    x, y = later.join(sets, which).alias("x"), partner.join(sets, which).alias("y")
-    both = F.size(F.array_intersect("x.t", "y.t"))
-    alike = both * (num + den) >= (F.col("x.n") + F.col("y.n")) * num
-    near = x.join(y, pair & alike, "left_semi").select("x.id", "x.line")
-    return copies.unionByName(near.distinct()).distinct()
+    again = _native_lines(texts, k, num, den, least_words, True, places.select("id", "line")) if native else texts.mapInArrow(_lines(k, num, den, least_words, True), LINES)
+    sets = again.select(*which, "n", F.col("tokens").alias("t")).join(places, which)
+    sets = written(sets.dropDuplicates(which), "sets")
+    x, y = later.join(sets.select(*which, "t"), which).alias("x"), partner.join(sets.select(*which, "t"), which).alias("y")
+    near = x.join(y, pair & _alike(num, den), "left_semi").select("x.id", "x.line")
+    near = near.unionByName(_frequent_pairs(sets.where("often").drop("often"), num, den))
+    return copies.unionByName(near).distinct()
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, num: int = 80, den: int = 100, least_words: int = 5, native: bool = True) -> DataFrame:
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, num: int = 80, den: int = 100, least_words: int = 5, native: bool = True, frequent: int = FREQUENT) -> DataFrame:
     """``docs`` without lines similar to an earlier one, with n_lines and n_removed.
 
     Earlier is by id, then by place in the text; the similarity is that of the sets of ``k``-word shingles,
     num/den or more, and equal lines have it.  Lines under ``least_words`` words, and those without words, stay; lines of
     ``least_words`` to ``k`` - 1 words go if they repeat an earlier line's words.  A null text stays
     null with no lines; rows with a null id pass unchanged and aren't compared.  Rows that repeat an id
-    are judged by their lines' places as one document.  ``native`` says how tokens are made, not which lines go.  Other columns pass; those called n_lines or n_removed are replaced.
+    are judged by their lines' places as one document.  ``native`` says how tokens are made and
+    ``frequent`` from which count on they are ordered by frequency, not which lines go.  Other columns pass, whatever their names; those called n_lines or n_removed are replaced.
     """
     rest = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
-    docs = docs.select(*rest)
-    key = F.col(id_col).cast("long")
-    gone = similar_lines(docs.select(key.alias("id"), F.col(text_col).cast("string").alias("text")).where("id is not null"), k, num, den, least_words, native)
-    gone = written(gone.groupBy(F.col("id").alias("_id")).agg(F.sort_array(F.collect_set("line")).alias("_gone")), "gone")
-    few = (gone.agg(F.sum(F.size("_gone") + 2)).first()[0] or 0) <= BROADCAST_LINES
-    rows = docs.join(F.broadcast(gone) if few else gone, key == F.col("_id"), "left")
-    lines = F.split(F.col(text_col), "\n")
-    kept = F.filter(lines, lambda line, i: ~F.array_contains("_gone", i))
-    text = F.when(F.col("_gone").isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n"))
-    n = F.when(F.col(text_col).isNotNull(), F.size(lines)).otherwise(0).cast("long")
-    left = F.when(F.col("_gone").isNull(), n).otherwise(F.size(kept).cast("long"))
-    return rows.select(*[text.alias(c) if c == text_col else F.col(c) for c in rest], n.alias("n_lines"), (n - left).alias("n_removed"))
+    # the rows travel as one struct, so that no name of theirs meets one made here
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in rest]).alias("row"))
+    value = F.col("row").getField(text_col)
+    ids = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    gone = similar_lines(ids.where("id is not null"), k, num, den, least_words, native, frequent)
+    gone = written(gone.groupBy("id").agg(F.sort_array(F.collect_set("line")).alias("gone")), "gone")
+    few = (gone.agg(F.sum(F.size("gone") + 2)).first()[0] or 0) <= BROADCAST_LINES
+    rows = rows.join(F.broadcast(gone) if few else gone, F.col("row").getField(id_col).cast("long") == F.col("id"), "left")
+    # split once, so that lines are taken by place in time linear in them
+    rows = rows.select("row", "gone", _once(F.split(value, "\n")).alias("lines"))
+    n = F.when(value.isNotNull(), F.size("lines")).otherwise(0).cast("long")
+    kept = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), "gone")
+    text = F.when(F.col("gone").isNull(), value).otherwise(F.array_join(F.transform(kept, lambda i: F.get("lines", i)), "\n"))
+    removed = F.when(F.col("gone").isNull() | value.isNull(), F.lit(0).cast("long")).otherwise(F.size("lines").cast("long") - F.size(kept))
+    return rows.select(*[text.alias(c) if c == text_col else F.col("row").getField(c).alias(c) for c in rest], n.alias("n_lines"), removed.alias("n_removed"))

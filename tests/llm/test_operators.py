@@ -151,6 +151,35 @@ def test_short_lines_against_brute_force(spark, least_words):
         assert sorted((r.doc_id, r.text) for r in got.collect()) == want
 
 
+@pytest.mark.parametrize("frequent", [0, 2, 1000])
+def test_line_dedup_by_frequency_against_brute_force(spark, frequent):
+    """Lines over a few frequent tokens, in which near copies differ at an end or inside."""
+    rng = random.Random(frequent)
+    stock = [" ".join(f"s{rng.randrange(12)}" for _ in range(12)) for _ in range(6)]
+    docs = []
+    for i in range(60):
+        lines = []
+        for _ in range(rng.randrange(1, 4)):
+            w = " ".join(rng.choice(stock) for _ in range(rng.randrange(1, 5))).split()
+            for _ in range(rng.randrange(3)):
+                w[rng.choice([0, -1, rng.randrange(len(w))])] = f"v{rng.randrange(5)}"
+            lines.append(" ".join(w))
+        docs.append((i, "\n".join(lines)))
+    gone = similar_to_earlier(docs, 1)
+    want = [(i, "\n".join(x for at, x in enumerate(t.split("\n")) if (i, at) not in gone)) for i, t in docs]
+    got = dedup_lines(docs_of(spark, docs).repartition(3), least_words=1, frequent=frequent)
+    assert gone and sorted((r.doc_id, r.text) for r in got.collect()) == want
+
+
+def test_line_dedup_with_clashing_names_and_many_repeats(spark):
+    names = ["id", "line", "row", "gone", "lines", "_id", "_gone", "n", "key1", "n_lines"]
+    docs = spark.createDataFrame([(1, "a b c d e f\n" * 20_000, *names)], ["doc_id", "text", *names])
+    got = dedup_lines(docs)
+    assert got.columns == ["doc_id", "text", *names[:-1], "n_lines", "n_removed"]
+    r = got.first()
+    assert (r.text, r.n_lines, r.n_removed, r["_gone"]) == ("a b c d e f\n", 20_001, 19_999, "_gone")
+
+
 def test_suffix_array_and_index():
     rng = np.random.default_rng(0)
     for n, top in ((1, 1), (50, 2), (400, 3), (300, 5000)):
