@@ -115,10 +115,13 @@ def _native_lines(low: DataFrame, k: int, num: int, den: int, least_words: int,
         lines = lines.join(wanted, ["id", "line"], "left_semi")
     hashed = lines.select("id", "line", _once(F.transform(F.array_remove(F.split("s", " "), ""), lambda w: F.xxhash64(w))).alias("h"))
     hashed = hashed.where(F.size("h") >= max(1, least_words))
-    # nulls behind the last word of a line of under k words leave a hash as it is
-    count = F.greatest(F.size("h") - (k - 1), F.lit(1))
-    runs = F.arrays_zip(*[F.slice("h", F.lit(1 + i), count).alias(f"w{i}") for i in range(k)])
-    made = hashed.select("id", "line", F.sort_array(F.array_distinct(F.transform(runs, lambda run: F.xxhash64(run)))).alias("t"))
+    def runs(h: Column) -> Column:
+        # nulls behind the last word of a line of under k words leave a hash as it is
+        return F.transform(F.sequence(F.lit(0), F.greatest(F.size(h) - k, F.lit(0))), lambda i: F.xxhash64(*[F.get(h, i + j) for j in range(k)]))
+
+    # the words go through a one-element array, so that a run reads them in place
+    tokens = F.get(F.transform(F.array("h"), runs), 0)
+    made = hashed.select("id", "line", F.sort_array(F.array_distinct(tokens)).alias("t"))
     n = F.size("t")
     prefix = F.slice("t", F.lit(1), n - F.floor((n * num + (den - 1)) / F.lit(den)).cast("int") + 1)
     return made.select("id", "line", F.xxhash64("t").alias("key1"), F.xxhash64(F.lit(1), "t").alias("key2"), n.alias("n"), (F.col("t") if whole else prefix).alias("tokens"))
@@ -173,16 +176,20 @@ def similar_lines(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, le
     which = ["id", "line", "key1"]
     made = _native_lines(low, k, num, den, least_words, False) if native else low.mapInArrow(_lines(k, num, den, least_words, False), LINES)
     lines, lines_uri = written_at(made, "lines")
-    first = lines.groupBy("key1", "key2").agg(F.min(F.struct("id", "line")).alias("f")).select("f.*")
-    copies = written(lines.select("id", "line").join(first, ["id", "line"], "left_anti"), "copies")
     # of equal sets, the first one's postings are compared
-    own = lines.join(_small(copies, BROADCAST_WANTED), ["id", "line"], "left_anti")
+    same = lines.groupBy("key1", "key2").agg(F.min(F.struct("id", "line")).alias("first"), F.max(F.struct("id", "line")).alias("last"))
+    same = written(same.where("first <> last").select("key1", "key2", "first"), "same")
+    told = lines.join(_small(same, BROADCAST_WANTED), ["key1", "key2"], "left")
+    later = F.col("first").isNotNull() & (F.col("first") != F.struct("id", "line"))
+    copies, own = told.where(later).select("id", "line"), told.where(~later)
 
     # most prefix tokens occur once: only those of two lines or more are joined
     held = written(own.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("c")).where("c > 1"), "held")
-    postings = own.select(*which, "n", F.posexplode("tokens").alias("pos", "token"))
-    postings = written(postings.join(_small(held, BROADCAST_TOKENS), "token"), "postings")
-    drop(spark, lines_uri)
+    postings = own.select(*which, "n", F.size("tokens").alias("size"), F.posexplode("tokens").alias("at", "token")).join(_small(held, BROADCAST_TOKENS), "token")
+    # tokens of one line come first in its order: they are not in any overlap, wherever they are
+    postings = postings.groupBy(*which, "n", "size").agg(F.sort_array(F.collect_list(F.struct("at", "token", "c"))).alias("own"))
+    postings = postings.select(*which, "n", (F.col("size") - F.size("own")).alias("before"), F.posexplode("own").alias("at", "o"))
+    postings = written(postings.select(*which, "n", (F.col("before") + F.col("at")).alias("pos"), "o.token", "o.c"), "postings")
     rare = postings.where(F.col("c") <= frequent).drop("c")
     x, y = rare.alias("x"), rare.alias("y")
     pair = (F.col("x.token") == F.col("y.token")) & _earlier("y", "x") & _may_reach("x", "y", num, den)
@@ -201,7 +208,9 @@ def similar_lines(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, le
     x, y = later.join(sets.select(*which, "t"), which).alias("x"), partner.join(sets.select(*which, "t"), which).alias("y")
     near = x.join(y, pair & _alike(num, den), "left_semi").select("x.id", "x.line")
     near = near.unionByName(_frequent_pairs(sets.where("often").drop("often"), num, den))
-    return copies.unionByName(near).distinct()
+    gone = written(copies.unionByName(near).distinct(), "similar")
+    drop(spark, lines_uri)
+    return gone
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, num: int = 80, den: int = 100, least_words: int = 5, native: bool = True, frequent: int = FREQUENT) -> DataFrame:
