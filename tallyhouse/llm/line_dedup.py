@@ -16,6 +16,7 @@ The order is by rarity, found in two steps, so that no frequency of a token that
 
 Whether a line goes depends only on some earlier line being similar, so candidates are found by
 semi joins: their output is at most one row for each posting, however many copies a line has.
+Sets are compared only where their parity bitmaps differ in few enough bits.
 
 Tokens are made by DataFrame functions (``native``) or in numpy.  All that follows is joins and
 aggregations.
@@ -35,7 +36,7 @@ from .scratch import drop, written, written_at
 from .textkit import NOT_BLANK, mix, pieces, shingles, string_parts, word_hashes, words
 
 #: Lines with a token in their prefix from which on it counts as frequent.
-FREQUENT = 128
+FREQUENT = 512
 #: Removed lines up to which their list may be broadcast (8 bytes each); beyond, texts are shuffled by id.
 BROADCAST_LINES = 2_000_000
 #: Tokens of several lines up to which their counts may be broadcast (16 bytes each); beyond, postings are shuffled.
@@ -144,6 +145,17 @@ def _alike(num: int, den: int) -> Column:
     return F.size(F.array_intersect("x.t", "y.t")) * (num + den) >= (F.col("x.n") + F.col("y.n")) * num
 
 
+def _bitmap(tokens: Column) -> Column:
+    """63 bits: whether the tokens of each remainder are odd in number."""
+    powers = F.lit([1 << i for i in range(63)])
+    return F.aggregate(tokens, F.lit(0).cast("long"), lambda b, t: b.bitwiseXOR(F.coalesce(F.get(powers, F.pmod(t, F.lit(63)).cast("int")), F.lit(0))))
+
+
+def _bits_fit(num: int, den: int) -> Column:
+    """Bits that differ are no more than the tokens that differ, n + m - 2 * o."""
+    return F.bit_count(F.col("x.bits").bitwiseXOR(F.col("y.bits"))) * (num + den) <= (F.col("x.n") + F.col("y.n")) * (den - num)
+
+
 def _small(df: DataFrame, most: int) -> DataFrame:
     """``df``, a written table, to be broadcast if it is counted to be small."""
     return F.broadcast(df) if df.count() <= most else df
@@ -181,7 +193,7 @@ def similar_lines(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, le
     same = written(same.where("first <> last").select("key1", "key2", "first"), "same")
     told = lines.join(_small(same, BROADCAST_WANTED), ["key1", "key2"], "left")
     later = F.col("first").isNotNull() & (F.col("first") != F.struct("id", "line"))
-    copies, own = told.where(later).select("id", "line"), told.where(~later)
+    copies, own = written(told.where(later).select("id", "line"), "copies"), told.where(~later)
 
     # most prefix tokens occur once: only those of two lines or more are joined
     held = written(own.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("c")).where("c > 1"), "held")
@@ -190,6 +202,7 @@ def similar_lines(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, le
     postings = postings.groupBy(*which, "n", "size").agg(F.sort_array(F.collect_list(F.struct("at", "token", "c"))).alias("own"))
     postings = postings.select(*which, "n", (F.col("size") - F.size("own")).alias("before"), F.posexplode("own").alias("at", "o"))
     postings = written(postings.select(*which, "n", (F.col("before") + F.col("at")).alias("pos"), "o.token", "o.c"), "postings")
+    drop(spark, lines_uri)
     rare = postings.where(F.col("c") <= frequent).drop("c")
     x, y = rare.alias("x"), rare.alias("y")
     pair = (F.col("x.token") == F.col("y.token")) & _earlier("y", "x") & _may_reach("x", "y", num, den)
@@ -203,14 +216,18 @@ def similar_lines(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, le
     places = _small(wanted, BROADCAST_WANTED)
     texts = only_ids(low.where("id is not null"), wanted.select("id").distinct(), "left_semi")
     again = _native_lines(texts, k, num, den, least_words, True, places.select("id", "line")) if native else texts.mapInArrow(_lines(k, num, den, least_words, True), LINES)
-    sets = again.select(*which, "n", F.col("tokens").alias("t")).join(places, which)
+    sets = again.select(*which, "n", F.col("tokens").alias("t"), _bitmap(F.col("tokens")).alias("bits")).join(places, which)
     sets = written(sets.dropDuplicates(which), "sets")
-    x, y = later.join(sets.select(*which, "t"), which).alias("x"), partner.join(sets.select(*which, "t"), which).alias("y")
-    near = x.join(y, pair & _alike(num, den), "left_semi").select("x.id", "x.line")
-    near = near.unionByName(_frequent_pairs(sets.where("often").drop("often"), num, den))
-    gone = written(copies.unionByName(near).distinct(), "similar")
-    drop(spark, lines_uri)
-    return gone
+    # sets travel only with postings whose bitmaps fit
+    bits, t = sets.select(*which, "bits"), sets.select(*which, "t")
+    x, y = later.join(bits, which).alias("x"), partner.join(bits, which).alias("y")
+    fits = pair & _bits_fit(num, den)
+    x = written(x.join(y, fits, "left_semi").select("x.*"), "fitting").alias("x")
+    y = written(y.join(x, fits, "left_semi").select("y.*"), "fitted")
+    x, y = x.join(t, which).alias("x"), y.join(t, which).alias("y")
+    near = x.join(y, fits & _alike(num, den), "left_semi").select("x.id", "x.line")
+    near = near.unionByName(_frequent_pairs(sets.where("often").drop("often", "bits"), num, den))
+    return copies.unionByName(near).distinct()
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, num: int = 80, den: int = 100, least_words: int = 5, native: bool = True, frequent: int = FREQUENT) -> DataFrame:
