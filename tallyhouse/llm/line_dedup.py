@@ -5,14 +5,10 @@ words).  In a common order of tokens, two lines with Jaccard similarity num/den
 first n - ceil(num/den * n) + 1 of each (their prefixes), at places from which the overlap can still
 be reached (prefix, positional and length filters).  Equal token sets are one line from the start.
 
-The order is by rarity, found in two steps, so that no frequency of a token that no other line has is ever shuffled:
-
-1. All lines give the prefix of their tokens by hash.  Its tokens are counted: those of one line find
-   nothing, those of up to ``FREQUENT`` lines are joined at once.  A pair with such a token in both prefixes is
-   found here.
-2. Any other similar pair shares only frequent tokens in these prefixes, so both of its lines hold some.  Those lines order all of
-   their tokens by exact frequency among themselves, then by hash, and are joined by the prefixes of that
-   order, in bands of length.
+The order is by rarity: tokens that no other line has in its prefix come first, the others follow.  The prefix itself is
+cut by hash, so that it can be cut before anything is counted and only prefixes are ever shuffled.  A token that one line
+alone has in its prefix may still be in another line behind its prefix, but of a similar pair the longer line has no more such tokens
+than it has tokens of its own (``_may_reach``), so its place counts them; the shorter line's place is that by hash.
 
 Whether a line goes depends only on some earlier line being similar, so candidates are found by
 semi joins: their output is at most one row for each posting, however many copies a line has.
@@ -24,23 +20,19 @@ aggregations.
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .ngram_join import only_ids
 from .scratch import drop, written, written_at
 from .textkit import NOT_BLANK, mix, pieces, shingles, string_parts, word_hashes, words
 
-#: Lines with a token in their prefix from which on it counts as frequent.
-FREQUENT = 512
 #: Removed lines up to which their list may be broadcast (8 bytes each); beyond, texts are shuffled by id.
 BROADCAST_LINES = 2_000_000
-#: Tokens of several lines up to which their counts may be broadcast (16 bytes each); beyond, postings are shuffled.
-BROADCAST_TOKENS = 1_500_000
+#: Tokens of several lines up to which their set may be broadcast (8 bytes each); beyond, postings are shuffled.
+BROADCAST_TOKENS = 3_000_000
 #: Lines up to which a list of them may be broadcast (16 to 24 bytes each).
 BROADCAST_WANTED = 1_000_000
 
@@ -118,7 +110,8 @@ def _native_lines(low: DataFrame, k: int, num: int, den: int, least_words: int,
     hashed = hashed.where(F.size("h") >= max(1, least_words))
     def runs(h: Column) -> Column:
         # nulls behind the last word of a line of under k words leave a hash as it is
-        return F.transform(F.sequence(F.lit(0), F.greatest(F.size(h) - k, F.lit(0))), lambda i: F.xxhash64(*[F.get(h, i + j) for j in range(k)]))
+        first = F.slice(h, F.lit(1), F.greatest(F.size(h) - (k - 1), F.lit(1)))
+        return F.transform(first, lambda w, i: F.xxhash64(w, *[F.get(h, i + j) for j in range(1, k)]))
 
     # the words go through a one-element array, so that a run reads them in place
     tokens = F.get(F.transform(F.array("h"), runs), 0)
@@ -134,8 +127,13 @@ def _earlier(y: str, x: str) -> Column:
 
 
 def _may_reach(x: str, y: str, num: int, den: int) -> Column:
-    """Length and positional filter for postings of one token."""
-    xn, yn, xp, yp = (F.col(f"{a}.{b}") for a, b in ((x, "n"), (y, "n"), (x, "pos"), (y, "pos")))
+    """Length and positional filter for postings of one token.
+
+    Let the longer line x have a tokens that y lacks, and y have b that x lacks, so n - m = a - b.  Of the p(n) tokens in x's
+    prefix those that y lacks or has behind its own prefix are at most max(a, p(n) - p(m) + b), and that is a, as p grows by no more than n does.
+    """
+    xn, yn = F.col(f"{x}.n"), F.col(f"{y}.n")
+    xp, yp = F.when(xn >= yn, F.col(f"{x}.pos")).otherwise(F.col(f"{x}.at")), F.when(yn >= xn, F.col(f"{y}.pos")).otherwise(F.col(f"{y}.at"))
     fits = (yn * den >= xn * num) & (xn * den >= yn * num)
     # overlap o reaches num/den if o * (num + den) >= num * (n + m)
     return fits & (F.least(xn - xp, yn - yp) * (num + den) >= (xn + yn) * num)
@@ -161,27 +159,7 @@ def _small(df: DataFrame, most: int) -> DataFrame:
     return F.broadcast(df) if df.count() <= most else df
 
 
-def _frequent_pairs(sets: DataFrame, num: int, den: int) -> DataFrame:
-    """(id, line) of those ``sets`` (id, line, key1, n, t) that an earlier one is similar to, by prefixes in order of frequency."""
-    which = ["id", "line", "key1"]
-    token = sets.select(*which, "n", F.explode("t").alias("token"))
-    shared = written(token.groupBy("token").agg(F.count("*").alias("c")).where("c > 1"), "frequencies")
-    known = token.join(_small(shared, BROADCAST_TOKENS), "token")
-    # tokens of one line come first in its order; there are n less the shared ones of them
-    line = known.groupBy(*which, "n").agg(F.sort_array(F.collect_list(F.struct("c", "token"))).alias("own"))
-    own = F.col("n") - F.size("own")
-    length = F.greatest(F.col("n") - F.floor((F.col("n") * num + (den - 1)) / F.lit(den)).cast("int") + 1 - own, F.lit(0))
-    prefix = line.select(*which, "n", own.alias("before"), F.posexplode(F.slice("own", F.lit(1), length)).alias("at", "o"))
-    band = F.floor(F.log(F.col("n").cast("double")) / math.log(den / num)) if den > num else F.col("n")
-    prefix = prefix.select(*which, "n", (F.col("before") + F.col("at")).alias("pos"), F.col("o.token").alias("token"), band.cast("int").alias("band"))
-    prefix = written(prefix.join(sets.select(*which, "t"), which), "prefixes")
-    # lengths that fit lie in the same band or next to it
-    x, y = prefix.withColumn("band", F.explode(F.array(*[F.col("band") + i for i in (-1, 0, 1)]))).alias("x"), prefix.alias("y")
-    pair = (F.col("x.token") == F.col("y.token")) & (F.col("x.band") == F.col("y.band")) & _earlier("y", "x") & _may_reach("x", "y", num, den)
-    return x.join(y, pair & _alike(num, den), "left_semi").select("x.id", "x.line")
-
-
-def similar_lines(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, least_words: int = 5, native: bool = True, frequent: int = FREQUENT) -> DataFrame:
+def similar_lines(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, least_words: int = 5, native: bool = True) -> DataFrame:
     """(id, line) of the lines of ``docs`` (id, text) that an earlier line is similar to."""
     spark = docs.sparkSession
     low = docs.select("id", F.lower("text").alias("low"))
@@ -196,22 +174,18 @@ def similar_lines(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, le
     copies, own = written(told.where(later).select("id", "line"), "copies"), told.where(~later)
 
     # most prefix tokens occur once: only those of two lines or more are joined
-    held = written(own.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("c")).where("c > 1"), "held")
-    postings = own.select(*which, "n", F.size("tokens").alias("size"), F.posexplode("tokens").alias("at", "token")).join(_small(held, BROADCAST_TOKENS), "token")
-    # tokens of one line come first in its order: they are not in any overlap, wherever they are
-    postings = postings.groupBy(*which, "n", "size").agg(F.sort_array(F.collect_list(F.struct("at", "token", "c"))).alias("own"))
-    postings = postings.select(*which, "n", (F.col("size") - F.size("own")).alias("before"), F.posexplode("own").alias("at", "o"))
-    postings = written(postings.select(*which, "n", (F.col("before") + F.col("at")).alias("pos"), "o.token", "o.c"), "postings")
+    held = written(own.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("c")).where("c > 1").select("token"), "held")
+    postings = own.select(*which, "n", F.size("tokens").alias("size"), F.posexplode("tokens").alias("at", "token")).join(_small(held, BROADCAST_TOKENS), "token", "left_semi")
+    postings = postings.groupBy(*which, "n", "size").agg(F.sort_array(F.collect_list(F.struct("at", "token"))).alias("own"))
+    postings = postings.select(*which, "n", (F.col("size") - F.size("own")).alias("before"), F.posexplode("own").alias("place", "o"))
+    postings = written(postings.select(*which, "n", (F.col("before") + F.col("place")).alias("pos"), "o.at", "o.token"), "postings")
     drop(spark, lines_uri)
-    rare = postings.where(F.col("c") <= frequent).drop("c")
-    x, y = rare.alias("x"), rare.alias("y")
+    x, y = postings.alias("x"), postings.alias("y")
     pair = (F.col("x.token") == F.col("y.token")) & _earlier("y", "x") & _may_reach("x", "y", num, den)
     later = written(x.join(y, pair, "left_semi").select("x.*"), "later")
     x = later.alias("x")
     partner = written(y.join(x, pair, "left_semi").select("y.*"), "partner")
-    often = postings.where(F.col("c") > frequent).select(*which, F.lit(True).alias("often"))
-    wanted = later.select(*which, F.lit(False).alias("often")).unionByName(partner.select(*which, F.lit(False).alias("often"))).unionByName(often)
-    wanted = written(wanted.groupBy(*which).agg(F.max("often").alias("often")), "wanted")
+    wanted = written(later.select(*which).union(partner.select(*which)).distinct(), "wanted")
 
     places = _small(wanted, BROADCAST_WANTED)
     texts = only_ids(low.where("id is not null"), wanted.select("id").distinct(), "left_semi")
@@ -226,26 +200,25 @@ def similar_lines(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, le
     y = written(y.join(x, fits, "left_semi").select("y.*"), "fitted")
     x, y = x.join(t, which).alias("x"), y.join(t, which).alias("y")
     near = x.join(y, fits & _alike(num, den), "left_semi").select("x.id", "x.line")
-    near = near.unionByName(_frequent_pairs(sets.where("often").drop("often", "bits"), num, den))
     return copies.unionByName(near).distinct()
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, num: int = 80, den: int = 100, least_words: int = 5, native: bool = True, frequent: int = FREQUENT) -> DataFrame:
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, num: int = 80, den: int = 100, least_words: int = 5, native: bool = True) -> DataFrame:
     """``docs`` without lines similar to an earlier one, with n_lines and n_removed.
 
     Earlier is by id, then by place in the text; the similarity is that of the sets of ``k``-word shingles,
     num/den or more, and equal lines have it.  Lines under ``least_words`` words, and those without words, stay; lines of
     ``least_words`` to ``k`` - 1 words go if they repeat an earlier line's words.  A null text stays
     null with no lines; rows with a null id pass unchanged and aren't compared.  Rows that repeat an id
-    are judged by their lines' places as one document.  ``native`` says how tokens are made and
-    ``frequent`` from which count on they are ordered by frequency, not which lines go.  Other columns pass, whatever their names; those called n_lines or n_removed are replaced.
+    are judged by their lines' places as one document.  ``native`` says how tokens are made, not which
+    lines go.  Other columns pass, whatever their names; those called n_lines or n_removed are replaced.
     """
     rest = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
     # the rows travel as one struct, so that no name of theirs meets one made here
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in rest]).alias("row"))
     value = F.col("row").getField(text_col)
     ids = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    gone = similar_lines(ids.where("id is not null"), k, num, den, least_words, native, frequent)
+    gone = similar_lines(ids.where("id is not null"), k, num, den, least_words, native)
     gone = written(gone.groupBy("id").agg(F.sort_array(F.collect_set("line")).alias("gone")), "gone")
     few = (gone.agg(F.sum(F.size("gone") + 2)).first()[0] or 0) <= BROADCAST_LINES
     rows = rows.join(F.broadcast(gone) if few else gone, F.col("row").getField(id_col).cast("long") == F.col("id"), "left")

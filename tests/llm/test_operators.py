@@ -151,10 +151,10 @@ def test_short_lines_against_brute_force(spark, least_words):
         assert sorted((r.doc_id, r.text) for r in got.collect()) == want
 
 
-@pytest.mark.parametrize("frequent", [0, 2, 1000])
-def test_line_dedup_by_frequency_against_brute_force(spark, frequent):
+@pytest.mark.parametrize("seed", [0, 2, 1000])
+def test_line_dedup_against_brute_force(spark, seed):
     """Lines over a few frequent tokens, in which near copies differ at an end or inside."""
-    rng = random.Random(frequent)
+    rng = random.Random(seed)
     stock = [" ".join(f"s{rng.randrange(12)}" for _ in range(12)) for _ in range(6)]
     docs = []
     for i in range(60):
@@ -167,10 +167,25 @@ def test_line_dedup_by_frequency_against_brute_force(spark, frequent):
         docs.append((i, "\n".join(lines)))
     gone = similar_to_earlier(docs, 1)
     want = [(i, "\n".join(x for at, x in enumerate(t.split("\n")) if (i, at) not in gone)) for i, t in docs]
-    got = dedup_lines(docs_of(spark, docs).repartition(3), least_words=1, frequent=frequent)
+    got = dedup_lines(docs_of(spark, docs).repartition(3), least_words=1)
     assert gone and sorted((r.doc_id, r.text) for r in got.collect()) == want
 
 
+def test_line_dedup_of_lines_with_added_ends(spark):
+    """Near copies of different length, alone on their tokens, so that tokens of one prefix lie behind the other."""
+    rng = random.Random(5)
+    docs = []
+    for i in range(150):
+        w = [f"b{i}x{j}" for j in range(rng.randrange(10, 30))]
+        docs += [(2 * i, " ".join(w)), (2 * i + 1, " ".join([f"c{i}x{j}" for j in range(rng.randrange(4))] + w + [f"d{i}x{j}" for j in range(rng.randrange(4))]))]
+    rng.shuffle(docs)
+    docs = [(i, t) for i, (_, t) in enumerate(docs)]
+    gone = {i for i, _ in similar_to_earlier(docs, 1)}
+    assert 40 < len(gone) < 140
+    for native in (True, False):
+        assert {r.doc_id for r in dedup_lines(docs_of(spark, docs), native=native).where("n_removed > 0").collect()} == gone
+
+
 def test_line_dedup_with_clashing_names_and_many_repeats(spark):
     names = ["id", "line", "row", "gone", "lines", "_id", "_gone", "n", "key1", "n_lines"]
     docs = spark.createDataFrame([(1, "a b c d e f\n" * 20_000, *names)], ["doc_id", "text", *names])
