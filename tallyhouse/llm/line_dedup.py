@@ -93,7 +93,9 @@ def _lines(k: int, num: int, den: int, least_words: int, whole: bool):
 
 
 def _spaced(low: Column) -> Column:
-    return F.translate(low, "\t\x0b\x0c\r", "    ")
+    for blank in "\t\x0b\x0c\r":  # one by one is several times faster than translate
+        low = F.replace(low, F.lit(blank), F.lit(" "))
+    return low
 
 
 def _once(value: Column) -> Column:
