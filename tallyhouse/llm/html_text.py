@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 # fixed values: names of HTML elements and common class words
-SKIP = "script style noscript template svg head title iframe object select textarea button canvas".split()
+SKIP = "script style noscript template svg title iframe object select textarea button canvas".split()
 VOID = set("area base br col embed hr img input link meta source track wbr".split())
 BLOCK = set(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 "
@@ -35,42 +36,125 @@ BOILER_WORDS = set(
     "pager widget toolbar masthead copyright legal disclaimer".split()
 )
 
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(?P<raw>" + "|".join(SKIP) + r")(?=[\s/>])(?:[^>\"']|\"[^\"<]*\"|'[^'<]*')*+>.*?(?:</(?P=raw)\s*>|\Z)"
-    r"|<(?P<close>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attr>(?:[^<>\"']|\"[^\"<]*\"|'[^'<]*')*+)>|</?[a-zA-Z][^>]*>|<[!?/][^>]*>",
-    re.S | re.I,
-)
+_NAME = re.compile(r"</?([a-zA-Z][^\s/<>]*)")
+_REST = re.compile(r"(?:[^<>\"']++|\"[^\"<]*+\"|'[^'<]*+')*+>")
+_ENDS = {name: re.compile(rf"</{name}\s*+>", re.I) for name in SKIP}
 _ATTR = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _WORD = re.compile(r"[a-z0-9]+")
 
 
+class Container:
+    """An element: its mark ('c' main text, 'b' something else, '' nothing), whether that is only a hint, and what it holds."""
+
+    __slots__ = ("tag", "mark", "hint", "outer", "words", "holds", "boiler", "content")
+
+    def __init__(self, tag: str, mark: str, hint: bool, outer: Container | None):
+        self.tag, self.mark, self.hint, self.outer = tag, mark, hint, outer
+        self.words, self.holds, self.boiler = 0, False, False
+        self.content = mark == "c" or (outer is not None and outer.content)
+
+
 class Block:
-    __slots__ = ("text", "words", "linked", "boiler", "content")
+    __slots__ = ("text", "words", "linked", "inside")
 
-    def __init__(self, text: str, linked: int, boiler: bool, content: bool):
-        self.text, self.words, self.linked, self.boiler, self.content = text, text.count(" ") + 1, linked, boiler, content
+    def __init__(self, text: str, linked: int, inside: Container):
+        self.text, self.words, self.linked, self.inside = text, text.count(" ") + 1, linked, inside
 
 
-def _mark(tag: str, attributes: str) -> str:
-    """What a container says about its inside: 'c' main text, 'b' something else, '' nothing."""
+def _mark(tag: str, attributes: str, in_content: bool) -> tuple[str, bool]:
+    """What a container says about its inside, and whether that is a hint by a name or a form, which a wrapper of the whole page may have too."""
     for name, a, b, c in _ATTR.findall(attributes):
         value = (a or b or c).lower()
         if name.lower() == "role":
             if value in BOILER_ROLES:
-                return "b"
+                return "b", False
             if value in CONTENT_ROLES:
-                return "c"
-        elif BOILER_WORDS & set(_WORD.findall(value)) and tag not in ("body", "html"):
-            return "b"
-    return "c" if tag in CONTENT else "b" if tag in BOILER else ""
+                return "c", False
+        elif tag in CONTENT:
+            if BOILER_WORDS & set(value.split()):
+                return "b", True
+        elif tag not in ("body", "html") and BOILER_WORDS & set(_WORD.findall(value)):
+            return "b", True
+    if tag in CONTENT:
+        return "c", False
+    if tag in BOILER and not (tag == "header" and in_content):  # an article's own header is part of it
+        return "b", tag == "form"
+    return "", False
+
+
+def tags(page: str) -> Iterator[tuple[str, str, bool, str]]:
+    """('', text, False, '') and (tag, '', is end tag, attributes) in page order, in time linear in the page.
+
+    A tag that isn't closed ends at the next ``<``.  Comments, markup declarations and elements of ``SKIP`` with
+    what they hold are left out.
+    """
+    at, size, close, ended = 0, len(page), 0, set()
+    while at < size:
+        start = page.find("<", at)
+        if start < 0:
+            start = size
+        if start > at:
+            yield "", page[at:start], False, ""
+        at = start
+        if at == size:
+            return
+        if page.startswith("<!--", at):
+            end = page.find("-->", at + 4)
+            at = size if end < 0 else end + 3
+            continue
+        if page.startswith("<![CDATA[", at):
+            end = page.find("]]>", at)
+            yield "", page[at + 9 : size if end < 0 else end], False, ""
+            at = size if end < 0 else end + 3
+            continue
+        name = _NAME.match(page, at)
+        if close <= at and close >= 0:  # the next end of a tag is looked for once
+            close = page.find(">", at)
+        if not name:
+            if page.startswith(("<!", "<?", "</"), at) and close >= 0:
+                at = close + 1
+            else:
+                yield "", "<", False, ""
+                at += 1
+            continue
+        tag, is_end = name[1].lower(), page[at + 1] == "/"
+        rest = _REST.match(page, name.end())
+        if rest:
+            attributes, at = page[name.end() : rest.end() - 1], rest.end()
+        else:
+            following = page.find("<", name.end())
+            following = size if following < 0 else following
+            if 0 <= close < following:
+                attributes, at = page[name.end() : close], close + 1
+            elif close >= 0 and any(q in page[name.end() : following] for q in "\"'"):
+                attributes, at = "", close + 1  # a quoted <
+            else:
+                attributes, at = page[name.end() : following], following
+        if tag in _ENDS:
+            if not is_end and not attributes.endswith("/") and tag not in ended:
+                end = _ENDS[tag].search(page, at)
+                if end:
+                    at = end.end()
+                elif tag in ("script", "style", "textarea"):
+                    return
+                else:
+                    ended.add(tag)
+            continue
+        yield tag, "", is_end, attributes
+
 
+def blocks(page: str) -> list[Block]:
+    """Blocks of text in page order; tags that are left open or closed twice are put up with.
 
-def blocks(page: str) -> Iterator[Block]:
-    """Blocks of text in page order; tags that are left open or closed twice are put up with."""
-    stack: list[tuple[str, str]] = []
+    A container's name or a form is a hint that doesn't count if it holds over half of the page's words
+    along with an article or a main heading: such a container wraps the page.
+    """
+    found: list[Block] = []
+    stack = [Container("", "", False, None)]
+    every, is_open = list(stack), Counter()
     parts: list[str] = []
     links: list[str] = []
-    in_link, at = 0, 0
+    in_link = False
 
     def flush():
         text = " ".join("".join(parts).split())
@@ -78,47 +162,48 @@ def blocks(page: str) -> Iterator[Block]:
         parts.clear()
         links.clear()
         if text:
-            marks = [m for _, m in stack if m]
-            yield Block(text, linked, "b" in marks, "c" in marks)
-
-    def add(raw: str):
-        text = html.unescape(raw) if "&" in raw else raw
-        parts.append(text)
-        if in_link:
-            links.append(text)
-
-    for m in _TOKEN.finditer(page):
-        if m.start() > at:
-            add(page[at : m.start()])
-        at = m.end()
-        tag = (m["tag"] or "").lower()
+            found.append(Block(text, linked, stack[-1]))
+            stack[-1].words += found[-1].words
+
+    def leave():
+        is_open[stack[-1].tag] -= 1
+        return stack.pop().tag
+
+    for tag, raw, is_end, attributes in tags(page):
         if not tag:
-            if m[0].startswith("<![CDATA["):
-                add(m[0][9:].removesuffix("]]>"))
-            continue
-        if tag == "a":
-            in_link = 0 if m["close"] else 1
+            text = html.unescape(raw) if "&" in raw else raw
+            parts.append(text)
+            if in_link:
+                links.append(text)
+        elif tag == "a":
+            in_link = not is_end
             if links:
                 links.append(" ")
-            continue
-        if tag == "br":
+        elif tag == "br":
             parts.append(" ")
-            continue
-        if tag not in BLOCK:
-            continue
-        yield from flush()
-        if m["close"]:
-            if any(t == tag for t, _ in stack):
-                while stack.pop()[0] != tag:
-                    pass
-            in_link = 0
-        elif tag not in VOID and not m["attr"].endswith("/"):
-            while stack and stack[-1][0] in LOOSE and (tag == stack[-1][0] or stack[-1][0] == "p"):
-                stack.pop()
-            stack.append((tag, _mark(tag, m["attr"])))
-    if at < len(page):
-        add(page[at:])
-    yield from flush()
+        elif tag in BLOCK:
+            flush()
+            if is_end:
+                if is_open[tag]:
+                    while leave() != tag:
+                        pass
+                in_link = False
+            elif tag not in VOID and not attributes.endswith("/"):
+                while stack[-1].tag in LOOSE and (tag == stack[-1].tag or stack[-1].tag == "p"):
+                    leave()
+                mark, hint = _mark(tag, attributes, stack[-1].content)
+                stack[-1].holds |= tag == "h1" or (tag in CONTENT and mark == "c")
+                stack.append(Container(tag, mark, hint, stack[-1]))
+                every.append(stack[-1])
+                is_open[tag] += 1
+    flush()
+    for c in reversed(every[1:]):  # inner ones first
+        c.outer.words += c.words
+        c.outer.holds |= c.holds
+    for c in every[1:]:
+        wraps = c.hint and c.holds and 2 * c.words > every[0].words
+        c.boiler = c.outer.boiler or (c.mark == "b" and not wraps)
+    return found
 
 
 FEATURES = ("words", "link density", "words before", "link density before", "words after", "link density after", "boiler container", "content container")
@@ -143,6 +228,7 @@ LABELLED = np.array(
         (9, 0.0, 4, 1.0, 70, 0.0, 0, 0, 1), (70, 0.0, 9, 0.0, 60, 0.05, 0, 0, 1), (60, 0.05, 70, 0.0, 15, 0.0, 0, 0, 1), (15, 0.0, 60, 0.05, 45, 0.0, 0, 0, 1),
         (45, 0.0, 15, 0.0, 3, 1.0, 0, 0, 1), (35, 0.2, 50, 0.0, 40, 0.0, 0, 0, 1), (4, 0.0, 50, 0.0, 45, 0.0, 0, 0, 1), (25, 0.1, 0, 0.0, 0, 0.0, 0, 0, 1),
         (12, 0.0, 30, 0.0, 20, 0.0, 0, 0, 1), (90, 0.1, 2, 1.0, 6, 0.9, 0, 0, 1), (18, 0.0, 0, 0.0, 22, 0.0, 0, 0, 1), (2, 0.0, 35, 0.0, 60, 0.0, 0, 0, 1),
+        (3, 0.0, 4, 1.0, 14, 0.0, 0, 0, 1), (4, 0.0, 2, 1.0, 40, 0.0, 0, 0, 1), (2, 0.0, 6, 1.0, 80, 0.0, 0, 0, 1), (5, 0.0, 2, 1.0, 25, 0.05, 0, 0, 1),
         # and short or linked blocks beside others of their kind are not
         (1, 1.0, 0, 0.0, 1, 1.0, 0, 0, 0), (3, 1.0, 2, 1.0, 5, 1.0, 0, 0, 0), (4, 1.0, 5, 1.0, 60, 0.0, 0, 0, 0), (2, 0.0, 3, 1.0, 4, 1.0, 0, 0, 0),
         (6, 0.9, 45, 0.0, 3, 1.0, 0, 0, 0), (3, 0.0, 4, 1.0, 2, 0.0, 0, 0, 0), (20, 0.8, 3, 1.0, 15, 0.9, 0, 0, 0), (30, 0.9, 20, 0.8, 10, 1.0, 0, 0, 0),
@@ -183,19 +269,19 @@ def tree_value(tree, row) -> float:
 def block_rows(found: list[Block]) -> list[tuple]:
     size = [0, *(b.words for b in found), 0]
     density = [0.0, *(min(1.0, b.linked / b.words) for b in found), 0.0]
-    return [(size[i + 1], density[i + 1], size[i], density[i], size[i + 2], density[i + 2], int(b.boiler), int(b.content)) for i, b in enumerate(found)]
+    return [(size[i + 1], density[i + 1], size[i], density[i], size[i + 2], density[i + 2], int(b.inside.boiler), int(b.inside.content)) for i, b in enumerate(found)]
 
 
 def main_text(page: str | None, tree) -> str:
     """Blocks that the tree takes for main text, one on each line; empty for a null or empty page."""
-    found = list(blocks(page or ""))
+    found = blocks(page or "")
     return "\n".join(b.text for b, row in zip(found, block_rows(found)) if tree_value(tree, row) >= 0.5)
 
 
 def extract_main_text(pages: DataFrame, html_col: str = "html", labelled: np.ndarray = LABELLED) -> DataFrame:
     """``pages`` without the html but with text and n_chars (code points); other columns pass unchanged.
 
-    Null and empty pages give empty text.  Whole pages are read, however long.  Columns of
+    Null and empty pages give empty text.  Whole pages are read, however long; repeated rows each give a row.  Columns of
     ``pages`` called text or n_chars are replaced.  Each row stands alone: no shuffle.
     """
     tree = grow_tree(labelled[:, :-1], labelled[:, -1])

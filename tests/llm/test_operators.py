@@ -296,6 +296,40 @@ def test_html_cases(spark):
     assert extract_main_text(pages.limit(0)).count() == 0
 
 
+ARTICLE = "<h1>A title here</h1><p>The first paragraph has quite a few words in it, as paragraphs do.<p>And the second one goes on with <a href=/x>a link</a> and more plain words."
+ARTICLE_TEXT = "A title here\nThe first paragraph has quite a few words in it, as paragraphs do.\nAnd the second one goes on with a link and more plain words."
+WRAPS = [
+    '<div class="layout has-sidebar"><article>{}</article></div>', '<article class="post comments-open">{}</article>', '<form id="aspnetForm"><main>{}</main></form>',
+    '<main id="content">{}</main>', '<div role="main">{}</div>', '<div class="page-with-menu"><div class="post">{}</div></div>',
+]
+AROUND = ["{}", "<nav><a href=/>Home</a> <a href=/b>News</a></nav>{}<footer>All rights are ours</footer>", "<div class=cookie-notice>We use cookies here</div>{}<div id=comments><p>A reader says this.</p></div>", '<header><a href="/">Site</a></header>{}<aside class=sidebar><ul><li><a href=/q>Other page</a></ul></aside>', "<title>no end of the head</title><body>{}<form><input><label>Your mail</label></form>"]
+
+
+@pytest.mark.parametrize("around", AROUND)
+@pytest.mark.parametrize("wrap", WRAPS)
+def test_html_layouts(wrap, around):
+    tree = grow_tree(LABELLED[:, :-1], LABELLED[:, -1])
+    assert main_text("<html><head>" + around.format(wrap.format(ARTICLE)) + "</html>", tree) == ARTICLE_TEXT
+
+
+def test_html_article_header_and_odd_tags():
+    tree = grow_tree(LABELLED[:, :-1], LABELLED[:, -1])
+    assert main_text("<article><header><h1>My title</h1></header><p>Some words of the text <p title='a < b'>and <b title=\"x > y\">more</b> of it</article>", tree) == "My title\nSome words of the text\nand more of it"
+
+
+@pytest.mark.parametrize("bad", ["<p", "<p ", '<p"', "<svg>", "<a href='", "</", "<title", "<p x=\"'>", "<div>", "<nav>x", "<select>", "<![CDATA[", "x</div>"])
+def test_html_takes_time_linear_in_the_page(bad):
+    import time
+
+    tree = grow_tree(LABELLED[:, :-1], LABELLED[:, -1])
+    took = []
+    for n in (100_000, 400_000):
+        start = time.process_time()
+        main_text(bad * (n // len(bad)), tree)
+        took.append(time.process_time() - start)
+    assert took[1] < 10 * took[0] + 0.5
+
+
 def test_language_and_quality_on_held_out_rows(spark):
     got = q.op6_language_id(spark, DATA).join(spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "lang"), "doc_id").toPandas()
     assert list(got.held_out) == [zlib.crc32(str(i).encode()) % 4 == 2 for i in got.doc_id]
