@@ -229,6 +229,8 @@ LABELLED = np.array(
         (45, 0.0, 15, 0.0, 3, 1.0, 0, 0, 1), (35, 0.2, 50, 0.0, 40, 0.0, 0, 0, 1), (4, 0.0, 50, 0.0, 45, 0.0, 0, 0, 1), (25, 0.1, 0, 0.0, 0, 0.0, 0, 0, 1),
         (12, 0.0, 30, 0.0, 20, 0.0, 0, 0, 1), (90, 0.1, 2, 1.0, 6, 0.9, 0, 0, 1), (18, 0.0, 0, 0.0, 22, 0.0, 0, 0, 1), (2, 0.0, 35, 0.0, 60, 0.0, 0, 0, 1),
         (3, 0.0, 4, 1.0, 14, 0.0, 0, 0, 1), (4, 0.0, 2, 1.0, 40, 0.0, 0, 0, 1), (2, 0.0, 6, 1.0, 80, 0.0, 0, 0, 1), (5, 0.0, 2, 1.0, 25, 0.05, 0, 0, 1),
+        # last paragraphs
+        (13, 0.1, 14, 0.0, 0, 0.0, 0, 0, 1), (14, 0.0, 60, 0.0, 0, 0.0, 0, 0, 1), (12, 0.0, 20, 0.1, 3, 1.0, 0, 0, 1), (11, 0.0, 45, 0.0, 4, 0.0, 0, 0, 1),
         # and short or linked blocks beside others of their kind are not
         (1, 1.0, 0, 0.0, 1, 1.0, 0, 0, 0), (3, 1.0, 2, 1.0, 5, 1.0, 0, 0, 0), (4, 1.0, 5, 1.0, 60, 0.0, 0, 0, 0), (2, 0.0, 3, 1.0, 4, 1.0, 0, 0, 0),
         (6, 0.9, 45, 0.0, 3, 1.0, 0, 0, 0), (3, 0.0, 4, 1.0, 2, 0.0, 0, 0, 0), (20, 0.8, 3, 1.0, 15, 0.9, 0, 0, 0), (30, 0.9, 20, 0.8, 10, 1.0, 0, 0, 0),
