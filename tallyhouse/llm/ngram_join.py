@@ -316,7 +316,7 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     least = postings.groupBy("shingle").agg(F.min("id").alias("home"), F.count("*").alias("c")).where("c > 1")
     visits = written(postings.join(least, "shingle").select("id", "n", "home").distinct(), "visits")
     total = visits.agg(F.sum("n")).first()[0] or 0
-    block = min(max(total * 16 // partitions(spark), 64 << 10), 8 << 20)
+    block = min(max(total * 32 // partitions(spark), 64 << 10), 16 << 20)
     blocks = visits.groupBy("home").agg(F.ceil(F.sum("n") * 8 / F.lit(block)).alias("blocks"))
     homes = visits.groupBy("id").agg(F.collect_list("home").alias("homes"))
     searched = written(homes.join(reps, "id").select("id", "weight", "homes"), "searched")
