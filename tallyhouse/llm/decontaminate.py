@@ -14,10 +14,10 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
 from .fm_index import FMIndex
 from .scratch import written
@@ -25,7 +25,8 @@ from .textkit import ALNUM, LOWER, pieces, string_parts, word_hashes, words
 
 #: Symbols after which a shard is indexed and searched.
 SHARD = 1_000_000
-SCHEMA = "row long, n_words long, spans array<struct<first:long,last:long>>, items array<string>"
+SPAN = StructType().add("first", "long").add("last", "long")
+FOUND = StructType().add("n_words", "long").add("spans", ArrayType(SPAN)).add("items", ArrayType(StringType()))
 
 
 class Windows:
@@ -40,15 +41,23 @@ class Windows:
         number = {x: i for i, x in enumerate(self.names)}
         self.vocabulary = np.unique(h)
         ids = np.searchsorted(self.vocabulary, h) + 1
-        found: dict[tuple, set] = {}
-        for (name, _), a, b in zip(items, bounds[:-1].tolist(), bounds[1:].tolist()):
-            for i in range(a, max(b - width, a) + 1 if b > a else a):
-                found.setdefault(tuple(ids[i : min(i + width, b)].tolist()), set()).add(number[name])
-        self.lengths = np.array([len(w) for w in found], np.int64)
-        self.symbols = np.zeros((len(found), width), np.int64)
-        for row, w in zip(self.symbols, found):
-            row[width - len(w) :] = w
-        self.owners = [sorted(x) for x in found.values()]
+        count = np.maximum(np.diff(bounds) - width + 1, np.minimum(np.diff(bounds), 1))  # windows of each item
+        item = np.repeat(np.arange(len(items)), count)
+        start = bounds[:-1][item] + np.arange(len(item)) - (np.cumsum(count) - count)[item]
+        length = np.minimum(np.diff(bounds)[item], width)
+        place = np.arange(width) - (width - length)[:, None]  # short windows stand at the right
+        each = np.zeros((len(item), width), np.int32)
+        inside = place >= 0
+        each[inside] = ids[(start[:, None] + place)[inside]]
+        self.symbols, which = np.unique(each, axis=0, return_inverse=True)
+        self.lengths = np.count_nonzero(self.symbols, axis=1)
+        name = np.array([number[x] for x, _ in items], np.int64)[item]
+        pairs = np.unique(np.stack([which.reshape(-1), name]), axis=1) if len(item) else np.zeros((2, 0), np.int64)
+        self.owner, self.owner_at = pairs[1], np.searchsorted(pairs[0], np.arange(len(self.symbols) + 1))
+
+    def owners(self, window: int) -> list[int]:
+        """Numbers of the items that have a window."""
+        return self.owner[self.owner_at[window] : self.owner_at[window + 1]].tolist()
 
     def encode(self, h: np.ndarray) -> np.ndarray:
         """Symbols of words; 0 outside the vocabulary."""
@@ -58,8 +67,8 @@ class Windows:
         return np.where(self.vocabulary[at] == h, at + 1, 0)
 
 
-def _search_shard(docs: list[tuple[int, np.ndarray]], windows: Windows) -> Iterator[tuple]:
-    """Rows of SCHEMA for the documents (row, symbols of its words) of one shard."""
+def _search_shard(docs: list[tuple[object, np.ndarray]], windows: Windows) -> Iterator[tuple]:
+    """Rows of FOUND for the documents (row, symbols of its words) of one shard."""
     sizes = np.array([len(s) for _, s in docs], np.int64)
     begin = np.concatenate(([0], np.cumsum(sizes + 1)))[:-1]  # one stop symbol behind each document
     text = np.zeros(int((sizes + 1).sum()), np.int64)
@@ -86,23 +95,24 @@ def _search_shard(docs: list[tuple[int, np.ndarray]], windows: Windows) -> Itera
             spans.setdefault(d, []).append({"first": a - int(begin[d]), "last": b - int(begin[d])})
         pair = np.unique(np.stack([np.searchsorted(begin, at, "right") - 1, which]), axis=1) if len(at) else np.zeros((2, 0), np.int64)
         for d, w in zip(*pair.tolist()):
-            items.setdefault(d, set()).update(windows.owners[w])
+            items.setdefault(d, set()).update(windows.owners(w))
     for d, (row, s) in enumerate(docs):
         yield row, len(s), spans.get(d, []), [windows.names[i] for i in sorted(items.get(d, ()))]
 
 
 def _scan(shared):
-    kinds = pa.schema([("row", pa.int64()), ("n_words", pa.int64()), ("spans", pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())]))), ("items", pa.list_(pa.string()))])
+    kinds = pa.schema([("n_words", pa.int64()), ("spans", pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())]))), ("items", pa.list_(pa.string()))])
 
-    def out(docs, windows):
+    def out(docs, windows, own):
         rows = list(zip(*_search_shard(docs, windows)))
-        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(rows, kinds)], schema=kinds)
+        schema = pa.schema([own, *kinds])  # ids keep their type
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(rows, schema)], schema=schema)
 
     def run(batches):
         windows, docs, size = shared.value, [], 0
         for batch in batches:
             data, offsets = string_parts(batch.column("text"))
-            ids = batch.column("row").to_pylist()
+            ids, own = batch.column("row").to_pylist(), batch.schema.field("row")
             for i, j in pieces(offsets):
                 cut = offsets[i : j + 1] - offsets[i]
                 low = LOWER[data[offsets[i] : offsets[j]]]
@@ -112,28 +122,29 @@ def _scan(shared):
                     docs.append((d, symbols[a:b].astype(np.int32)))
                     size += b - a + 1
                 if size >= SHARD:
-                    yield out(docs, windows)
+                    yield out(docs, windows, own)
                     docs, size = [], 0
         if docs:
-            yield out(docs, windows)
+            yield out(docs, windows, own)
 
     return run
 
 
 def _merged(batches):
-    """Spans that touch or overlap become one; items are distinct and sorted."""
-    for pdf in batches:
-        spans = []
-        for group in pdf["spans"]:
-            flat = sorted((s["first"], s["last"]) for part in group for s in part)
+    """Sorted spans that touch or overlap become one."""
+    kind = pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())]))
+    for batch in batches:
+        merged = []
+        for spans in batch.column("spans").to_pylist():
             own: list[dict] = []
-            for a, b in flat:
-                if own and a <= own[-1]["last"]:
-                    own[-1]["last"] = max(own[-1]["last"], b)
+            for s in spans:
+                if own and s["first"] <= own[-1]["last"]:
+                    own[-1]["last"] = max(own[-1]["last"], s["last"])
                 else:
-                    own.append({"first": a, "last": b})
-            spans.append(own)
-        yield pd.DataFrame({"row": pdf["row"], "n_words": pdf["n_words"], "spans": spans, "items": [sorted({x for part in g for x in part}) for g in pdf["items"]]})
+                    own.append(s)
+            merged.append(own)
+        at = batch.schema.get_field_index("spans")
+        yield batch.set_column(at, "spans", pa.array(merged, kind))
 
 
 def _blocks(benchmark: DataFrame, id_col: str, text_col: str, most: int) -> Iterator[list[tuple[str, str]]]:
@@ -155,24 +166,26 @@ def find_benchmark(docs: DataFrame, benchmark: DataFrame, id_col="doc_id", text_
     A window is ``width`` consecutive words of an item, or all of a shorter one.  Spans count
     words from 0 and exclude their last.  Null and empty texts have no words and no spans; items
     with a null id or without words find nothing; items that share an id count as one; repeated
-    rows each give a row.  Other columns are ignored.
+    rows each give a row.  Ids keep their type.  Other columns are ignored.
     """
     spark = docs.sparkSession
     docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     blocks = list(_take_two(_blocks(benchmark, item_col, item_text_col, block_words)))
     if len(blocks) == 1:  # the id itself serves as row
         shared = spark.sparkContext.broadcast(Windows(blocks[0], width))
-        found = docs.select(F.col("id").cast("long").alias("row"), "text").mapInArrow(_scan(shared), SCHEMA)
-        return found.withColumnRenamed("row", id_col)
+        schema = StructType([StructField("row", docs.schema["id"].dataType), *FOUND.fields])
+        return docs.withColumnRenamed("id", "row").mapInArrow(_scan(shared), schema).withColumnRenamed("row", id_col)
     rows = written(docs.withColumn("row", F.monotonically_increasing_id()), "rows")
+    schema = StructType([StructField("row", LongType()), *FOUND.fields])
     found = None
     for block in _blocks(benchmark, item_col, item_text_col, block_words):
         shared = spark.sparkContext.broadcast(Windows(block, width))
-        part = written(rows.select("row", "text").mapInArrow(_scan(shared), SCHEMA), "found")
+        part = written(rows.select("row", "text").mapInArrow(_scan(shared), schema), "found")
         shared.unpersist()
         found = part if found is None else found.unionByName(part)
-    once = found.groupBy("row").agg(F.max("n_words").alias("n_words"), F.collect_list("spans").alias("spans"), F.collect_list("items").alias("items"))
-    once = once.mapInPandas(_merged, SCHEMA)
+    spans, items = F.array_sort(F.flatten(F.collect_list("spans"))), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items"))))
+    once = found.groupBy("row").agg(F.max("n_words").alias("n_words"), spans.alias("spans"), items.alias("items"))
+    once = once.mapInArrow(_merged, schema)
     return rows.select("row", F.col("id").alias(id_col)).join(once, "row").drop("row")
 
 
