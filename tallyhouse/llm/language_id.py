@@ -64,8 +64,8 @@ def _counts(batches):
 
 def sample_rows(rows: DataFrame, id_col: str, most: int) -> DataFrame:
     """At most ``most`` rows, those with the smallest hashed ids; only ids are sorted."""
-    ids = rows.select(F.col(id_col).alias("_id")).distinct().orderBy(F.xxhash64("_id"), "_id").limit(most)
-    return rows.join(F.broadcast(ids), F.col(id_col) == F.col("_id"), "left_semi")  # most ids bound the broadcast
+    ids = rows.select(F.col(f"`{id_col}`").alias("id")).distinct().orderBy(F.xxhash64("id"), "id").limit(most)
+    return rows.join(F.broadcast(ids), rows[id_col] == ids["id"], "left_semi")  # most ids bound the broadcast
 
 
 class LanguageModel:

@@ -1,7 +1,7 @@
 """Intermediate tables in the folder that driver and executors share.
 
 The folder is ``spark.checkpoint.dir`` of the session.  Only where that is unset
-(tests on one machine) is a temporary folder made and used.
+(tests on one machine) is a temporary folder made and used; a cluster without it is an error.
 """
 
 from __future__ import annotations
@@ -20,6 +20,8 @@ def shared_folder(spark: SparkSession) -> str:
     """URI of a folder of this driver's own below the shared folder."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = _ROOTS.setdefault("unset", "file://" + tempfile.mkdtemp(prefix="tallyhouse-"))
     if base not in _ROOTS:
         _ROOTS[base] = f"{base.rstrip('/')}/tallyhouse-{uuid.uuid4().hex}"

@@ -244,6 +244,19 @@ def test_decontamination_against_brute_force(spark, block):
     assert contamination_digest(got).where("contaminated").count() == sum(h > 0 for _, h, _ in want.values())
 
 
+def test_decontamination_with_text_ids_and_any_number_of_blocks(spark):
+    rng = random.Random(4)
+    items = [(f"i{i}", " ".join(f"w{rng.randrange(6)}" for _ in range(rng.choice([3, 10, 14])))) for i in range(40)]
+    docs = [(f"d{i}", " ".join(f"w{rng.randrange(6)}" for _ in range(300)) + " " + rng.choice(items)[1]) for i in range(20)] + [(None, items[0][1]), ("e", None)]
+    benchmark = spark.createDataFrame(items, "item_id string, text string")
+    want = brute_contamination(docs, items)
+    for words in (10**6, 200, 80):
+        got = find_benchmark(spark.createDataFrame(docs, "doc_id string, text string"), benchmark, block_words=words).collect()
+        assert len(got) == len(docs)
+        for r in got:
+            assert (r.n_words, sum(s.last - s.first for s in r.spans), sorted(r["items"])) == want[r.doc_id]
+
+
 def test_decontamination_of_the_table(spark):
     docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()]
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{DATA}/benchmark.parquet").collect()]
@@ -378,6 +391,22 @@ def test_url_filter_cases(spark):
     assert spark.range(1).select(lookup_keys(F.lit("http://a.b.c/x/y?z"))).first()[0] == ["a.b.c", "b.c", "c", "a.b.c/x", "a.b.c/x/y"]
 
 
+def test_url_filter_with_clashing_names_and_long_urls(spark):
+    names = ["_url", "_at", "_first", "since", "until"]
+    long = "http://site.org/bad" + "/x" * 50_000
+    captures = spark.createDataFrame([(1, long, 6, *names), (2, "http://site.org/good", 6, *names)], ["page_id", "url", "fetched", *names])
+    entries = spark.createDataFrame([("site.org/bad/x", "y", 5, True)], "pattern string, category string, dated long, active boolean")
+    got = {r.page_id: (r.n_active, r.pattern, r["_first"]) for r in filter_urls(captures, entries).collect()}
+    assert got == {1: (1, "site.org/bad/x", "_first"), 2: (0, None, "_first")}
+
+
+def test_classifiers_take_clashing_names(spark):
+    docs = spark.createDataFrame([(i, t, lang, "a", "b", 1) for i, (t, lang) in enumerate([("der die das und", "de"), ("the of and to", "en")] * 4)], ["doc_id", "text", "lang", "_id", "id", "label"])
+    assert {r.lang_pred for r in predict_language(docs, train_language_model(docs)).collect()} == {"de", "en"}
+    labels = docs.select("doc_id", (F.col("doc_id") % 2).alias("quality"), "_id", "id")
+    assert score_quality(docs, train_quality_model(docs, labels)).where("predicted = doc_id % 2").count() >= 4
+
+
 def test_warc_round_trip(spark):
     rows = [(1, "http://a/\r\nX: y", "same é", 1), (5, None, "same é", 1), (3, "u", None, 1), (4, "u", "", 1), (None, "u", "same é", 1), (6, "u", "x" * 300_000, 1)]
     got = {r.page_id: tuple(r)[1:] for r in warc_round_trip(spark.createDataFrame(rows, "page_id long, url string, html string, row int")).collect()}
