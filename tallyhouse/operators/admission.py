@@ -28,12 +28,12 @@ def admit(requests: DataFrame, polls: DataFrame) -> DataFrame:
     400 bad body (null option), 404 unknown poll, 400 unknown option, 403 at or after the end,
     else 202.  An unknown option of a closed poll is thus 400.  ``polls`` has id, options, ends_at.
     """
-    known = small(polls.select(F.col("id").alias("poll_id"), F.transform("options", lambda o: o["id"]).alias("_options"), F.col("ends_at").alias("_ends")))
+    known = small(polls.select(F.col("id").alias("poll_id"), F.transform("options", lambda o: o["id"].cast("bigint")).alias("_options"), F.col("ends_at").alias("_ends")))
     rows = requests.join(known, "poll_id", "left")
     status = (
         F.when(F.col("option_id").isNull(), 400)
         .when(F.col("_ends").isNull(), 404)
-        .when(~F.array_contains("_options", F.col("option_id").cast("int")), 400)
+        .when(~F.array_contains("_options", F.col("option_id").cast("bigint")), 400)
         .when(F.col("ts") >= F.col("_ends"), 403)
         .otherwise(202)
     )

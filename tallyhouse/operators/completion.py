@@ -49,7 +49,13 @@ def completion(messages: DataFrame, ends: DataFrame, now: Column, config: Config
     return rows.select("poll_id", "workers_seen", "workers_done", "stale", reason.alias("reason"))
 
 
-def numbered(messages: DataFrame, *order: str) -> DataFrame:
-    """``messages`` with a dense ``seq`` from 0 in the given order; running sums go by consumer partition."""
-    w = Window.orderBy(*order)
-    return messages.withColumn("seq", F.row_number().over(w) - 1)
+def numbered(messages: DataFrame, order: str, *groups: str) -> DataFrame:
+    """``messages`` with a dense ``seq`` from 0: by ``groups`` (say micro-batch and partition), inside a group by ``order``.
+
+    Messages are ordered inside their group only; of the groups one count each is ordered.
+    """
+    counts = messages.groupBy(*groups).agg(F.count("*").alias("_n"))
+    before = Window.orderBy(*groups).rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select(*groups, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    place = F.row_number().over(Window.partitionBy(*groups).orderBy(order)) - 1
+    return messages.withColumn("_place", place).join(starts, list(groups)).withColumn("seq", F.col("_start") + F.col("_place")).drop("_start", "_place")

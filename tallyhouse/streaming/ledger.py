@@ -3,17 +3,19 @@
 A micro-batch writes its own folder, with overwrite, so a repeated batch leaves the same
 rows.  Finals are appended only for polls that have none.  A batch without input doesn't
 call ``on_batch``, so ``settle_due`` is called from the driver's own loop as well: polls end without new messages.
+A lock makes the two one writer; a folder has one ledger object at a time.
 """
 
 from __future__ import annotations
 
 from datetime import datetime
+from threading import Lock
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import Config
-from ..operators.completion import completion, deadlines
+from ..operators.completion import completion, deadlines, numbered
 from ..operators.settle import new_finals
 from ..operators.tally import tally
 from ..schemas import BATCH, FINAL
@@ -27,6 +29,7 @@ class Ledger:
 
     def __init__(self, spark: SparkSession, folder: str, polls: DataFrame, config: Config | None = None):
         self.spark, self.folder, self.polls, self.config = spark, folder, polls, config or Config()
+        self._writing = Lock()
 
     def _read(self, name: str, schema: str) -> DataFrame:
         path = f"{self.folder}/{name}"
@@ -47,9 +50,19 @@ class Ledger:
 
     def settle_due(self, now: datetime) -> int:
         """Appends the results of polls that became final; returns how many rows that were."""
+        with self._writing:
+            return self._settle(now)
+
+    def not_found(self) -> DataFrame:
+        """(poll_id, messages): well-formed messages for polls that don't exist; they are never settled."""
+        known = self.polls.select(F.col("id").alias("poll_id"))
+        return self.messages().where("not malformed").join(known, "poll_id", "left_anti").groupBy("poll_id").agg(F.count("*").alias("messages"))
+
+    def _settle(self, now: datetime) -> int:
         messages = self.messages().where("not malformed").join(self.finals().select("poll_id").distinct(), "poll_id", "left_anti")
         # what counts as silence are all messages of the consumer, those of settled polls too
-        every = self.messages().where("not malformed").withColumn("seq", F.col("offset"))
+        # they are counted as they came: offsets have gaps, start anywhere and repeat over partitions
+        every = numbered(self.messages().where("not malformed"), "offset", "batch_id", "partition")
         ends = deadlines(messages, self.polls, self.config)
         ready = completion(every, ends, F.lit(now), self.config).where("reason is not null")
         ready = ready.join(self.polls.select(F.col("id").alias("poll_id")).distinct(), "poll_id")

@@ -17,7 +17,7 @@ from tallyhouse.sources.polls import migrate
 from tallyhouse.streaming.ledger import Ledger
 from tallyhouse.streaming.stateful import final_results
 
-NOW = datetime(2026, 9, 10, 8)
+NOW = datetime(2031, 2, 3, 4, 5)
 POLL = "id string, options array<struct<id:int,text:string>>, ends_at timestamp"
 
 
@@ -30,7 +30,10 @@ def test_config_reads_durations_and_keeps_defaults():
 def test_cookies(spark):
     secret = b"k" * 100
     mac = hmac.new(secret, b"p\0a.b", hashlib.sha256).hexdigest()
-    cases = [(f"a.b.{mac}", "a.b"), (f"a.b.{mac.upper()}", "a.b"), (f"a.b.{mac[:-1]}0" if mac[-1] != "0" else f"a.b.{mac[:-1]}1", None), ("", None), ("no-separator", None), (".onlysig", None), ("raw.", None), (".", None), (None, None)]
+    good = f"a.b.{mac}"
+    # by rule: each part empty, the last sign changed, added or cut, a sign that isn't hexadecimal
+    bad = [good[:-1] + ("1" if good[-1] == "0" else "0"), good + "0", good[:-2], good[:-1] + "z", f".{mac}", "a.b.", "a.b", "." * 3, " ", "", None]
+    cases = [(good, "a.b"), (f"a.b.{mac.upper()}", "a.b"), *((c, None) for c in bad)]
     df = spark.createDataFrame([(i, c) for i, (c, _) in enumerate(cases)], "i int, c string")
     got = {r.i: r.v for r in df.select("i", identity.verify(secret, F.lit("p"), F.col("c")).alias("v")).collect()}
     assert [got[i] for i in range(len(cases))] == [want for _, want in cases]
@@ -39,8 +42,11 @@ def test_cookies(spark):
 
 @pytest.mark.parametrize(
     "forwarded,real,remote,want",
-    [("7.7.7.7, 6.6.6.6", "8.8.8.8", "9.9.9.9:1", "7.7.7.7"), ("", " 8.8.8.8 ", "9.9.9.9:1", "8.8.8.8"), (None, None, "9.9.9.9:1111", "9.9.9.9"), (None, None, "[::1]:80", "::1"), (None, None, "pipe", "pipe"), (None, None, "::1", "::1")],
-)
+    [
+        ("203.0.113.5 , 198.51.100.9", "192.0.2.44", "192.0.2.1:5000", "203.0.113.5"), (" ", "198.51.100.3", "192.0.2.1:5000", ""), ("", " 198.51.100.20 ", "192.0.2.1:5000", "198.51.100.20"), (None, "", "192.0.2.77:61000", "192.0.2.77"),
+        (None, None, "[2001:db8::7]:443", "2001:db8::7"), (None, None, "unix", "unix"), (None, None, "2001:db8::9", "2001:db8::9"),
+    ],
+)
 def test_client_address(spark, forwarded, real, remote, want):
     df = spark.createDataFrame([(forwarded, real, remote)], "f string, r string, a string")
     assert df.select(identity.client_ip(F.col("f"), F.col("r"), F.col("a"))).first()[0] == want
@@ -114,6 +120,30 @@ def test_ledger_settles_once(spark, tmp_path):
     assert sorted((r.poll_id, r.option_id, r["count"], r.total, r.reason) for r in ledger.finals().collect()) == [("p1", 1, 2, 3, "quorum"), ("p1", 2, 1, 3, "quorum")]
 
 
+@pytest.mark.parametrize("start", [0, 1000])
+def test_ledger_counts_silence_over_gaps_and_partitions(spark, tmp_path, start):
+    """A poll without a quorum ends once enough messages of others went by, whatever their offsets."""
+    polls = spark.createDataFrame([("p1", [(1, "a")], NOW), ("p2", [(1, "a")], NOW + timedelta(days=9))], POLL)
+    ledger = Ledger(spark, str(tmp_path / "ledger"), polls, Config(stale_messages=4))
+    batch = lambda rows: spark.createDataFrame(rows, "partition int, offset long, value binary")
+    other, gone = _message("p2", "w1", [("x", 1)]), _message("p9", "w1", [("x", 1)])
+    ledger.append(batch([(0, start, _message("p1", "w1", [("a", 1)])), (0, start + 2, other), (0, start + 3, b"{"), (1, start, other)]), 0, NOW)
+    assert ledger.settle_due(NOW + timedelta(seconds=60)) == 0
+    ledger.append(batch([(0, start + 9, other), (1, start + 50, b"none"), (1, start + 70, gone)]), 1, NOW)
+    assert ledger.settle_due(NOW + timedelta(seconds=60)) == 1
+    assert ledger.settle_due(NOW + timedelta(seconds=61)) == 0
+    assert [(r.poll_id, r["count"], r.reason) for r in ledger.finals().collect()] == [("p1", 1, "stale")]
+    assert [tuple(r) for r in ledger.not_found().collect()] == [("p9", 1)]
+
+
+def test_options_beyond_int_are_unknown(spark):
+    from tallyhouse.operators.admission import admit
+
+    polls = spark.createDataFrame([("p", [(1, "a")], NOW)], POLL)
+    asked = spark.createDataFrame([("p", o, NOW - timedelta(seconds=1)) for o in (1, 2, 2**31, 2**62, -(2**40), None)], "poll_id string, option_id long, ts timestamp")
+    assert sorted((str(r.option_id), r.status) for r in admit(asked, polls).collect()) == sorted((str(o), s) for o, s in ((1, 202), (2, 400), (2**31, 400), (2**62, 400), (-(2**40), 400), (None, 400)))
+
+
 def test_ledger_as_a_stream(spark, tmp_path):
     import base64
 
