@@ -108,7 +108,7 @@ def _native_lines(low: DataFrame, k: int, num: int, den: int, least_words: int,
     lines = low.select("id", F.posexplode(F.split(_spaced(F.col("low")), "\n")).alias("line", "s"))
     if wanted is not None:
         lines = lines.join(wanted, ["id", "line"], "left_semi")
-    hashed = lines.select("id", "line", _once(F.transform(F.array_remove(F.split("s", " "), ""), lambda w: F.xxhash64(w))).alias("h"))
+    hashed = lines.select("id", "line", _once(F.array_remove(F.transform(F.split("s", " "), lambda w: F.xxhash64(w)), F.xxhash64(F.lit("")))).alias("h"))
     hashed = hashed.where(F.size("h") >= max(1, least_words))
     def runs(h: Column) -> Column:
         # nulls behind the last word of a line of under k words leave a hash as it is
@@ -169,10 +169,12 @@ def similar_lines(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, le
     made = _native_lines(low, k, num, den, least_words, False) if native else low.mapInArrow(_lines(k, num, den, least_words, False), LINES)
     lines, lines_uri = written_at(made, "lines")
     # of equal sets, the first one's postings are compared
-    same = lines.groupBy("key1", "key2").agg(F.min(F.struct("id", "line")).alias("first"), F.max(F.struct("id", "line")).alias("last"))
+    # a place as one number, as the least struct would be found by sorting all lines
+    place = F.col("id").cast("decimal(19,0)") * F.lit(1 << 31).cast("decimal(10,0)") + F.col("line").cast("decimal(10,0)")
+    same = lines.groupBy("key1", "key2").agg(F.min(place).alias("first"), F.max(place).alias("last"))
     same = written(same.where("first <> last").select("key1", "key2", "first"), "same")
     told = lines.join(_small(same, BROADCAST_WANTED), ["key1", "key2"], "left")
-    later = F.col("first").isNotNull() & (F.col("first") != F.struct("id", "line"))
+    later = F.col("first").isNotNull() & (F.col("first") != place)
     copies, own = written(told.where(later).select("id", "line"), "copies"), told.where(~later)
 
     # most prefix tokens occur once: only those of two lines or more are joined
