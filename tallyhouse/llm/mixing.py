@@ -107,7 +107,10 @@ def schedule(sources: DataFrame, block: int, total: int, count: int) -> DataFram
 
 
 def mix_sources(docs: DataFrame, id_col="doc_id", source_col="source", text_col="text", weights: tuple = WEIGHTS, most: int = MOST_REPEATS, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
-    """Per row of ``docs``: id, size (words), source_size, target (of its source), taken (words).
+    """Per row of ``docs``: id, size (words), source_size, target (of its source), taken (words), first_slot.
+
+    ``first_slot`` is the place of the schedule at which a document first comes, so that the mix in the
+    order of slots has every source in its share all along; null if it doesn't come, or only in the slots added at the end.
 
     A null source is a source of its own; a null text has size 0 and taken 0.  Rows that repeat an
     id are documents of their own.  Order within a source is by md5 of the id, then id and size; a rerun
@@ -126,10 +129,12 @@ def mix_sources(docs: DataFrame, id_col="doc_id", source_col="source", text_col=
     slot = schedule(plan.select("place", "target", "slots"), block, total, count).join(plan.select("place", "source_size", "quota", "blocks"), "place")
     slot = slot.withColumns({"block": F.expr("rank % blocks"), "past": F.expr(f"(rank div blocks) * source_size + (rank % blocks) * {block}")})
     length = F.least(F.lit(block), F.col("source_size") - F.col("block") * block)
-    slot = slot.select("place", "block", length.alias("length"), F.least(length, F.col("quota") - F.col("past")).alias("takes"))
+    slot = slot.select("place", "block", "slot", length.alias("length"), F.least(length, F.col("quota") - F.col("past")).alias("takes"))
+    uncut = F.col("takes") == F.col("length")
     slot = slot.groupBy("place", "block").agg(
-        F.count_if(F.col("takes") == F.col("length")).alias("whole"), F.max(F.when(F.col("takes") < F.col("length"), F.col("takes")).otherwise(0)).alias("part")
-    )
+        F.count_if(uncut).alias("whole"), F.max(F.when(~uncut, F.col("takes")).otherwise(0)).alias("part"),
+        F.min(F.when(uncut, F.col("slot"))).alias("whole_slot"), F.min(F.when(~uncut, F.col("slot"))).alias("part_slot"),
+    )
 
     known = docs.alias("d").join(sources.alias("s"), F.col("d.source").eqNullSafe(F.col("s.source")))
     placed = _starts(known.select("place", "hash", "id", "size"))
@@ -139,7 +144,8 @@ def mix_sources(docs: DataFrame, id_col="doc_id", source_col="source", text_col=
     last = F.least(F.col("start") + F.col("size") - F.col("block") * block, F.lit(block))
     pieces = pieces.withColumns({"a": first, "b": last}).join(slot, ["place", "block"])
     got = F.col("whole") * (F.col("b") - F.col("a")) + F.greatest(F.least("b", "part") - F.col("a"), F.lit(0))
-    taken = pieces.groupBy("place", "start").agg(F.sum(got).alias("taken"))
+    came = F.least("whole_slot", F.when(F.col("part") > F.col("a"), F.col("part_slot")))
+    taken = pieces.groupBy("place", "start").agg(F.sum(got).alias("taken"), F.min(came).alias("first_slot"))
     out = placed.join(taken, ["place", "start"], "left").join(sources, "place")
     taken = F.when(F.col("size") > 0, F.coalesce("taken", F.lit(0))).otherwise(0).cast("long")
-    return out.select(F.col("id").alias(id_col), "size", "source_size", "target", taken.alias("taken"))
+    return out.select(F.col("id").alias(id_col), "size", "source_size", "target", taken.alias("taken"), "first_slot")

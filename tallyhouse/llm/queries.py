@@ -120,15 +120,31 @@ with d as (
 ), f as (
   select *, min(case when not (cap::double <= level * weight) then ord end) over () as first_free from l
 ), t as (
-  select source, source_size, case when first_free is null or ord < first_free then cap::double else (max(case when ord = first_free then level end) over ()) * weight end as target from f
+  select source, source_size, place, case when first_free is null or ord < first_free then cap::double else (max(case when ord = first_free then level end) over ()) * weight end as target from f
 ), p as (
-  select doc_id, size, source_size, target, least(floor(target + 0.5), source_size * 3)::bigint as quota,
+  select doc_id, size, source_size, target, place, least(floor(target + 0.5), source_size * 3)::bigint as quota,
     sum(size) over (partition by d.source order by h, doc_id, size rows between unbounded preceding and current row) - size as start
   from d join t on d.source is not distinct from t.source
+), c as (
+  select sum(source_size)::bigint as total, count(*) as sources, greatest(64, (sum(source_size) + 67108863) // 67108864)::bigint as block from t
+), u as (
+  select *, round(sum(target) over (order by place) / total::double * 1e18)::bigint as high, least(floor(target + 0.5), source_size * 3)::bigint as quota,
+    (source_size + block - 1) // block as blocks from t, c where total > 0
+), g as (
+  select slot, (slot::hugeint * 618033988749894848 % 1000000000000000000)::bigint as point
+  from (select unnest(range(1, (total + block - 1) // block + 4 * sources + 1)) as slot from c)
+), r as (
+  select u.*, slot, row_number() over (partition by place order by slot) - 1 as r
+  from g join (select *, coalesce(lag(high) over (order by place), 0) as low from u) u on point >= low and point < high
+), k as (
+  select place, slot, r % blocks * block as a, r % blocks * block + least(block, source_size - r % blocks * block, quota - r // blocks * source_size - r % blocks * block) as b
+  from r where source_size > 0 and r < quota // source_size * blocks + (quota % source_size + block - 1) // block
+), o as (
+  select doc_id, p.place, start, min(slot)::bigint as first_slot from p join k on p.place = k.place and start < b and start + size > a where size > 0 group by all
 )
-select doc_id, size, source_size, target,
-  (case when size = 0 then 0 else (quota // source_size) * size + greatest(least(quota % source_size - start, size), 0) end)::bigint as taken
-from p
+select p.doc_id, size, source_size, target,
+  (case when size = 0 then 0 else (quota // source_size) * size + greatest(least(quota % source_size - p.start, size), 0) end)::bigint as taken, first_slot
+from p left join o on p.doc_id is not distinct from o.doc_id and p.place = o.place and p.start = o.start and size > 0
 """
 
 OP4_SQL = r"""

@@ -1,4 +1,5 @@
 import gzip
+import hashlib
 import io
 import random
 import re
@@ -381,6 +382,34 @@ def test_mixing_reaches_its_targets(spark):
     assert t == {"a": 30.0, "b": 300.0, None: 780.0}
 
 
+def test_mixing_follows_its_schedule(spark, monkeypatch):
+    """Slots by plain arithmetic: which block each point reaches, and how near every prefix is to the shares."""
+    rows = [(i, "w " * (1 + i % 9), s) for i, s in enumerate(["a"] * 60 + ["b"] * 30 + [None] * 25)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    block, got = 4, mix_sources(docs, block_tokens=4).toPandas().set_index("doc_id")
+    total, names = int(got["size"].sum()), ["a", "b", None]
+    target = {s: got.target[[r[0] for r in rows if r[2] == s]].iloc[0] for s in names}
+    bounds = np.cumsum([target[s] for s in names]) / total
+    n, golden = -(-total // block) + 4 * len(names), 618033988749894848
+    reached = [names[int(np.searchsorted(bounds, i * golden % 10**18 / 1e18, side="right"))] for i in range(1, n + 1)]
+    for s in names:
+        ids = sorted((r[0] for r in rows if r[2] == s), key=lambda i: hashlib.md5(str(i).encode()).hexdigest())
+        tokens = [i for i in ids for _ in range(int(got["size"][i]))]
+        blocks, quota, first, rank = -(-len(tokens) // block), int(target[s] + 0.5), {}, 0
+        for slot, which in enumerate(reached, 1):
+            if which == s:
+                a, left = rank % blocks * block, quota - rank // blocks * len(tokens) - rank % blocks * block
+                for i in tokens[a : a + block][: max(left, 0)]:
+                    first.setdefault(i, slot)
+                rank += 1
+        assert {i: x for i, x in got.first_slot[ids].dropna().items()} == first
+        counts = np.cumsum([which == s for which in reached])
+        assert np.abs(counts - np.arange(1, n + 1) * target[s] / total).max() < 2.5
+    monkeypatch.setattr("tallyhouse.llm.mixing._GOLDEN", 1)
+    other = mix_sources(docs, block_tokens=4).toPandas().set_index("doc_id")
+    assert not other.first_slot.equals(got.first_slot.reindex(other.index))
+
+
 def test_url_filter_cases(spark):
     entries = spark.createDataFrame([("Ads.com", "x", 10, True), ("ads.com", "x", 20, False), ("site.org/bad", "y", 5, True), (None, "z", 1, True), ("ads.com", "x", 30, True), ("ads.com", "x", 30, False)], "pattern string, category string, dated long, active boolean")
     cases = [("http://a.ads.com/x", 9, 0), ("http://a.ads.com/x", 10, 1), ("https://u@ADS.com:80/", 19, 1), ("http://ads.com", 20, 0), ("http://ads.com.", 30, 1), ("http://badads.com/", 15, 0), ("http://site.org/bad/deep?q", 6, 1), ("http://site.org/badly", 6, 0), ("http://site.org/bad", 4, 0), (None, 6, 0), ("no url", 6, 0), ("http://ads.com", None, 0)]
