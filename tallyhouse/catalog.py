@@ -7,17 +7,18 @@ from pyspark.sql import functions as F
 
 from .config import Config
 from .functions import identity
-from .functions.numeric import shard
-from .operators.admission import admit, status_counts, validate_polls
-from .operators.batching import batch_numbers, done_is_last
-from .operators.completion import completion, stale_counts
+from .functions.numeric import backoff_seconds, shard
+from .operators.admission import admit, request_option, status_counts, validate_polls
+from .operators.batching import batch_numbers, done_is_last, pack
+from .operators.completion import completion, deadlines, stale_counts
 from .operators.limits import issue_counts, issue_limit, newest_entries
 from .operators.progress import commit_prefix, deltas
-from .operators.report import labelled_counts, load_plan, mean_rate, percentiles, reconcile
+from .operators.report import labelled_counts, load_plan, mean_rate, option_of, percentiles, reconcile, throughput
 from .operators.settle import evictable, new_finals, outcomes
 from .operators.tally import poll_totals, snapshot, tally, workers
 from .plans.tables import SECRET, events, messages, polls, votes
 from .sources.messages import decode, encode_value, votes_of
+from .sources.polls import get_poll, public_view, with_results
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -386,3 +387,107 @@ def repeated_votes(spark, sf_dir):
 def shard_of(spark, sf_dir):
     rows = spark.createDataFrame([("",), ("a",), ("foobar",)], "key string")
     return rows.select("key", shard(F.col("key"), 64).alias("shard"))
+
+
+@query(
+    """select seq, raw is not null and raw <> '' as had_cookie, case when seq % 3 = 0 then fingerprint else sha256('192.0.2.' || fingerprint::bigint % 256) end as fingerprint,
+      case when seq % 9 = 3 then 400 when seq % 50 = 7 then 404 when seq % 9 = 4 or option_id not in (1, 2, 3) then 400 when ts >= ends_at then 403 else 202 end as status
+    from (select v.*, ends_at, case seq % 3 when 0 then cookie when 1 then 'x.y' when 2 then case when seq % 2 = 0 then '' end end as raw from v join polls on id = v.poll_id join c using (seq))""",
+    _VOTES, _SIGNED,
+)
+def vote_requests(spark, sf_dir):
+    """The vote call as one plan: body, fingerprint by cookie or address, admission.  Some bodies are cut short, some have no option."""
+    v, k = votes(spark, sf_dir), F.col("seq") % 9
+    body = F.when(k == 3, '{"option_id":').when(k == 4, "{}").otherwise(F.format_string('{"option_id":%d}', "option_id"))
+    cookie = F.when(F.col("seq") % 3 == 0, identity.sign(SECRET, F.col("poll_id"), F.col("fingerprint"))).when(F.col("seq") % 3 == 1, "x.y").when(F.col("seq") % 2 == 0, "")
+    address = identity.client_ip(F.lit(""), F.lit(""), F.concat(F.lit("192.0.2."), (F.col("fingerprint").cast("bigint") % 256).cast("string"), F.lit(":80")))
+    rows = v.withColumns({"cookie": cookie, "address": address, "option_id": request_option(body)})
+    rows = rows.withColumns({"had_cookie": identity.has_cookie(F.col("cookie")), "fingerprint": identity.fingerprint(SECRET, F.col("poll_id"), F.col("cookie"), F.col("address"))})
+    rows = rows.withColumn("poll_id", F.when(F.col("seq") % 50 == 7, "none").otherwise(F.col("poll_id")))
+    return admit(rows, polls(spark, sf_dir)).select("seq", "had_cookie", "fingerprint", "status")
+
+
+@query("select strftime(date_trunc('second', ts), '%Y-%m-%d %H:%M:%S') as second, count(*) as n from events group by 1")
+def throughput_per_second(spark, sf_dir):
+    return throughput(events(spark, sf_dir), "ts", "1 second").select(F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("second"), "n")
+
+
+@query(
+    """select poll_id, worker_id, batch, false as done, string_agg(fingerprint || ':' || option_id, ',' order by seq) as votes from b group by 1, 2, 3
+    union all select poll_id, worker_id, max(batch) + 1, true, '' from b group by 1, 2""",
+    _VOTES, "b as (select *, (row_number() over (partition by poll_id, worker_id order by seq) - 1) // 10 as batch from v)",
+)
+def packed_messages(spark, sf_dir):
+    text = F.array_join(F.transform("votes", lambda x: F.concat(x["fingerprint"], F.lit(":"), x["option_id"].cast("string"))), ",")
+    return pack(votes(spark, sf_dir), 10).select("poll_id", "worker_id", "batch", "done", text.alias("votes"))
+
+
+@query(
+    """select id, case when total is null then 'active' else 'completed' end as status, total, options, w.workers_seen, w.workers_done
+    from polls left join (select poll_id, sum(votes)::bigint as total, string_agg(option_id || '=' || votes, ',' order by option_id) as options from t where substr(poll_id, 9, 2)::int % 3 = 0 group by 1) r on r.poll_id = id
+    left join w on w.poll_id = r.poll_id""",
+    _VOTES, _TALLY, _MESSAGES, _WORKERS,
+)
+def polls_with_results(spark, sf_dir):
+    """Every third day's poll is settled; the others have no result."""
+    counts = tally(votes(spark, sf_dir)).where(F.substring("poll_id", 9, 2).cast("int") % 3 == 0)
+    out = with_results(polls(spark, sf_dir), counts.join(workers(messages(spark, sf_dir)), "poll_id"))
+    options = F.array_join(F.transform("results.options", lambda o: F.concat(o["option_id"].cast("string"), F.lit("="), o["count"].cast("string"))), ",")
+    return out.select("id", "status", "results.total", options.alias("options"), "results.workers_seen", "results.workers_done")
+
+
+@query("select id, 3 as options, strftime(ends_at, '%Y-%m-%d %H:%M:%S') as ends_at from polls where id = '2024-01-15'", _VOTES)
+def public_poll(spark, sf_dir):
+    known = polls(spark, sf_dir).withColumn("results", F.lit(None).cast("string"))
+    return public_view(get_poll(known, "2024-01-15")).withColumns({"options": F.size("options"), "ends_at": F.date_format("ends_at", "yyyy-MM-dd HH:mm:ss")})
+
+
+@query("select event_id % 3 + 1 as option_id, count(*) as votes from events group by 1")
+def assigned_options(spark, sf_dir):
+    return events(spark, sf_dir).groupBy(option_of(F.col("event_id"), 3).alias("option_id")).agg(F.count("*").alias("votes"))
+
+
+@query("select event_id, least(0.5 * 2 ^ (event_id % 8), 20)::double as wait from events")
+def retry_waits(spark, sf_dir):
+    return events(spark, sf_dir).select("event_id", backoff_seconds(F.col("event_id") % 8, 0.5, 20.0).alias("wait"))
+
+
+@query(
+    "select poll_id, strftime(case when substr(poll_id, 9, 2)::int % 2 = 0 then ends_at else first + interval 1 hour end, '%Y-%m-%d %H:%M:%S') as ends_at from (select poll_id, min(ts)::timestamp as first from v group by 1) join polls on id = poll_id",
+    _VOTES,
+)
+def deadline_default(spark, sf_dir):
+    """Polls of odd days aren't known, so they end a hard timeout after their first message."""
+    known = polls(spark, sf_dir).where(F.substring("id", 9, 2).cast("int") % 2 == 0)
+    seen = votes(spark, sf_dir).select("poll_id", F.col("ts").cast("timestamp_ntz").alias("arrived"))
+    return deadlines(seen, known, Config(hard_timeout=3600.0)).select("poll_id", F.date_format("ends_at", "yyyy-MM-dd HH:mm:ss").alias("ends_at"))
+
+
+@query(
+    """select day, unnest(range(1, len(kinds) + 1)) as id, unnest(kinds) as text
+    from (select strftime(ts, '%Y-%m-%d') as day, list_sort(list(distinct event_type)) as kinds from events group by 1) where len(kinds) >= 2"""
+)
+def numbered_options(spark, sf_dir):
+    """A poll for each day about the kinds of its events."""
+    kinds = events(spark, sf_dir).groupBy(F.date_format("ts", "yyyy-MM-dd").alias("day")).agg(F.array_sort(F.collect_set("event_type")).alias("options"))
+    asked = kinds.select("day", F.lit("which?").alias("question"), "options", F.lit(60).alias("duration_seconds"), F.lit(None).cast("timestamp_ntz").alias("ends_at"))
+    made = validate_polls(asked, F.expr("timestamp_ntz '2026-09-10 08:00:00'")).where("error is null")
+    return made.select("day", F.explode("options").alias("o")).select("day", F.col("o.id").cast("bigint").alias("id"), "o.text")
+
+
+@query(
+    """select poll_id, count(distinct worker_id) filter (worker_id <> '') as workers_seen, count(distinct worker_id) filter (done and worker_id <> '') as workers_done
+    from (select * replace (case when seq % 5 < 4 then '' else worker_id end as worker_id) from m) group by 1""",
+    _VOTES, _MESSAGES,
+)
+def workers_without_name(spark, sf_dir):
+    return workers(messages(spark, sf_dir).withColumn("worker_id", F.when(F.col("seq") % 5 < 4, "").otherwise(F.col("worker_id"))))
+
+
+@query(
+    """select fingerprint as key, list_reduce(list_prepend(2166136261::bigint, list_transform(string_split(fingerprint, ''), lambda c: ascii(c)::bigint)), lambda h, b: xor(h, b) * 16777619 % 4294967296) % 64 as shard
+    from (select distinct fingerprint from v)""",
+    _VOTES,
+)
+def shard_of_voters(spark, sf_dir):
+    return votes(spark, sf_dir).select(F.col("fingerprint").alias("key")).distinct().withColumn("shard", shard(F.col("key"), 64))
