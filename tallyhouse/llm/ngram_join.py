@@ -208,7 +208,7 @@ class InvertedIndex:
     def __init__(self, sets: list[np.ndarray]):
         self.sizes = np.array([len(s) for s in sets], np.int64)
         h = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
-        owner = np.repeat(np.arange(len(sets)), self.sizes)
+        owner = np.repeat(np.arange(len(sets), dtype=np.int32), self.sizes)
         order = np.argsort(h, kind="stable")
         h, self.owner = h[order], owner[order]
         lead = np.concatenate(([True], h[1:] != h[:-1])) if len(h) else np.zeros(0, bool)
@@ -238,7 +238,7 @@ class InvertedIndex:
             if not len(found):
                 break
             part = self.owner[begin[i] : begin[i] + length[i]]
-            spot = np.searchsorted(part, found)
+            spot = np.searchsorted(part, found.astype(part.dtype))
             overlap += part[np.minimum(spot, len(part) - 1)] == found
         return found[den * overlap >= num * (len(query) + self.sizes[found] - overlap)]
 
@@ -252,9 +252,12 @@ def _tile(num: int, den: int):
     def run(table: pa.Table) -> pa.Table:
         home, low, high = (table[c][0].as_py() for c in ("home", "low", "high"))
         # rows that repeat an id with the same set are one
-        once = {(i, x.as_buffer().to_pybytes()): at for at, (i, x) in enumerate(zip(table["id"].to_pylist(), table["set"]))}
-        if len(once) < len(table):
-            table = table.take(pa.array(sorted(once.values())))
+        _, which, count = np.unique(table["id"].to_numpy(), return_inverse=True, return_counts=True)
+        repeated = np.flatnonzero(count[which] > 1)  # only their sets are copied to be compared
+        once = {(int(which[at]), table["set"][int(at)].as_buffer().to_pybytes()): int(at) for at in repeated}
+        if len(once) < len(repeated):
+            table = table.take(pa.array(sorted([*np.flatnonzero(count[which] == 1).tolist(), *once.values()])))
+        del once
         block = table["block"].to_numpy()
         ids, weight = table["id"].to_numpy(), table["weight"].to_numpy()
         sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in table["set"]]
