@@ -21,7 +21,7 @@ from pyspark.sql.types import ArrayType, LongType, StringType, StructField, Stru
 
 from .fm_index import FMIndex
 from .scratch import written
-from .textkit import ALNUM, LOWER, pieces, string_parts, word_hashes, words
+from .textkit import ALNUM, LOWER, pieces, releasing, string_parts, word_hashes, words
 
 #: Symbols after which a shard is indexed and searched.
 SHARD = 1_000_000
@@ -174,13 +174,13 @@ def find_benchmark(docs: DataFrame, benchmark: DataFrame, id_col="doc_id", text_
     if len(blocks) == 1:  # the id itself serves as row
         shared = spark.sparkContext.broadcast(Windows(blocks[0], width))
         schema = StructType([StructField("row", docs.schema["id"].dataType), *FOUND.fields])
-        return docs.withColumnRenamed("id", "row").mapInArrow(_scan(shared), schema).withColumnRenamed("row", id_col)
+        return docs.withColumnRenamed("id", "row").mapInArrow(releasing(_scan(shared)), schema).withColumnRenamed("row", id_col)
     rows = written(docs.withColumn("row", F.monotonically_increasing_id()), "rows")
     schema = StructType([StructField("row", LongType()), *FOUND.fields])
     found = None
     for block in _blocks(benchmark, item_col, item_text_col, block_words):
         shared = spark.sparkContext.broadcast(Windows(block, width))
-        part = written(rows.select("row", "text").mapInArrow(_scan(shared), schema), "found")
+        part = written(rows.select("row", "text").mapInArrow(releasing(_scan(shared)), schema), "found")
         shared.unpersist()
         found = part if found is None else found.unionByName(part)
     spans, items = F.array_sort(F.flatten(F.collect_list("spans"))), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items"))))

@@ -7,6 +7,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .textkit import releasing
+
 BUCKETS = 1 << 16
 ORDERS = (1, 2, 3)
 #: N-grams that count at most in a score: longer texts don't make it surer.
@@ -133,4 +135,4 @@ def predict_language(docs: DataFrame, model: LanguageModel, text_col: str = "tex
             yield pa.RecordBatch.from_arrays(columns, names=[*rest, "lang_pred", "score"])
 
     schema = docs.select(*rest).schema.add("lang_pred", "string").add("score", "double")
-    return docs.select(*rest).mapInArrow(run, schema)
+    return docs.select(*rest).mapInArrow(releasing(run), schema)

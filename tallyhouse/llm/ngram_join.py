@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from .components import Forest, components
 from .scratch import drop, partitions, written, written_at
-from .textkit import mix, pieces, shingle_sets, string_parts
+from .textkit import mix, pieces, release, releasing, shingle_sets, string_parts
 
 #: Share of the hash space whose shingles travel for the count of own shingles.
 CUT = np.uint64(int(0.35 * 2**64))
@@ -116,14 +116,17 @@ def _asks(k: int, num: int, den: int, parts: int):
         docs = np.array([(d, n, m) for d, n, m, _ in held], np.int64).reshape(-1, 3)
         key = base + np.arange(len(docs))
         h = np.concatenate([s for *_, s in held])
-        owner = np.repeat(np.arange(len(docs)), [len(s) for *_, s in held])
+        owner = np.repeat(np.arange(len(docs), dtype=np.uint16), [len(s) for *_, s in held])
+        held.clear()
         order = np.argsort(h, kind="stable")
         h, owner = h[order], owner[order]
+        del order
         lead = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
         size = np.diff(np.append(lead, len(h)))
         many = np.repeat(size > 1, size)
         ask, who = h[lead], np.where(size > 1, LAST, owner[lead]).astype(np.uint16)
-        rows = [(0, p, _pack(base, *x)) for p, x in _split((ask % np.uint64(parts)).astype(np.int64), parts, ask, who)]
+        rows = [(0, p, _pack(base, *x)) for p, x in _split((ask % np.uint64(parts)).astype(np.int32), parts, ask, who)]
+        del ask, who
         own = dict(_split(_bucket(key, parts), parts, key, *docs.T))
         shared = dict(_split(_bucket(key[owner[many]], parts), parts, key[owner[many]], h[many]))
         none = [np.zeros(0, np.int64), np.zeros(0, np.uint64)]
@@ -301,7 +304,7 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """
     spark = docs.sparkSession
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    keys = written(docs.mapInArrow(_keys(k), "id long, n long, key1 long, key2 long"), "keys")
+    keys = written(docs.mapInArrow(releasing(_keys(k)), "id long, n long, key1 long, key2 long"), "keys")
     full = keys.where("id is not null and n > 0")
     classes = written(full.groupBy("key1", "key2").agg(F.min("id").alias("rep"), F.countDistinct("id").alias("weight"), F.max("n").alias("n")), "classes")
     reps = classes.groupBy(F.col("rep").alias("id")).agg(F.max("weight").alias("weight"), F.max("n").alias("n"))
@@ -310,7 +313,7 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     parts = max(4 * partitions(spark), math.ceil(size * 16 / (64 << 20)))
 
     texts = only_ids(docs.where("id is not null"), copies, "left_anti")
-    asks, asks_uri = written_at(texts.mapInArrow(_asks(k, num, den, parts), "side int, part int, blob binary"), "asks")
+    asks, asks_uri = written_at(texts.mapInArrow(releasing(_asks(k, num, den, parts)), "side int, part int, blob binary"), "asks")
     answers = asks.where("side = 0").groupBy("part").applyInArrow(_answers(parts), "part int, blob binary")
     known = asks.where("side = 1").select("part", "blob").unionByName(answers)
     postings = written(known.groupBy("part").applyInArrow(_prefixes(num, den), "shingle long, id long, n long"), "postings")
@@ -323,7 +326,7 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     blocks = visits.groupBy("home").agg(F.ceil(F.sum("n") * 8 / F.lit(block)).alias("blocks"))
     homes = visits.groupBy("id").agg(F.collect_list("home").alias("homes"))
     searched = written(homes.join(reps, "id").select("id", "weight", "homes"), "searched")
-    sets = only_ids(docs.where("id is not null"), searched.select("id"), "left_semi").mapInArrow(_full(k), "id long, set binary")
+    sets = only_ids(docs.where("id is not null"), searched.select("id"), "left_semi").mapInArrow(releasing(_full(k)), "id long, set binary")
     placed = visits.join(blocks, "home").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
     tiles = (
         placed.select("id", "home", "block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))

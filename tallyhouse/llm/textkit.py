@@ -6,7 +6,8 @@ no byte of a multi-byte character equals an ASCII byte.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -42,7 +43,7 @@ def mix(h: np.ndarray) -> np.ndarray:
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     global _power, _power_inverse
     if len(_power) < n:
-        size = max(n, 1 << 20)
+        size = max(n, 1 << 18)
         for name, base in (("_power", _BASE), ("_power_inverse", _INVERSE)):
             table = np.full(size, base, np.uint64)
             table[0] = 1
@@ -50,6 +51,24 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _power[:n], _power_inverse[:n]
 
 
+def release() -> None:
+    """Hands freed memory back to the system, as workers stay for later tasks and stages."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc alone
+    if trim is not None:
+        trim(0)
+
+
+def releasing(run: Callable) -> Callable:
+    """``run``, a function of batches, that releases memory at its end."""
+
+    def out(batches):
+        yield from run(batches)
+        release()
+
+    return out
+
+
 def string_parts(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and int64 offsets of a string column; a null is an empty text."""
     if isinstance(column, pa.ChunkedArray):
@@ -64,7 +83,7 @@ def string_parts(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets - offsets[0]
 
 
-def pieces(offsets: np.ndarray, limit: int = 1 << 20) -> Iterator[tuple[int, int]]:
+def pieces(offsets: np.ndarray, limit: int = 1 << 18) -> Iterator[tuple[int, int]]:
     """Ranges of consecutive texts of about ``limit`` bytes together, one text at least."""
     i, n = 0, len(offsets) - 1
     while i < n:
