@@ -14,7 +14,9 @@ from .language_id import predict_language, train_language_model
 from .line_dedup import dedup_lines
 from .mixing import mix_sources
 from .ngram_join import ngram_jaccard_join
+from .prefix_trie import conversation_trie, rebuilt
 from .quality import score_quality, train_quality_model
+from .secrets import find_secrets
 from .url_filter import filter_urls, host_of
 from .warc import warc_round_trip
 
@@ -105,6 +107,15 @@ def op10_url_filter(spark, sf_dir):
     return out.select("page_id", "fetched", "n_active", "blocked", "category", "pattern")
 
 
+def op12_secrets(spark, sf_dir):
+    found = find_secrets(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans")
+
+
+def op13_prefix_trie(spark, sf_dir):
+    return conversation_trie(*rebuilt(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")))
+
+
 OP3_SQL = r"""
 with d as (
   select doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::bigint as size, md5(coalesce(doc_id::varchar, '')) as h from documents
@@ -192,5 +203,33 @@ select c.page_id, c.fetched, coalesce(n, 0)::bigint as n_active, coalesce(n, 0)
 from c left join m using (page_id)
 """
 
-QUERIES = {f.__name__: f for f in (op1_ngram_join, op2_html_text, op3_mixing, op4_line_dedup, op5_embedding_dedup, op6_language_id, op7_decontamination, op8_quality, op9_warc, op10_url_filter)}
-SQL = {"op4_line_dedup": OP4_SQL, "op3_mixing": OP3_SQL, "op10_url_filter": OP10_SQL}
+# CRC32 goes through the bits of each sign: -1 stands for a shift
+OP13_SQL = r"""
+with p as (
+  select conv_id, row_number() over (partition by conv_id order by turn nulls first, coalesce(role, ''), coalesce(text, '')) - 1 as place, {'role': coalesce(role, ''), 'text': coalesce(text, '')} as said
+  from conversations where conv_id is not null
+), c as (
+  select conv_id, conv_id - conv_id % 20 as source,
+    xor(list_reduce(list_prepend(4294967295::bigint, flatten(list_transform(string_split(conv_id::varchar, ''), lambda x: [ascii(x)::bigint, -1, -1, -1, -1, -1, -1, -1, -1]))),
+      lambda h, b: case when b >= 0 then xor(h, b) when h % 2 = 1 then xor(h // 2, 3988292384) else h // 2 end), 4294967295::bigint) % 4 as h
+  from (select distinct conv_id from p)
+), r as (
+  select c.conv_id, 0 as own, place, said from c join p on p.conv_id = c.source and place < h
+  union all select c.conv_id, 1, place, said from c join p on p.conv_id = c.conv_id and place >= h
+), t as (
+  select conv_id, coalesce(list(said order by own, place) filter (said is not null), []) as turns from c left join r using (conv_id) group by conv_id
+), x as (
+  select conv_id, len(turns) as n, unnest(range(0, len(turns) + 1)) as depth, turns from t
+), g as (
+  select turns[1:depth] as path, depth, min(conv_id) as conv_id, count(*) as n_convs, string_agg(conv_id::varchar, ',' order by conv_id) filter (n = depth) as ends,
+    coalesce(len(regexp_extract_all((any_value(turns)[depth]).text, '[^\x20\x09-\x0D]+')), 0) as words from x group by 1, 2
+), k as (
+  select a.path, a.depth, count(*) filter (b.depth = a.depth + 1) as n_children, count(*) filter (b.leaf) as n_leaves, sum((b.n_convs - 1) * b.words)::bigint as saved
+  from g a join (select *, not exists (select 1 from g y where y.depth = g.depth + 1 and y.path[1:g.depth] = g.path) as leaf from g) b on b.depth >= a.depth and b.path[1:a.depth] = a.path group by 1, 2
+)
+select g.conv_id, g.depth, u.conv_id as parent_conv_id, g.n_convs, n_children, n_leaves, saved as saved_tokens, sha256(coalesce(g.ends, '')) as ends_sha256
+from g join k using (path, depth) left join g u on u.depth = g.depth - 1 and u.path = g.path[1:u.depth]
+"""
+
+QUERIES = {f.__name__: f for f in (op1_ngram_join, op2_html_text, op3_mixing, op4_line_dedup, op5_embedding_dedup, op6_language_id, op7_decontamination, op8_quality, op9_warc, op10_url_filter, op12_secrets, op13_prefix_trie)}
+SQL = {"op4_line_dedup": OP4_SQL, "op3_mixing": OP3_SQL, "op10_url_filter": OP10_SQL, "op13_prefix_trie": OP13_SQL}
