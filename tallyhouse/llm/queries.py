@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .decontaminate import contamination_digest, find_benchmark
 from .embedding_dedup import embedding_near_duplicates
+from .hard_negatives import mine_hard_negatives
 from .html_text import extract_main_text
 from .language_id import predict_language, train_language_model
 from .line_dedup import dedup_lines
@@ -107,6 +108,12 @@ def op10_url_filter(spark, sf_dir):
     return out.select("page_id", "fetched", "n_active", "blocked", "category", "pattern")
 
 
+def op11_hard_negatives(spark, sf_dir):
+    """Some labels are moved, so that neighbours of a vector have other labels than its own."""
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", F.expr("if(vec_id % 7 = 0, (label + 1L) % 10, label)").alias("label"))
+    return mine_hard_negatives(rows, F.col("vec_id") % 50 == 0)
+
+
 def op12_secrets(spark, sf_dir):
     found = find_secrets(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans")
@@ -203,6 +210,19 @@ select c.page_id, c.fetched, coalesce(n, 0)::bigint as n_active, coalesce(n, 0)
 from c left join m using (page_id)
 """
 
+OP11_SQL = r"""
+with e as (
+  select vec_id, case when vec_id % 7 = 0 then (label + 1::bigint) % 10 else label end as label, list_transform(embedding, lambda x: floor(256 * x::double)) as v
+  from embeddings where vec_id is not null and label is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+), s as (
+  select a.vec_id as anchor_id, b.vec_id, a.label = b.label as same, list_dot_product(a.v, b.v)::bigint as score from e a join e b on a.vec_id <> b.vec_id where a.vec_id % 50 = 0
+), p as (
+  select *, row_number() over (partition by anchor_id order by score desc, vec_id) as k from s where same qualify k <= 5
+)
+select p.anchor_id, p.vec_id as positive_id, (row_number() over (partition by p.anchor_id, p.vec_id order by n.score desc, n.vec_id))::int as rank, n.vec_id as negative_id, p.score as positive_score, n.score as negative_score
+from p join s n on n.anchor_id = p.anchor_id and not n.same and 100 * n.score between 50 * p.score and 95 * p.score qualify rank <= 3
+"""
+
 # CRC32 goes through the bits of each sign: -1 stands for a shift
 OP13_SQL = r"""
 with p as (
@@ -231,5 +251,5 @@ select g.conv_id, g.depth, u.conv_id as parent_conv_id, g.n_convs, n_children, n
 from g join k using (path, depth) left join g u on u.depth = g.depth - 1 and u.path = g.path[1:u.depth]
 """
 
-QUERIES = {f.__name__: f for f in (op1_ngram_join, op2_html_text, op3_mixing, op4_line_dedup, op5_embedding_dedup, op6_language_id, op7_decontamination, op8_quality, op9_warc, op10_url_filter, op12_secrets, op13_prefix_trie)}
-SQL = {"op4_line_dedup": OP4_SQL, "op3_mixing": OP3_SQL, "op10_url_filter": OP10_SQL, "op13_prefix_trie": OP13_SQL}
+QUERIES = {f.__name__: f for f in (op1_ngram_join, op2_html_text, op3_mixing, op4_line_dedup, op5_embedding_dedup, op6_language_id, op7_decontamination, op8_quality, op9_warc, op10_url_filter, op11_hard_negatives, op12_secrets, op13_prefix_trie)}
+SQL = {"op4_line_dedup": OP4_SQL, "op3_mixing": OP3_SQL, "op10_url_filter": OP10_SQL, "op11_hard_negatives": OP11_SQL, "op13_prefix_trie": OP13_SQL}
