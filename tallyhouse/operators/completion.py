@@ -18,9 +18,12 @@ def stale_counts(messages: DataFrame, mode: str = "code") -> DataFrame:
     """
     total = messages.agg(F.count("*").alias("total"))
     own = messages.groupBy("poll_id").agg(F.min("seq").alias("first"), F.max("seq").alias("last"), F.count("*").alias("own"))
-    rows = own.join(F.broadcast(total))  # one row
-    stale = F.col("total") - 1 - F.col("first") - (F.col("own") - 1) if mode == "code" else F.col("total") - 1 - F.col("last")
-    return rows.select("poll_id", stale.alias("stale"))
+    return own.join(F.broadcast(total)).select("poll_id", silence(F.col("total"), mode).alias("stale"))  # one row
+
+
+def silence(total: Column, mode: str) -> Column:
+    """Messages that went by, from a poll's columns first, last (numbers of its messages) and own (how many they are)."""
+    return total - 1 - F.col("first") - (F.col("own") - 1) if mode == "code" else total - 1 - F.col("last")
 
 
 def deadlines(seen: DataFrame, polls: DataFrame, config: Config) -> DataFrame:
@@ -31,13 +34,12 @@ def deadlines(seen: DataFrame, polls: DataFrame, config: Config) -> DataFrame:
     return rows.join(known, "poll_id", "left").select("poll_id", F.coalesce("ends_at", F.col("first_seen") + hard).alias("ends_at"), F.col("ends_at").isNotNull().alias("known"))
 
 
-def completion(messages: DataFrame, ends: DataFrame, now: Column, config: Config) -> DataFrame:
-    """(poll_id, workers_seen, workers_done, stale, reason); reason is null while the poll goes on.
+def judge(summary: DataFrame, ends: DataFrame, now: Column, config: Config) -> DataFrame:
+    """``summary`` (poll_id, workers_seen, workers_done, stale) with reason, which is null while the poll goes on.
 
-    Hard timeout goes before silence, and silence counts only without a quorum.  ``messages`` has poll_id,
-    worker_id, done, seq; ``ends`` poll_id and ends_at.
+    Hard timeout goes before silence, and silence counts only without a quorum.  ``ends`` has poll_id and ends_at.
     """
-    rows = workers(messages).join(stale_counts(messages, config.stale_mode), "poll_id").join(ends.select("poll_id", "ends_at"), "poll_id")
+    rows = summary.join(ends.select("poll_id", "ends_at"), "poll_id")
     after = lambda s: now >= F.col("ends_at") + F.expr(f"interval {s} seconds")
     enough = (F.col("workers_seen") > 0) & (F.col("workers_done") >= quorum(F.col("workers_seen"), config.done_percent))
     reason = (
@@ -49,6 +51,11 @@ def completion(messages: DataFrame, ends: DataFrame, now: Column, config: Config
     return rows.select("poll_id", "workers_seen", "workers_done", "stale", reason.alias("reason"))
 
 
+def completion(messages: DataFrame, ends: DataFrame, now: Column, config: Config) -> DataFrame:
+    """(poll_id, workers_seen, workers_done, stale, reason) of ``messages`` (poll_id, worker_id, done, seq)."""
+    return judge(workers(messages).join(stale_counts(messages, config.stale_mode), "poll_id"), ends, now, config)
+
+
 def numbered(messages: DataFrame, order: str, *groups: str) -> DataFrame:
     """``messages`` with a dense ``seq`` from 0: by ``groups`` (say micro-batch and partition), inside a group by ``order``.
 

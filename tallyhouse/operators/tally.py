@@ -6,13 +6,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def first_votes(votes: DataFrame) -> DataFrame:
-    """One row for each poll and fingerprint, with the option of the lowest ``seq``.
+def first_votes(votes: DataFrame, keep_seq: bool = False) -> DataFrame:
+    """One row for each poll and fingerprint, with the option of the lowest ``seq``, and that number if it is to be kept.
 
     The shuffle is by poll and fingerprint, so that a poll with most of all votes is spread, and
     each task sends one row for each such pair at most.
     """
-    return votes.groupBy("poll_id", "fingerprint").agg(F.min_by("option_id", "seq").alias("option_id"))
+    seq = [F.min("seq").alias("seq")] if keep_seq else []
+    return votes.groupBy("poll_id", "fingerprint").agg(F.min_by("option_id", "seq").alias("option_id"), *seq)
 
 
 def tally(votes: DataFrame) -> DataFrame:

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.ordering import placed
 from ..schemas import BATCH, MESSAGE
+from .store import exists
 
 #: Bytes of a message or request body that are read at most.
 MOST_BODY = 1 << 20
@@ -42,25 +44,78 @@ def write_kafka(batches: DataFrame, servers: str, topic: str = "votes") -> None:
     out.option("kafka.acks", "all").option("kafka.compression.type", "lz4").option("kafka.linger.ms", 10).option("kafka.request.timeout.ms", 30_000).save()
 
 
-def _is_string_or_absent(parsed: Column, path: str) -> Column:
-    kind = F.schema_of_variant(F.try_variant_get(parsed, path, "variant"))
-    return kind.isNull() | kind.isin("STRING", "VOID")
+def partition_of(poll: Column, partitions: int) -> Column:
+    """Partition of a poll's messages: all in one, so that offsets order them."""
+    return F.pmod(F.xxhash64(poll), F.lit(partitions)).cast("int")
+
+
+def write_json_folder(batches: DataFrame, path: str, order: str = "batch", partitions: int = 8, topic: str = "votes") -> None:
+    """Batches (poll_id, worker_id, done, votes) as messages in a folder of JSON lines that ``read_json_folder`` reads.
+
+    Messages of a partition have offsets without gaps, by ``order``, then poll and worker; they go on after those that are
+    there.  Offsets are counted in parallel: places in ranges of the order, and counts of the ranges before.
+    """
+    spark = batches.sparkSession
+    rows = placed(batches.withColumn("partition", partition_of(F.col("poll_id"), partitions)), ["partition"], order, "poll_id", "worker_id", place="_place")
+    if exists(spark, path):
+        taken = read_json_folder(spark, path).groupBy("partition").agg((F.max("offset") + 1).alias("_from"))
+        rows = rows.join(F.broadcast(taken), "partition", "left")  # a row for each partition
+    else:
+        rows = rows.withColumn("_from", F.lit(0))
+    offset = (F.coalesce("_from", F.lit(0)) + F.col("_place")).cast("bigint")
+    out = rows.select(F.lit(topic).alias("topic"), "partition", offset.alias("offset"), F.col("poll_id").cast("binary").alias("key"), encode_value().alias("value"))
+    out.write.mode("append").json(path)
+
+
+#: How JSON is read: no more than its standard allows.
+STRICT = {"columnNameOfCorruptRecord": "_bad", "allowSingleQuotes": "false", "allowNonNumericNumbers": "false"}
+
+
+def whole_json(text: Column) -> Column:
+    """Whether a text is one JSON value with nothing behind it.
+
+    A parser that stops at the end of a value can't see what follows.  Inside brackets what follows must be one, inside braces the
+    other; only a comma fits both, and then there are two elements.
+    """
+    one = F.json_array_length(F.concat(F.lit("["), text, F.lit("]"))) == 1
+    return F.coalesce(one & (F.size(F.json_object_keys(F.concat(F.lit('{"x":'), text, F.lit("}")))) == 1), F.lit(False))
+
+
+def folded(text: Column, *names: str) -> Column:
+    """``text`` with these field names in lower case, whatever their case was; a name is what stands in quotes before a colon.
+
+    Texts that have them in lower case, which are nearly all, are only looked at.
+    """
+    lower, any_case = "|".join(names), f"(?iu:{'|'.join(names)})"
+    out = text
+    for name in names:
+        out = F.regexp_replace(out, f'"(?iu:{name})"(\\s*:)', f'"{name}"$1')
+    return F.when(text.rlike(f'"(?!(?:{lower})"){any_case}"\\s*:'), out).otherwise(text)
+
+
+_TYPES = "poll_id variant, worker_id variant, votes array<struct<fingerprint:variant>>"
+
+
+def _is_text(value: Column) -> Column:
+    """A text, null or nothing at all."""
+    return F.coalesce(F.schema_of_variant(value).isin("STRING", "VOID"), F.lit(True))
 
 
 def decode(messages: DataFrame, strict: bool = False) -> DataFrame:
     """``messages`` with poll_id, worker_id, done, votes and malformed.
 
-    Missing fields become '', false and no votes.  Malformed are messages that are not a JSON
-    object of the right types, empty ones, and those without a poll.  ``strict`` also rejects
+    Missing fields become '', false and no votes; names of fields count in any case.  Malformed are messages that are not one JSON
+    object of the right types with nothing behind it, empty ones, and those without a poll.  ``strict`` also rejects
     numbers in place of texts.
     """
     text = F.col("value").cast("string")
-    parsed = F.from_json(text, f"{BATCH}, _bad string", {"columnNameOfCorruptRecord": "_bad"})
-    rows = messages.withColumn("_m", parsed)
-    bad = F.col("_m").isNull() | F.col("_m._bad").isNotNull() | (F.trim(F.coalesce(text, F.lit(""))) == "") | (F.coalesce(F.col("_m.poll_id"), F.lit("")) == "")
+    text = F.when(whole_json(text), folded(text, "poll_id", "worker_id", "done", "votes", "fingerprint", "option_id"))
+    rows = messages.withColumn("_text", text)
+    rows = rows.withColumn("_m", F.from_json("_text", f"{BATCH}, _bad string", STRICT))
+    bad = F.col("_m").isNull() | F.col("_m._bad").isNotNull() | (F.coalesce(F.col("_m.poll_id"), F.lit("")) == "")
     if strict:
-        tree = F.try_parse_json(text)
-        bad = bad | ~(_is_string_or_absent(tree, "$.poll_id") & _is_string_or_absent(tree, "$.worker_id"))
+        rows = rows.withColumn("_types", F.from_json("_text", _TYPES))
+        bad = bad | ~(_is_text(F.col("_types.poll_id")) & _is_text(F.col("_types.worker_id")) & F.coalesce(F.forall("_types.votes", lambda v: _is_text(v["fingerprint"])), F.lit(True)))
     fields = {
         "malformed": F.coalesce(bad, F.lit(True)),
         "poll_id": F.coalesce("_m.poll_id", F.lit("")),
