@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
+import time
+from datetime import datetime, timezone
+
+from pyspark.sql import Observation, Window
 from pyspark.sql import functions as F
 
 from .config import Config
@@ -13,12 +16,16 @@ from .operators.batching import batch_numbers, done_is_last, pack
 from .operators.completion import completion, deadlines, stale_counts
 from .operators.limits import issue_counts, issue_limit, newest_entries
 from .operators.progress import commit_prefix, deltas
-from .operators.report import labelled_counts, load_plan, mean_rate, option_of, percentiles, reconcile, throughput
+from .operators.report import labelled_counts, load_profile_of, mean_rate, option_of, percentiles, reconcile, throughput
 from .operators.settle import evictable, new_finals, outcomes
 from .operators.tally import poll_totals, snapshot, tally, workers
-from .plans.tables import SECRET, events, messages, polls, votes
-from .sources.messages import decode, encode_value, votes_of
-from .sources.polls import get_poll, public_view, with_results
+from .plans.tables import SECRET, events, messages, polls, votes, votes_of_events
+from .sources.messages import decode, encode_value, read_json_folder, votes_of, write_json_folder
+from .sources.polls import create_poll, get_poll, public_view, with_results
+from .sources.store import exists, working_folder
+from .streaming.ledger import Ledger
+from .streaming.metrics import counts_of, observed
+from .streaming.stateful import BATCHES, OUTPUT, batches, final_results, open_polls
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -309,45 +316,106 @@ def mean_rate_query(spark, sf_dir):
 
 
 @query(
-    "select tick, want, want - lag(want, 1, 0) over (order by tick) as launch from (select range as tick, floor(40000 * (3 * x * x - 2 * x * x * x))::bigint as want from (select range, range / 100.0::double as x from range(101)))"
+    """select day, tick, floor(n * case when tick >= 24 then 1 else 3 * (tick / 24.0::double) ^ 2 - 2 * (tick / 24.0::double) ^ 3 end)::bigint as want,
+      want - lag(want, 1, 0) over (partition by day order by tick) as launch, seen
+    from (select day, n, unnest(range(1, 25)) as tick from (select strftime(ts, '%Y-%m-%d') as day, count(*) as n from events group by 1))
+    left join (select strftime(ts, '%Y-%m-%d') as day, extract(hour from ts)::bigint + 1 as tick, count(*) as seen from events group by 1, 2) using (day, tick)"""
 )
 def load_profile(spark, sf_dir):
-    return load_plan(spark, 40_000, 100)
+    """What a ramped load of each day's size would have begun by each hour, beside what the hour had."""
+    e = events(spark, sf_dir)
+    days = e.groupBy(F.date_format("ts", "yyyy-MM-dd").alias("day")).agg(F.count("*").alias("n"))
+    seen = e.groupBy(F.date_format("ts", "yyyy-MM-dd").alias("day"), (F.hour("ts") + 1).cast("bigint").alias("tick")).agg(F.count("*").alias("seen"))
+    return load_profile_of(days, "day", "n", 24).join(seen, ["day", "tick"], "left")
+
+
+_ASKED = """q as (
+  select event_id, case event_id % 7 when 0 then '' when 1 then null else event_type end as question,
+    case event_id % 5 when 0 then ['yes'] when 1 then ['yes', null, 'no'] when 2 then ['yes', 'no', ''] when 3 then null else ['yes', 'no', 'yes'] end as options,
+    case event_id % 3 when 0 then 60 when 1 then 0 end as seconds,
+    case event_id % 4 when 0 then timestamp '2024-01-15 12:00:00' + interval 1 hour when 1 then timestamp '2024-01-15 12:00:00' end as given from events
+), x as (
+  select *, case when coalesce(question, '') = '' then 'question is required' when coalesce(len(options), 0) < 2 then 'at least two options are required'
+    when list_position(list_transform(options, lambda o: coalesce(o, '')), '') > 0 then 'option ' || (list_position(list_transform(options, lambda o: coalesce(o, '')), '') - 1) || ' is empty'
+    when given is not null and given <= timestamp '2024-01-15 12:00:00' then 'ends_at is in the past' when given is null and coalesce(seconds, 0) <= 0 then 'duration_seconds or ends_at is required' end as error from q
+)"""
 
 
-@query(
-    """select * from (values (1, 'question is required', null::bigint, null::varchar), (2, 'at least two options are required', null, null), (3, 'option 1 is empty', null, null), (4, 'ends_at is in the past', null, null),
-      (5, 'duration_seconds or ends_at is required', null, null), (6, null, 2, '2026-09-10 08:01:00'), (7, null, 3, '2026-09-10 09:00:00'), (8, 'duration_seconds or ends_at is required', null, null)) t(n, error, options, ends_at)"""
-)
+@query("select event_id, error, case when error is null then len(options) end as options, case when error is null then strftime(coalesce(given, timestamp '2024-01-15 12:00:00' + interval 60 seconds), '%Y-%m-%d %H:%M:%S') end as ends_at from x", _ASKED)
 def create_poll_validate(spark, sf_dir):
-    now = "timestamp_ntz '2026-09-10 08:00:00'"
-    rows = spark.sql(
-        f"""select * from values (1, '', array('a', 'b'), 60, cast(null as timestamp_ntz)), (2, 'q', array('a'), 60, null), (3, 'q', array('a', '', ''), 60, null), (4, 'q', array('a', 'b'), 60, {now}),
-        (5, 'q', array('a', 'b'), 0, null), (6, 'q', array('a', 'b'), 60, null), (7, 'q', array('a', 'a', 'b'), 5, {now} + interval 1 hour), (8, 'q', array('a', 'b'), null, null) t(n, question, options, duration_seconds, ends_at)"""
+    """A request for a poll from each event, with faults by its number: no question, too few options, missing and empty ones, bad ends."""
+    now, k = "timestamp_ntz '2024-01-15 12:00:00'", F.col("event_id")
+    options = "case event_id % 5 when 0 then array('yes') when 1 then array('yes', null, 'no') when 2 then array('yes', 'no', '') when 3 then null else array('yes', 'no', 'yes') end"
+    rows = events(spark, sf_dir).select(
+        "event_id",
+        F.when(k % 7 == 0, "").when(k % 7 != 1, F.col("event_type")).alias("question"),
+        F.expr(options).alias("options"),
+        F.when(k % 3 == 0, 60).when(k % 3 == 1, 0).alias("duration_seconds"),
+        F.when(k % 4 == 0, F.expr(f"{now} + interval 1 hour")).when(k % 4 == 1, F.expr(now)).alias("ends_at"),
     )
-    return validate_polls(rows, F.expr(now)).select("n", "error", F.when(F.col("error").isNull(), F.size("options")).cast("bigint").alias("options"), F.date_format("ends_at", "yyyy-MM-dd HH:mm:ss").alias("ends_at"))
+    out = validate_polls(rows, F.expr(now))
+    return out.select("event_id", "error", F.when(F.col("error").isNull(), F.size("options")).cast("bigint").alias("options"), F.date_format("ends_at", "yyyy-MM-dd HH:mm:ss").alias("ends_at"))
 
 
+#: Kinds of message bodies by number; {p}, {w}, {f}, {o} are the poll, worker, voter and option of an event.
 _BODIES = [
-    '{"poll_id":"p1","worker_id":"w1","done":false,"votes":[{"fingerprint":"fp1","option_id":1}]}',
-    "{not json",
-    "",
-    '{"poll_id":"p1","worker_id":"w1","votes":[{"fingerprint":"fp1","option_id":"x"}]}',
-    '{"poll_id":"p1","done":true,"more":1}',
-    '{"worker_id":"w1"}',
-    "[]",
-    '{"poll_id":"p2","votes":[{"fingerprint":"a","option_id":2},{"fingerprint":"b","option_id":3000000000}]}',
-]
+    '{"poll_id":"{p}","worker_id":"{w}","done":false,"votes":[{"fingerprint":"{f}","option_id":{o}}]}',
+    '{"POLL_ID":"{p}","Worker_Id":"{w}","Done":true,"more":{"done":1},"VOTES":[{"FingerPrint":"{f}","Option_ID":{o}}]}',
+    '{"poll_id":"{p}","done":true} x',
+    '{"poll_id":"{p}"}]',
+    '{"poll_id":"{p}"},{"poll_id":"{p}"}',
+    '{"poll_id":"{p}","votes":[{"fingerprint":"{f}","option_id":"{o}"}]}',
+    '{"worker_id":"{w}"}',
+    '["{p}"]',
+    '{"poll_id":"{p}"',
+    ' ',
+    ' {"poll_id":"{p}","votes":[{"option_id":{o}}, {"fingerprint":"{f}"}],"worker_id":null} ',
+    '{"poll_id":7,"worker_id":"{w}"}',
+    '{"poll_id":"{p}","votes":[{"fingerprint":{o},"option_id":{o}}]}',
+    "{'poll_id':'{p}'}",
+    '{"poll_id":"{p}","worker_id":"a\\"Poll_ID\\":b"}',
+]
+
+
+def _bodies(v):
+    """The body of an event by its number."""
+    text = F.element_at(F.array(*[F.lit(b) for b in _BODIES]), (F.col("seq") % len(_BODIES) + 1).cast("int"))
+    for mark, value in (("{p}", F.col("poll_id")), ("{w}", F.col("worker_id")), ("{f}", F.col("fingerprint")), ("{o}", F.col("option_id").cast("string"))):
+        text = F.replace(text, F.lit(mark), value)
+    return text
 
 
 @query(
-    """select * from (values (0, false, 'p1', 'w1', false, 1), (1, true, '', '', false, 0), (2, true, '', '', false, 0), (3, true, 'p1', 'w1', false, -1), (4, false, 'p1', '', true, 0), (5, true, '', 'w1', false, 0),
-      (6, true, '', '', false, 0), (7, false, 'p2', '', false, 2)) t("offset", malformed, poll_id, worker_id, done, votes)"""
+    """select seq, k not in (0, 1, 10, 14) as malformed, poll_id, case k when 14 then 'a"Poll_ID":b' when 10 then '' else worker_id end as worker_id, k = 1 as done,
+      case k when 10 then ':' || option_id || ',' || fingerprint || ':0' when 14 then '' else fingerprint || ':' || option_id end as votes
+    from (select *, seq % 15 as k from v) where k in (0, 1, 10, 14)
+    union all select seq, true, '', '', false, '' from v where seq % 15 not in (0, 1, 10, 14)""",
+    _VOTES,
 )
 def message_decode(spark, sf_dir):
-    rows = spark.createDataFrame([(i, b.encode()) for i, b in enumerate(_BODIES)], "offset int, value binary")
-    bad_votes = F.when(F.col("offset") == 3, -1).otherwise(F.size("votes"))
-    return decode(rows).select("offset", "malformed", "poll_id", "worker_id", "done", bad_votes.alias("votes"))
+    """Messages from events: names of fields in other cases, text behind the value, wrong types, missing fields, quotes in texts."""
+    v = votes(spark, sf_dir)
+    rows = decode(v.select("seq", _bodies(v).cast("binary").alias("value")), strict=True)
+    text = F.array_join(F.transform("votes", lambda x: F.concat(F.coalesce(x["fingerprint"], F.lit("")), F.lit(":"), F.coalesce(x["option_id"], F.lit(0)).cast("string"))), ",")
+    good = lambda c, other: F.when(F.col("malformed"), other).otherwise(c)
+    return rows.select("seq", "malformed", good(F.col("poll_id"), "").alias("poll_id"), good(F.col("worker_id"), "").alias("worker_id"), good(F.col("done"), False).alias("done"), good(text, "").alias("votes"))
+
+
+@query(
+    """select seq, case seq % 9 when 0 then option_id when 1 then option_id when 2 then option_id when 6 then 0 end as option_id
+    from v""",
+    _VOTES,
+)
+def request_bodies(spark, sf_dir):
+    """Bodies of vote requests: as they should be, in other cases, within spaces; with text behind, as text, twice, without an option, too long, and none."""
+    k, o = F.col("seq") % 9, F.col("option_id").cast("string")
+    made = lambda a, b: F.concat(F.lit(a), o, F.lit(b))
+    body = (
+        F.when(k == 0, made('{"option_id":', "}")).when(k == 1, made('{"x":[{"option_id":9}],"Option_Id":', "}")).when(k == 2, made('\n\t{"option_id" : ', ' }\r\n'))
+        .when(k == 3, made('{"option_id":', "} x")).when(k == 4, made('{"option_id":"', '"}')).when(k == 5, made('{"option_id":', '}{"option_id":1}'))
+        .when(k == 6, "{}").when(k == 7, F.concat(made('{"option_id":', ""), F.repeat(F.lit(" "), 1 << 20), F.lit("}")))
+    )
+    return votes(spark, sf_dir).select("seq", request_option(body).alias("option_id"))
 
 
 @query("select * from t", _VOTES, _TALLY)
@@ -383,10 +451,14 @@ def repeated_votes(spark, sf_dir):
     return v.join(first, ["poll_id", "fingerprint"]).where("seq > _first").select("poll_id", "seq", "fingerprint")
 
 
-@query("select * from (values ('', 5::bigint), ('a', 44), ('foobar', 40)) t(key, shard)")
+@query(
+    """select key, list_reduce(list_prepend(2166136261::bigint, list_transform(string_split(key, ''), lambda c: ascii(c)::bigint)), lambda h, b: xor(h, b) * 16777619 % 4294967296) % 64 as shard
+    from (select distinct poll_id || '|' || worker_id as key from v)""",
+    _VOTES,
+)
 def shard_of(spark, sf_dir):
-    rows = spark.createDataFrame([("",), ("a",), ("foobar",)], "key string")
-    return rows.select("key", shard(F.col("key"), 64).alias("shard"))
+    keys = votes(spark, sf_dir).select(F.concat_ws("|", "poll_id", "worker_id").alias("key")).distinct()
+    return keys.select("key", shard(F.col("key"), 64).alias("shard"))
 
 
 @query(
@@ -491,3 +563,172 @@ def workers_without_name(spark, sf_dir):
 )
 def shard_of_voters(spark, sf_dir):
     return votes(spark, sf_dir).select(F.col("fingerprint").alias("key")).distinct().withColumn("shard", shard(F.col("key"), 64))
+
+
+_ANSWERED = """z as (
+  select seq, poll_id, case when substr(poll_id, 9, 2)::int % 7 = 0 then 503 when id is null then 404 when option_id not in (1, 2, 3) then 400
+    when ts >= ends_at or substr(poll_id, 9, 2)::int % 5 = 0 then 403 else 202 end as status
+  from v left join (select * from polls where substr(id, 9, 2)::int % 6 <> 0) on id = poll_id
+)"""
+
+
+@query("select seq, status from z", _VOTES, _ANSWERED)
+def vote_answers(spark, sf_dir):
+    """Every seventh day's look-up fails, every sixth day's poll isn't there, every fifth day's is closed before its end."""
+    day = lambda c: F.substring(c, 9, 2).cast("int")
+    v, p = votes(spark, sf_dir), polls(spark, sf_dir)
+    ids = v.select("poll_id").distinct()
+    return admit(v, p.where(day("id") % 6 != 0), ids.where(day("poll_id") % 7 == 0), ids.where(day("poll_id") % 5 == 0)).select("seq", "status")
+
+
+@query("select seq, true as holds, 36 as length from v", _VOTES)
+def issued_cookies(spark, sf_dir):
+    """Fresh cookies hold for their poll and carry a UUID."""
+    v = votes(spark, sf_dir).withColumn("cookie", identity.issue(SECRET, F.col("poll_id")))
+    raw = identity.verify(SECRET, F.col("poll_id"), F.col("cookie"))
+    shape = raw.rlike("^[0-9a-f]{8}-[0-9a-f]{4}-4[0-9a-f]{3}-[89ab][0-9a-f]{3}-[0-9a-f]{12}$")
+    return v.select("seq", F.coalesce(shape, F.lit(False)).alias("holds"), F.length(raw).alias("length"))
+
+
+@query("select id, len([1, 2, 3]) as options, strftime(ends_at, '%Y-%m-%d %H:%M') as ends_at from polls", _VOTES)
+def created_polls(spark, sf_dir):
+    """Polls written to the table of polls in two parts and read again."""
+    folder, made = working_folder(spark, "polls"), polls(spark, sf_dir)
+    odd = F.substring("id", 9, 2).cast("int") % 2 == 1
+    for part in (made.where(odd), made.where(~odd)):
+        create_poll(part, folder)
+    return spark.read.schema(made.schema).parquet(folder).select("id", F.size("options").cast("bigint").alias("options"), F.date_format("ends_at", "yyyy-MM-dd HH:mm").alias("ends_at"))
+
+
+@query("select * from t", _VOTES, _TALLY)
+def json_sink_tally(spark, sf_dir):
+    """Votes written as messages of JSON with offsets by partition, in two parts, read back and counted."""
+    folder, v = working_folder(spark, "votes"), votes(spark, sf_dir)
+    half = v.agg(F.percentile_approx("seq", 0.5)).first()[0]
+    for part in (v.where(F.col("seq") <= half), v.where(F.col("seq") > half)):
+        one = part.select("seq", "poll_id", "worker_id", F.lit(False).alias("done"), F.array(F.struct("fingerprint", "option_id")).alias("votes"))
+        write_json_folder(one, folder, order="seq")
+    return tally(votes_of(decode(read_json_folder(spark, folder)))).withColumnRenamed("count", "votes")
+
+
+@query("select count(*) filter (seq % 97 > 0) as produced, count(*) filter (seq % 97 = 0) as failed, count(*) filter (seq % 97 > 0) as votes from v", _VOTES)
+def produced_failed(spark, sf_dir):
+    """Messages counted on their way to the sink; every 97th is spoiled."""
+    v = votes(spark, sf_dir)
+    one = v.select("seq", "poll_id", "worker_id", F.lit(False).alias("done"), F.array(F.struct("fingerprint", "option_id")).alias("votes"))
+    sent = one.select(F.when(F.col("seq") % 97 == 0, F.lit(b"{")).otherwise(encode_value()).alias("value"))
+    seen = Observation("sent")
+    observed(decode(sent), seen).write.parquet(working_folder(spark, "sent"))
+    return counts_of(spark, seen)
+
+
+def _ledger_batches(spark, sf_dir, parts):
+    """Events as messages in so many micro-batches, by their numbers."""
+    v = votes(spark, sf_dir)
+    last = v.agg(F.max("seq")).first()[0] or 0
+    sent = v.select("seq", F.lit(0).alias("partition"), F.col("seq").alias("offset"), F.struct("poll_id", "worker_id", F.lit(False).alias("done"), F.array(F.struct("fingerprint", "option_id")).alias("votes")).alias("m"))
+    sent = sent.select("seq", "partition", "offset", F.to_json("m").cast("binary").alias("value"))
+    step = last // parts + 1
+    return [sent.where(F.col("seq").between(i * step, i * step + step - 1)).drop("seq") for i in range(parts)]
+
+
+def _known(spark, sf_dir):
+    return polls(spark, sf_dir).withColumn("ends_at", F.col("ends_at").cast("timestamp"))
+
+
+@query("select poll_id, option_id, votes, sum(votes) over (partition by poll_id)::bigint as total, 3 as workers_seen, 'hard_timeout' as reason from t", _VOTES, _TALLY)
+def ledger_replay(spark, sf_dir):
+    """Events as a stream of five micro-batches through the ledger, compacted on the way; all polls end by timeout."""
+    ledger = Ledger(spark, working_folder(spark, "ledger"), _known(spark, sf_dir), Config(hard_timeout=60.0), compact_every=2)
+    start = datetime(2000, 1, 1)
+    for i, batch in enumerate(_ledger_batches(spark, sf_dir, 5)):
+        ledger.on_batch(lambda: start)(batch, i)
+    ledger.settle(datetime(2100, 1, 1))
+    return ledger.finals().select("poll_id", "option_id", F.col("count").alias("votes"), "total", F.col("workers_seen").cast("int"), "reason")
+
+
+@query(
+    """select poll_id, case when in_a then 'written' end as first, case when not in_b then null when in_a then 'already_completed' else 'written' end as second
+    from (select poll_id, bool_or(seq < half) as in_a, bool_or(seq >= half) as in_b from v, (select max(seq) // 2 + 1 as half from v) group by 1)""",
+    _VOTES,
+)
+def settled_by_two(spark, sf_dir):
+    """Two consumers have half of the events each and settle into one table: what each is told about its polls."""
+    shared, told = working_folder(spark, "finals"), []
+    for i, batch in enumerate(_ledger_batches(spark, sf_dir, 2)):
+        ledger = Ledger(spark, working_folder(spark, f"consumer{i}"), _known(spark, sf_dir), Config(hard_timeout=60.0), finals=shared)
+        ledger.append(batch, 0, datetime(2000, 1, 1))
+        told.append(ledger.settle(datetime(2100, 1, 1)).withColumnRenamed("outcome", ("first", "second")[i]))
+    return told[0].join(told[1], "poll_id", "full")
+
+
+def _as_stream(spark, sf_dir, ends):
+    """Events as a stream of votes, each a message; ``ends`` gives the milliseconds at which their poll ends."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    # as a pattern, as the name may be a file or a folder
+    raw = spark.readStream.schema(events(spark, sf_dir).schema).parquet(f"{sf_dir}/events.parque[t]")
+    return votes_of_events(raw).withColumn("ends_ms", ends)
+
+
+def _end_of_day(now):
+    """Milliseconds of a poll's end, moved so that ``now`` is the present."""
+    end = F.unix_millis((F.to_date("poll_id").cast("timestamp_ntz") + F.expr("interval 20 hours")).cast("timestamp"))
+    return end + F.lit(int(time.time() * 1000) - int(now.replace(tzinfo=timezone.utc).timestamp() * 1000))
+
+
+def _run(stream, folder, wait=0, until=None):
+    """What a stream leaves once it has read all there is, or for as long as ``until`` isn't there; and its checkpoint."""
+    # batches without data, which make timers run, would never end what is to end once all is read
+    stream.sparkSession.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", str(until is not None).lower())
+    writer = stream.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/check")
+    query = writer.trigger(**({"processingTime": "500 milliseconds"} if until else {"availableNow": True})).start()
+    try:
+        if until is None:
+            query.awaitTermination()
+        else:
+            end = time.time() + wait
+            while time.time() < end and query.isActive and not until():
+                time.sleep(0.5)
+    finally:
+        query.stop()
+    return f"{folder}/out", f"{folder}/check"
+
+
+@query("select poll_id, workers_seen, workers_done, reason from r where reason is not null", _VOTES, _MESSAGES, _WORKERS, _STALE, _REASON)
+def keyed_state_reasons(spark, sf_dir):
+    """Events through keyed state, each a message: why polls end, silence among the reasons."""
+    v = _as_stream(spark, sf_dir, _end_of_day(datetime(2024, 1, 15, 20, 0, 10)))
+    last = messages(spark, sf_dir).where("done").select("seq", F.lit(True).alias("done"))
+    v = v.join(last, "seq", "left").withColumn("done", F.coalesce("done", F.lit(False)))
+    told = v.select(F.lit("c").alias("consumer"), "poll_id", "seq", "ends_ms")
+    config = Config(stale_messages=300, hard_timeout=864000.0)
+    out, _ = _run(final_results(v, config, told), working_folder(spark, "keyed"))
+    found = spark.read.schema(OUTPUT).parquet(out).where("reason <> 'late'")
+    return found.select("poll_id", "workers_seen", "workers_done", "reason").distinct()
+
+
+@query("select poll_id, total, workers_seen, workers_done from w join (select poll_id, sum(votes)::bigint as total from t group by 1) using (poll_id)", _VOTES, _TALLY, _MESSAGES, _WORKERS)
+def state_of_open_polls(spark, sf_dir):
+    """Polls that are still open, as a reader finds them in the state of a stream that has stopped."""
+    v = _as_stream(spark, sf_dir, F.unix_millis(F.current_timestamp()) + F.lit(86_400_000))
+    last = messages(spark, sf_dir).where("done").select("seq", F.lit(True).alias("done"))
+    v = v.join(last, "seq", "left").withColumn("done", F.coalesce("done", F.lit(False)))
+    _, checkpoint = _run(final_results(v, Config()), working_folder(spark, "open"))
+    return open_polls(spark, checkpoint)
+
+
+@query(
+    """select poll_id, worker_id, batch, false as done, string_agg(fingerprint || ':' || option_id, ',' order by seq) as votes from b group by 1, 2, 3
+    union all select poll_id, worker_id, max(batch) + 1, true, '' from b group by 1, 2""",
+    _VOTES, "b as (select *, (row_number() over (partition by poll_id, worker_id order by seq) - 1) // 10 as batch from v)",
+)
+def streamed_batches(spark, sf_dir):
+    """Batches of ten of a stream of votes; timers close the polls a while after their votes were read."""
+    groups = votes(spark, sf_dir).select("poll_id", "worker_id").distinct().count()
+    v = _as_stream(spark, sf_dir, F.lit(int(time.time() * 1000) + 5_000))
+    folder = working_folder(spark, "batches")
+    read = lambda: spark.read.schema(BATCHES).parquet(f"{folder}/out")
+    ended = lambda: exists(spark, f"{folder}/out/_spark_metadata") and read().where("done").count() == groups
+    _run(batches(v, 10), folder, 300, ended)
+    text = F.array_join(F.transform("votes", lambda x: F.concat(x["fingerprint"], F.lit(":"), x["option_id"].cast("string"))), ",")
+    return read().select("poll_id", "worker_id", "batch", "done", text.alias("votes"))

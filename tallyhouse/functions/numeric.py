@@ -13,10 +13,8 @@ def quorum(seen: Column, percent: int) -> Column:
 
 def fnv1a32(text: Column) -> Column:
     """32-bit FNV-1a of the bytes of a text."""
-    codes = F.transform(F.sequence(F.lit(1), F.greatest(F.octet_length(text), F.lit(1))), lambda i: F.conv(F.substring(F.hex(F.encode(text, "UTF-8")), 2 * i - 1, F.lit(2)), 16, 10).cast("bigint"))
-    start = F.lit(2166136261).cast("bigint")
-    folded = F.aggregate(codes, start, lambda h, b: F.pmod(h.bitwiseXOR(b) * F.lit(16777619), F.lit(1 << 32)))
-    return F.when(F.octet_length(text) == 0, start).otherwise(folded)
+    codes = F.transform(F.regexp_extract_all(F.hex(F.encode(text, "UTF-8")), F.lit(".."), F.lit(0)), lambda h: F.conv(h, 16, 10).cast("bigint"))
+    return F.aggregate(codes, F.lit(2166136261).cast("bigint"), lambda h, b: F.pmod(h.bitwiseXOR(b) * F.lit(16777619), F.lit(1 << 32)))
 
 
 def shard(text: Column, n: int) -> Column:

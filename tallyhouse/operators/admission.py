@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.messages import MOST_BODY, STRICT, folded, whole_json
+
 #: Rows of polls up to which the table is sent to all executors.
 BROADCAST_POLLS = 1_000_000
 
@@ -16,28 +18,36 @@ def small(df: DataFrame, most: int = BROADCAST_POLLS) -> DataFrame:
 
 def request_option(body: Column) -> Column:
     """Option of a request body; 0 if it has none, null if the body is bad or too long."""
-    fits = F.octet_length(body) <= 1 << 20
-    parsed = F.from_json(body, "option_id bigint, _bad string", {"columnNameOfCorruptRecord": "_bad"})
-    good = fits & (F.trim(body) != "") & parsed["_bad"].isNull() & parsed.isNotNull()
+    fits = F.octet_length(body) <= MOST_BODY
+    parsed = F.from_json(folded(body, "option_id"), "option_id bigint, _bad string", STRICT)
+    good = fits & whole_json(body) & parsed["_bad"].isNull() & parsed.isNotNull()
     return F.when(good, F.coalesce(parsed["option_id"], F.lit(0)))
 
 
-def admit(requests: DataFrame, polls: DataFrame) -> DataFrame:
+def admit(requests: DataFrame, polls: DataFrame, failed: DataFrame | None = None, closed: DataFrame | None = None) -> DataFrame:
     """``requests`` (poll_id, option_id, ts, ...) with status, tested in a fixed order.
 
-    400 bad body (null option), 404 unknown poll, 400 unknown option, 403 at or after the end,
-    else 202.  An unknown option of a closed poll is thus 400.  ``polls`` has id, options, ends_at.
+    400 bad body (null option), 503 poll whose look-up failed (ids in ``failed``), 404 unknown poll, 400 unknown option,
+    403 at or after the end or for a poll whose batches were closed before (ids in ``closed``), else 202.  An unknown option of
+    a closed poll is thus 400.  ``polls`` has id, options, ends_at.
     """
     known = small(polls.select(F.col("id").alias("poll_id"), F.transform("options", lambda o: o["id"].cast("bigint")).alias("_options"), F.col("ends_at").alias("_ends")))
     rows = requests.join(known, "poll_id", "left")
+    for name, ids in (("_failed", failed), ("_closed", closed)):
+        if ids is None:
+            rows = rows.withColumn(name, F.lit(False))
+        else:
+            marked = small(ids.select("poll_id").distinct().withColumn(name, F.lit(True)))
+            rows = rows.join(marked, "poll_id", "left").withColumn(name, F.coalesce(name, F.lit(False)))
     status = (
         F.when(F.col("option_id").isNull(), 400)
+        .when(F.col("_failed"), 503)
         .when(F.col("_ends").isNull(), 404)
         .when(~F.array_contains("_options", F.col("option_id").cast("bigint")), 400)
-        .when(F.col("ts") >= F.col("_ends"), 403)
+        .when((F.col("ts") >= F.col("_ends")) | F.col("_closed"), 403)
         .otherwise(202)
     )
-    return rows.withColumn("status", status).drop("_options", "_ends")
+    return rows.withColumn("status", status).drop("_options", "_ends", "_failed", "_closed")
 
 
 def status_counts(admitted: DataFrame, *keys: str) -> DataFrame:
@@ -51,7 +61,8 @@ def validate_polls(requests: DataFrame, now: Column) -> DataFrame:
     The first fault counts: question, number of options, first empty option, end.  A given end must lie
     ahead even if a duration is given too.
     """
-    empty = F.array_position("options", F.lit(""))
+    texts = F.transform("options", lambda t: F.coalesce(t, F.lit("")))  # a missing text is an empty one
+    empty = F.array_position(texts, F.lit(""))
     bad_end = F.when(F.col("ends_at").isNotNull(), F.col("ends_at") <= now).otherwise(F.coalesce(F.col("duration_seconds") <= 0, F.lit(True)))
     error = (
         F.when(F.coalesce(F.col("question"), F.lit("")) == "", "question is required")

@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .ordering import placed
+
 
 def batch_numbers(votes: DataFrame, size: int) -> DataFrame:
-    """``votes`` with the number of its batch within poll and worker; the last may be short."""
-    w = Window.partitionBy("poll_id", "worker_id").orderBy("seq")
-    return votes.withColumn("batch", F.floor((F.row_number().over(w) - 1) / size).cast("bigint"))
+    """``votes`` with the number of its batch within poll and worker; the last may be short.
+
+    No task orders more of a worker's votes than one range of ``seq``.
+    """
+    return placed(votes, ["poll_id", "worker_id"], "seq", place="_place").withColumn("batch", F.expr(f"_place div {int(size)}")).drop("_place")
 
 
 def pack(votes: DataFrame, size: int) -> DataFrame:

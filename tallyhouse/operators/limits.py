@@ -10,12 +10,20 @@ def issue_limit(requests: DataFrame, limit: int, slack: str = "interval 10 minut
     """``requests`` (poll_id, ip_hash, ts, seq, ends_at) without cookies, with issued.
 
     The first ``limit`` of a poll and address get one; all do if the limit is 0 or less, and after
-    the end of the poll plus ``slack``.
+    the end of the poll plus ``slack``.  Each task keeps ``limit`` requests of an address before they are sent, so
+    an address of very many is nowhere ordered as a whole; its last one that gets a cookie is what all are compared with.
     """
     if limit <= 0:
         return requests.withColumn("issued", F.lit(True))
-    rank = F.row_number().over(Window.partitionBy("poll_id", "ip_hash").orderBy("ts", "seq"))
-    return requests.withColumn("issued", (rank <= limit) | (F.col("ts") > F.col("ends_at") + F.expr(slack)))
+    keys = ["poll_id", "ip_hash"]
+    rank = F.row_number().over(Window.partitionBy(*keys).orderBy("ts", "seq"))
+    first = requests.select(*keys, "ts", "seq").withColumn("_rank", rank).where(F.col("_rank") <= limit)
+    last = first.groupBy(*keys).agg(F.max(F.struct("ts", "seq")).alias("_last"), F.count("*").alias("_n"))
+    last = last.where(F.col("_n") == limit).select(*[F.col(k).alias(f"_{k}") for k in keys], "_last")
+    own = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
+    rows = requests.join(last, own, "left")  # addresses with fewer requests have no last one
+    issued = F.col("_last").isNull() | (F.struct("ts", "seq") <= F.col("_last")) | F.coalesce(F.col("ts") > F.col("ends_at") + F.expr(slack), F.lit(False))
+    return rows.withColumn("issued", issued).drop("_last", *[f"_{k}" for k in keys])
 
 
 def issue_counts(requests: DataFrame) -> DataFrame:

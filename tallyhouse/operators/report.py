@@ -1,8 +1,11 @@
-"""Checks and figures of a run: accepted against counted, percentiles, rates, load plans."""
+"""Checks and figures of a run: accepted against counted, percentiles, rates, load profiles."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from functools import reduce
+from operator import or_
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import floor_rank, load_share
@@ -16,17 +19,26 @@ def reconcile(accepted: DataFrame, counted: DataFrame) -> DataFrame:
     return rows.select("poll_id", "accepted", F.col("total").alias("counted"), verdict.alias("verdict"), (gap.isNull() | (gap < 0)).alias("failed"))
 
 
-def percentiles(values: DataFrame, key: str, value: str, shares: dict[str, float]) -> DataFrame:
+def percentiles(values: DataFrame, key: str, value: str, shares: dict[str, float], ranges: int = 128) -> DataFrame:
     """For each key the value of rank floor(p * (n - 1)); exact.
 
-    Equal values are counted first, so what is ordered is distinct values, and ranks come from running counts.
+    Values are counted in ranges, cut at approximate quantiles of their key; only the ranges that hold a wanted rank are
+    ordered, so no task orders a key.  A key's bounds are ``ranges`` numbers at most.
     """
-    counts = values.where(F.col(value).isNotNull()).groupBy(key, value).agg(F.count("*").alias("n"))
-    upto = Window.partitionBy(key).orderBy(value)
-    rows = counts.withColumns({"upto": F.sum("n").over(upto), "all": F.sum("n").over(Window.partitionBy(key))})
-    rank = lambda p: floor_rank(F.col("all"), p)
-    picks = [F.max(F.when((F.col("upto") > rank(p)) & (F.col("upto") - F.col("n") <= rank(p)), F.col(value))).alias(name) for name, p in shares.items()]
-    return rows.groupBy(key).agg(F.sum("n").alias("n"), *picks, F.max(value).alias("highest"))
+    rows = values.where(F.col(value).isNotNull()).select(key, F.col(value).alias("_v"))
+    cuts = rows.groupBy(key).agg(F.array_distinct(F.percentile_approx("_v", [i / ranges for i in range(1, ranges)], 20 * ranges)).alias("_cuts"))
+    cut = rows.groupBy(key, "_v").agg(F.count("*").alias("_n")).join(cuts.withColumnRenamed(key, "_key"), F.col(key).eqNullSafe(F.col("_key")))
+    cut = cut.select(key, "_v", "_n", F.aggregate("_cuts", F.lit(0), lambda a, c: a + (c < F.col("_v")).cast("int")).alias("_range"))
+    counts = cut.groupBy(key, "_range").agg(F.sum("_n").alias("_in"), F.max("_v").alias("_top"))
+    upto, every = Window.partitionBy(key).orderBy("_range"), Window.partitionBy(key)
+    placed = counts.withColumns({"_before": F.sum("_in").over(upto) - F.col("_in"), "n": F.sum("_in").over(every), "highest": F.max("_top").over(every)})
+    rank = lambda p: floor_rank(F.col("n"), p)
+    holds = lambda p: (F.col("_before") <= rank(p)) & (rank(p) < F.col("_before") + F.col("_in"))
+    wanted = placed.where(reduce(or_, map(holds, shares.values()))).select(F.col(key).alias("_key"), F.col("_range").alias("_of"), "_before", "n", "highest")
+    near = cut.join(wanted, F.col(key).eqNullSafe(F.col("_key")) & (F.col("_range") == F.col("_of")))
+    near = near.withColumn("_upto", F.col("_before") + F.sum("_n").over(Window.partitionBy(key, "_range").orderBy("_v")))
+    picks = [F.max(F.when((F.col("_upto") > rank(p)) & (F.col("_upto") - F.col("_n") <= rank(p)), F.col("_v"))).alias(name) for name, p in shares.items()]
+    return near.groupBy(key).agg(F.first("n").alias("n"), *picks, F.first("highest").alias("highest"))
 
 
 def throughput(rows: DataFrame, at: str, width: str) -> DataFrame:
@@ -40,17 +52,14 @@ def mean_rate(rows: DataFrame, at: str) -> DataFrame:
     return rows.agg(F.count("*").alias("n"), F.when(seconds > 0, F.count("*") / seconds).otherwise(0.0).alias("rate"))
 
 
-def load_plan(spark: SparkSession, target: int, ticks: int) -> DataFrame:
-    """(tick, want, launch): votes begun by each tick, and those begun at it."""
-    want = F.floor(F.lit(target) * load_share(F.col("id") / F.lit(float(ticks)))).cast("bigint")
-    rows = spark.range(ticks + 1).select(F.col("id").alias("tick"), want.alias("want"))
-    return rows.withColumn("launch", F.col("want") - F.lag("want", 1, 0).over(Window.orderBy("tick")))
-
+def load_profile_of(targets: DataFrame, key: str, target: str, ticks: int) -> DataFrame:
+    """(key, tick, want, launch): of each target the part begun by each tick, from 1, and the part begun at it.
 
-def poll_plan(spark: SparkSession, polls: int, total_seconds: float, poll_seconds: float, seed: int) -> DataFrame:
-    """Polls with random starts within the run, by start."""
-    rows = spark.range(polls).select(F.col("id").alias("poll"), (F.rand(seed) * F.lit(max(0.0, total_seconds - poll_seconds))).alias("start"))
-    return rows.withColumn("end", F.col("start") + poll_seconds).orderBy("start")
+    A tick's part before is computed, not looked up, so rows are independent.
+    """
+    share = lambda tick: F.floor(F.col(target) * load_share(tick / F.lit(float(ticks)))).cast("bigint")
+    rows = targets.select(key, target, F.explode(F.sequence(F.lit(1).cast("bigint"), F.lit(ticks).cast("bigint"))).alias("tick"))
+    return rows.select(key, "tick", share(F.col("tick")).alias("want"), (share(F.col("tick")) - share(F.col("tick") - 1)).alias("launch"))
 
 
 def option_of(seq: Column, options: int) -> Column:

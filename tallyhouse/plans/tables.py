@@ -14,8 +14,12 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def votes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A vote for each event: poll of its day, voter of its user, option of its properties."""
+    return votes_of_events(events(spark, sf_dir))
+
+
+def votes_of_events(rows: DataFrame) -> DataFrame:
     option = F.get_json_object("props", "$.k").cast("bigint") % 4 + 1
-    return events(spark, sf_dir).select(
+    return rows.select(
         F.date_format("ts", "yyyy-MM-dd").alias("poll_id"),
         F.col("user_id").cast("string").alias("fingerprint"),
         option.alias("option_id"),
