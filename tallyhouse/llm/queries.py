@@ -15,6 +15,7 @@ from .language_id import predict_language, train_language_model
 from .line_dedup import dedup_lines
 from .mixing import mix_sources
 from .ngram_join import ngram_jaccard_join
+from .oracle import OP1_SQL, OP5_SQL, OP7_SQL, OP9_SQL, OP12_SQL
 from .prefix_trie import conversation_trie, rebuilt
 from .quality import score_quality, train_quality_model
 from .secrets import find_secrets
@@ -252,4 +253,6 @@ from g join k using (path, depth) left join g u on u.depth = g.depth - 1 and u.p
 """
 
 QUERIES = {f.__name__: f for f in (op1_ngram_join, op2_html_text, op3_mixing, op4_line_dedup, op5_embedding_dedup, op6_language_id, op7_decontamination, op8_quality, op9_warc, op10_url_filter, op11_hard_negatives, op12_secrets, op13_prefix_trie)}
-SQL = {"op4_line_dedup": OP4_SQL, "op3_mixing": OP3_SQL, "op10_url_filter": OP10_SQL, "op11_hard_negatives": OP11_SQL, "op13_prefix_trie": OP13_SQL}
+SQL = {
+    "op1_ngram_join": OP1_SQL, "op5_embedding_dedup": OP5_SQL, "op7_decontamination": OP7_SQL, "op9_warc": OP9_SQL, "op12_secrets": OP12_SQL, "op4_line_dedup": OP4_SQL, "op3_mixing": OP3_SQL, "op10_url_filter": OP10_SQL, "op11_hard_negatives": OP11_SQL, "op13_prefix_trie": OP13_SQL,
+}
