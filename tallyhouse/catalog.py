@@ -16,7 +16,7 @@ from .operators.batching import batch_numbers, done_is_last, pack
 from .operators.completion import completion, deadlines, stale_counts
 from .operators.limits import issue_counts, issue_limit, newest_entries
 from .operators.progress import commit_prefix, deltas
-from .operators.report import labelled_counts, load_profile_of, mean_rate, option_of, percentiles, reconcile, throughput
+from .operators.report import labelled_counts, load_profile_of, mean_rate, option_of, percentiles, reconcile, rolled_up, throughput
 from .operators.settle import evictable, new_finals, outcomes
 from .operators.tally import poll_totals, snapshot, tally, workers
 from .plans.tables import SECRET, events, messages, polls, votes, votes_of_events
@@ -732,3 +732,15 @@ def streamed_batches(spark, sf_dir):
     _run(batches(v, 10), folder, 300, ended)
     text = F.array_join(F.transform("votes", lambda x: F.concat(x["fingerprint"], F.lit(":"), x["option_id"].cast("string"))), ",")
     return read().select("poll_id", "worker_id", "batch", "done", text.alias("votes"))
+
+
+@query("select count(*) filter (status = 202) as accepted, count(*) filter (status = 403) as forbidden, count(*) filter (status = 400) as bad, count(*) filter (status = 404) as unknown from a", _VOTES, _STATUS)
+def scenario_totals(spark, sf_dir):
+    return status_counts(admit(_requests(spark, sf_dir), polls(spark, sf_dir)))
+
+
+@query("select count(*) as runs, min(rate) as lowest, median(rate) as median, max(rate) as highest from (select poll_id, sum(n / 64)::double as rate from (select poll_id, worker_id, count(*)::double as n from v group by 1, 2) group by 1)", _VOTES)
+def rates_rolled_up(spark, sf_dir):
+    """Days as runs, workers as clients of so many votes in 64 seconds."""
+    clients = votes(spark, sf_dir).groupBy("poll_id", "worker_id").agg((F.count("*") / F.lit(64.0)).alias("rate"))
+    return rolled_up(clients, "poll_id", "rate")

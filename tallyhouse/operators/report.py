@@ -62,6 +62,12 @@ def load_profile_of(targets: DataFrame, key: str, target: str, ticks: int) -> Da
     return rows.select(key, "tick", share(F.col("tick")).alias("want"), (share(F.col("tick")) - share(F.col("tick") - 1)).alias("launch"))
 
 
+def rolled_up(rates: DataFrame, run: str, rate: str) -> DataFrame:
+    """(runs, lowest, median, highest) of the summed rates of each run's clients."""
+    each = rates.groupBy(run).agg(F.sum(rate).alias("_rate"))
+    return each.agg(F.count("*").alias("runs"), F.min("_rate").alias("lowest"), F.median("_rate").alias("median"), F.max("_rate").alias("highest"))
+
+
 def option_of(seq: Column, options: int) -> Column:
     return F.pmod(seq, F.lit(options)) + 1
 

@@ -16,6 +16,7 @@ batches at an interval, so that polls end without new messages.
 
 from __future__ import annotations
 
+import time
 import uuid
 from datetime import datetime
 from threading import RLock
@@ -49,6 +50,23 @@ class Finals:
         live = self.log.latest()[1].get("folders", []) if folders is None else folders
         return read_parquet(self.spark, FINAL, [f"{self.folder}/{f}" for f in live])
 
+    def waiting(self, polls: DataFrame) -> DataFrame:
+        """Ids of ``polls`` that have no result yet."""
+        return polls.select(F.col("id").alias("poll_id")).distinct().join(self.read().select("poll_id"), "poll_id", "left_anti")
+
+    def watch(self, polls: DataFrame, seconds: float, every: float = 0.5) -> DataFrame:
+        """Waits until all of ``polls`` have results, or for so many seconds; those still without one.
+
+        Only the newest version's number is asked for while nothing is published.
+        """
+        until, seen = time.monotonic() + seconds, -1
+        while True:
+            version = self.log.latest()[0]
+            if version != seen and self.waiting(polls).isEmpty() or time.monotonic() >= until:
+                return self.waiting(polls)
+            seen = version
+            time.sleep(every)
+
     def _write(self, rows: DataFrame) -> str:
         name = f"rows-{uuid.uuid4().hex}"
         rows.write.parquet(f"{self.folder}/{name}")

@@ -176,3 +176,40 @@ def test_keyed_state_ends_a_poll_by_timer(spark, tmp_path):
     finally:
         q.stop()
     assert [tuple(r) for r in got] == [("p", 2, 1, 1, 1, 1, "quorum")]
+
+
+def test_votes_of_a_message_count_in_its_order(spark):
+    one = _message("p", "w", [("a", 2), ("b", 1), ("a", 1), ("b", 2)])
+    df = spark.createDataFrame([(7, _message("p", "w", [("a", 3), ("c", 3)])), (5, one)], "offset long, value binary")
+    v = votes_of(decode(df))
+    assert [tuple(r) for r in v.orderBy("seq").select("fingerprint", "option_id").collect()] == [("a", 2), ("b", 1), ("a", 1), ("b", 2), ("a", 3), ("c", 3)]
+    assert sorted(map(tuple, tally(v).collect())) == [("p", 1, 1), ("p", 2, 1), ("p", 3, 1)]
+
+
+@pytest.mark.parametrize("grace,lost", [(1.0, 2), (5.0, 0)])
+def test_a_worker_unknown_at_the_quorum_loses_its_votes(spark, grace, lost):
+    """A worker whose first message comes after the grace doesn't count for the quorum; a longer grace waits for it."""
+    at = lambda s: NOW + timedelta(seconds=s)
+    rows = [("p", "w1", False, 0, at(-1), "a"), ("p", "w1", True, 1, at(0), None), ("p", "w2", False, 2, at(3), "b"), ("p", "w2", False, 3, at(3), "c"), ("p", "w2", True, 4, at(3), None)]
+    m = spark.createDataFrame(rows, "poll_id string, worker_id string, done boolean, seq long, arrived timestamp, fingerprint string")
+    ends = spark.createDataFrame([("p", NOW)], "poll_id string, ends_at timestamp")
+    for now in range(0, 10):  # the first second at which the poll is final
+        seen = m.where(F.col("arrived") <= F.lit(at(now)))
+        if completion(seen, ends, F.lit(at(now)), Config(close_grace=grace)).first().reason == "quorum":
+            break
+    counted = tally(seen.where("fingerprint is not null").withColumn("option_id", F.lit(1)))
+    assert 3 - counted.first()["count"] == lost
+
+
+def test_a_stream_of_files_takes_as_many_as_it_is_told(spark, tmp_path):
+    import base64
+
+    from tallyhouse.sources.messages import read_json_folder
+
+    (tmp_path / "in").mkdir()
+    for i in range(3):
+        row = {"topic": "votes", "partition": 0, "offset": i, "value": base64.b64encode(_message("p1", "w1", [(f"v{i}", 1)])).decode()}
+        (tmp_path / f"in/{i}.json").write_text(json.dumps(row))
+    sizes = []
+    q = read_json_folder(spark, str(tmp_path / "in"), streaming=True, per_trigger=1).writeStream.foreachBatch(lambda df, i: sizes.append(df.count())).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    assert q.awaitTermination(60) and sizes == [1, 1, 1]

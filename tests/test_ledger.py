@@ -164,3 +164,14 @@ def test_a_heartbeat_ends_silent_polls(spark, tmp_path):
     finally:
         query.stop()
     assert counts(ledger) == [("p", 1, 1, 1, "hard_timeout")]
+
+
+def test_results_are_waited_for(spark, tmp_path):
+    finals, polls = Finals(spark, str(tmp_path)), polls_of(spark, p=0, q=0)
+    row = lambda p: spark.createDataFrame([(p, 1, 1, 1, 1, 1, "quorum")], module.FINAL)
+    finals.settle(row("p"), polls)
+    assert [r.poll_id for r in finals.watch(polls, 0.1).collect()] == ["q"]
+    late = threading.Timer(2, lambda: finals.settle(row("q"), polls))
+    late.start()
+    assert finals.watch(polls, 60).isEmpty()
+    late.join()
