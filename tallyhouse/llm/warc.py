@@ -17,6 +17,7 @@ import hashlib
 import re
 import uuid
 import zlib
+from collections import deque
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -33,7 +34,10 @@ ROLL = 16 << 20
 CHUNK = 1 << 20
 #: Header of a plain record, at most; that of a gzip member ends with its member.
 MOST_HEADER = 1 << 16
+#: Header of a gzip member, at most.
+MOST_MEMBER_HEADER = 64 << 20
 _START = re.compile(rb"WARC/1\.[01]\r?\n")
+_MARK = re.compile(rb"\x1f\x8b\x08|WARC/1\.[01]\r?\n")
 
 
 @dataclass
@@ -93,106 +97,142 @@ def parse_record(data: bytes) -> Record:
     return Record(headers, block)
 
 
-class _Window:
-    """Bytes of a stream from a moving position; keeps only what is still needed."""
-
-    def __init__(self, stream):
-        self.stream, self.data, self.offset, self.ended = stream, bytearray(), 0, False
-
-    def fill(self, n: int) -> bool:
-        while len(self.data) < n and not self.ended:
-            more = self.stream.read(max(CHUNK, n - len(self.data)))
-            self.ended = not more
-            self.data += more
-        return len(self.data) >= n
+class _Archive:
+    """A file that can be read at any place, through one buffer of ``CHUNK`` bytes; ``after`` finds where records may begin."""
+
+    def __init__(self, file):
+        self.file, self.size = file, file.seek(0, 2) or file.tell()
+        self._buffer, self._from = b"", 0
+        self._hits: deque[int] = deque()
+        self._scanned = 0
+
+    def read(self, offset: int, n: int) -> bytes:
+        if self._from <= offset and offset + n <= self._from + len(self._buffer):
+            return self._buffer[offset - self._from : offset - self._from + n]
+        self.file.seek(offset)
+        if n >= CHUNK:
+            return self.file.read(n)
+        self._buffer, self._from = self.file.read(CHUNK), offset
+        return self._buffer[:n]
+
+    def after(self, offset: int) -> int:
+        """The next place behind ``offset`` with a gzip magic or a version line, or the end.  Every byte is searched once."""
+        while True:
+            while self._hits and self._hits[0] <= offset:
+                self._hits.popleft()
+            if self._hits:
+                return self._hits[0]
+            start = max(self._scanned, offset + 1)
+            if start >= self.size:
+                return self.size
+            self.file.seek(start)
+            data = self.file.read(CHUNK + 16)  # a mark may lie across the end of the piece
+            self._hits.extend(start + m.start() for m in _MARK.finditer(data) if m.start() < CHUNK)
+            self._scanned = start + CHUNK
+
+
+def _length(head: bytes) -> int:
+    m = re.search(rb"\r\ncontent-length:[ \t]*(\d{1,18})(?!\d)", head, re.I)
+    if not m:
+        raise ValueError("bad content length")
+    return int(m[1])
 
-    def skip(self, n: int) -> None:
-        del self.data[:n]
-        self.offset += n
 
+def _member(a: _Archive, offset: int) -> tuple[bytes, int]:
+    """The gzip member at a place, unpacked, and its packed length.
 
-def _member(w: _Window) -> tuple[bytes, int]:
-    """The gzip member at the window's start, unpacked, and its packed length."""
-    unpack, out, at = zlib.decompressobj(31), [], 0
+    No more is unpacked than its header says the record has; pieces are small at first, as most false magics fail at once.
+    """
+    unpack, out, held, at, piece, whole = zlib.decompressobj(31), [], 0, offset, 512, None
     while not unpack.eof:
-        if not w.fill(at + 1):
+        part = a.read(at, min(piece, CHUNK))
+        if not part:
             raise ValueError("member is cut off")
-        part = bytes(w.data[at : at + CHUNK])
-        try:
-            out.append(unpack.decompress(part))
-        except zlib.error as e:
-            raise ValueError(f"gzip: {e}") from None
-        at += len(part)
-    return b"".join(out), at - len(unpack.unused_data)
-
-
-def _plain(w: _Window) -> tuple[bytes, int]:
-    """The plain record at the window's start, and its length with the blank lines behind."""
+        at, piece = at + len(part), piece * 2
+        while part and not unpack.eof:
+            try:
+                data = unpack.decompress(part, CHUNK)
+            except zlib.error as e:
+                raise ValueError(f"gzip: {e}") from None
+            out.append(data)
+            held, part = held + len(data), unpack.unconsumed_tail
+            if whole is None:
+                head = b"".join(out)
+                out = [head]
+                if (end := head.find(b"\r\n\r\n")) >= 0:
+                    whole = end + 4 + _length(head[:end])
+                elif held > MOST_MEMBER_HEADER:
+                    raise ValueError("no end of header")
+            if whole is not None and held > whole + 4:
+                raise ValueError("content length does not fit")
+    return b"".join(out), at - offset - len(unpack.unused_data)
+
+
+def _plain(a: _Archive, offset: int) -> tuple[bytes, int]:
+    """The plain record at a place, and its length with the blank lines behind.
+
+    Whether a record ends where its header says is looked up there before its block is read, and a large block's digest
+    is taken piece by piece, so that a false length costs no memory.
+    """
     n = 4096
-    while (end := w.data.find(b"\r\n\r\n")) < 0:
-        if n > MOST_HEADER or not w.fill(n) and w.ended and w.data.find(b"\r\n\r\n") < 0:
+    while (end := (head := a.read(offset, n)).find(b"\r\n\r\n")) < 0:
+        if n > MOST_HEADER or len(head) < n:
             raise ValueError("no end of header")
         n *= 2
     if end > MOST_HEADER:
         raise ValueError("no end of header")
-    m = re.search(rb"\r\ncontent-length:[ \t]*(\d+)", bytes(w.data[:end]), re.I)
-    if not m:
-        raise ValueError("bad content length")
-    size = end + 4 + int(m[1])
-    if not w.fill(size):
+    length = _length(head[:end])
+    size = end + 4 + length
+    if offset + size > a.size:
         raise ValueError("record is cut off")
-    w.fill(size + 4)
-    if w.data[size : size + 2] not in (b"\r\n", b""):
+    behind = a.read(offset + size, 16)
+    last = offset + size + len(behind) >= a.size
+    if not (behind[:4] == b"\r\n\r\n" or behind[:2] == b"\r\n" and (behind[2:7] == b"WARC/" or behind[2:5] == b"\x1f\x8b\x08") or last and behind in (b"", b"\r\n")):
         raise ValueError("content length does not fit")
-    tail = size
-    while w.data[tail : tail + 2] == b"\r\n" and tail < size + 4:
-        tail += 2
-    return bytes(w.data[:size]), tail
-
-
-def _next_start(w: _Window) -> int:
-    """Bytes from the window's start to the next that may begin a record, at least 1; -1 if there is none."""
-    at = 1
-    while True:
-        w.fill(at + CHUNK)
-        gz = w.data.find(b"\x1f\x8b\x08", at)
-        plain = _START.search(w.data, at)
-        hits = [x for x in (gz, plain.start() if plain else -1) if x >= 0]
-        if hits:
-            return min(hits)
-        if w.ended:
-            return -1
-        at = max(1, len(w.data) - 16)
-
-
-def salvage(stream) -> Iterator[Record | Gap]:
-    """Records and gaps of an archive in file order; memory holds about one record."""
-    w, bad, why = _Window(stream), None, ""
-    while w.fill(1):
+    want = re.search(rb"\r\nWARC-Block-Digest:[ \t]*sha1:([A-Z2-7]+)", head[:end])
+    if length > CHUNK and want:
+        seen = hashlib.sha1()
+        for at in range(0, length, CHUNK):
+            seen.update(a.read(offset + end + 4 + at, min(CHUNK, length - at)))
+        if base64.b32encode(seen.digest()) != want[1]:
+            raise ValueError("block digest differs")
+    tail = 4 if behind[:4] == b"\r\n\r\n" else 2 if behind[:2] == b"\r\n" else 0
+    return a.read(offset, size), size + tail
+
+
+def salvage(file) -> Iterator[Record | Gap]:
+    """Records and gaps of an archive in file order.
+
+    ``file`` can seek.  Memory holds one record, as long as its header says and its checks bear out, beside two buffers of
+    ``CHUNK`` bytes; a header of more than ``MOST_HEADER`` bytes (``MOST_MEMBER_HEADER`` in a gzip member) isn't taken for one.
+    Time is linear in the bytes and in the number of places that look like a start.
+    """
+    a, offset, bad, why = _Archive(file), 0, None, ""
+    while offset < a.size:
         try:
-            if not w.fill(3):
+            start = a.read(offset, 16)
+            if len(start) < 3:
                 raise ValueError("trailing bytes")
-            if w.data[:2] == b"\x1f\x8b":
-                data, size = _member(w)
-            elif _START.match(w.data):
-                data, size = _plain(w)
+            if start[:2] == b"\x1f\x8b":
+                data, size = _member(a, offset)
+            elif _START.match(start):
+                data, size = _plain(a, offset)
             else:
                 raise ValueError("neither a gzip member nor a version line")
             record = parse_record(data)
         except ValueError as e:
             if bad is None:
-                bad, why = w.offset, str(e)
-            step = _next_start(w)
-            w.skip(len(w.data) if step < 0 else step)
+                bad, why = offset, str(e)
+            offset = a.after(offset)
             continue
         if bad is not None:
-            yield Gap(bad, w.offset - bad, why)
+            yield Gap(bad, offset - bad, why)
             bad = None
-        record.offset, record.length = w.offset, size
-        w.skip(size)
+        record.offset, record.length = offset, size
+        offset += size
         yield record
     if bad is not None:
-        yield Gap(bad, w.offset - bad, why)
+        yield Gap(bad, a.size - bad, why)
 
 
 def record_id(number: str) -> str:
@@ -279,7 +319,7 @@ def _read(uri: str, keep_block: bool):
                 fs, path = _filesystem(f"{uri}/{file}")
                 rows: list[tuple] = []
                 size = 0
-                with fs.open_input_stream(path, compression=None) as stream:
+                with fs.open_input_file(path) as stream:
                     for x in salvage(stream):
                         if isinstance(x, Gap):
                             rows.append((file, x.offset, x.length, None, None, x.reason))
