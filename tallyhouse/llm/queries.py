@@ -63,7 +63,7 @@ def op3_mixing(spark, sf_dir):
 
 
 def op4_line_dedup(spark, sf_dir):
-    return dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), least_words=1)
 
 
 def op5_embedding_dedup(spark, sf_dir):
@@ -171,7 +171,7 @@ with l as (
   select doc_id, line, body, list_filter(regexp_split_to_array(lower(body), '[\x20\x09-\x0D]+'), lambda x: x <> '') as w
   from (select doc_id, unnest(string_split(text, chr(10))) as body, generate_subscripts(string_split(text, chr(10)), 1) - 1 as line from documents)
 ), t as (
-  select doc_id, line, list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i : i + 4], ' '))) as t from l where len(w) >= 5
+  select doc_id, line, case when len(w) < 5 then [array_to_string(w, ' ')] else list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i : i + 4], ' '))) end as t from l where len(w) >= 1
 ), s as (
   select list_sort(t) as t, min({'doc_id': doc_id, 'line': line}) as f from t group by 1
 ), p as (
