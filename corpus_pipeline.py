@@ -22,6 +22,15 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 LEAST_SCORE = 0.3
 
 
+#: Bytes of a batch of rows that goes to a Python worker, at most.
+MOST_BATCH = 8 << 20
+
+
+def _bounded(spark: SparkSession) -> None:
+    """A worker, and the JVM beside it, hold so much of a table at once, and one row at least, whatever the length of texts."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", MOST_BATCH)
+
+
 def _documents(rows: DataFrame) -> DataFrame:
     return rows.select("doc_id", "text", "lang", "source", F.length("text").cast("long").alias("n_chars"))
 
@@ -29,6 +38,7 @@ def _documents(rows: DataFrame) -> DataFrame:
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Null texts and those without a letter go; a text in a language that wasn't learned is taken for one that was."""
     ship_package(spark)
+    _bounded(spark)
     model = train_language_model(docs.where(crc_mod("doc_id", 4) != 2))
     told = predict_language(docs.select(*COLUMNS), model)
     return told.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)).select(*COLUMNS)
@@ -42,6 +52,7 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each group of linked documents stays."""
+    _bounded(spark)
     found = ngram_jaccard_join(docs).where(F.col("doc_id").isNotNull() & (F.col("doc_id") != F.col("component_id")))
     # the join reads its own Parquet, so rows are matched by id; a row without id can't be a copy
     return docs.join(found.select("doc_id").distinct(), "doc_id", "left_anti").select(*COLUMNS)
@@ -49,6 +60,7 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def benchmark_free(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a passage of the benchmark go."""
+    _bounded(spark)
     benchmark = table(spark, sf_dir, "benchmark")
     hit = find_benchmark(docs, benchmark).where(F.size("spans") > 0).select("doc_id").distinct()
     # rows without id match no id; the few of them are numbered
