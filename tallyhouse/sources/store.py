@@ -8,6 +8,7 @@ stores) need a lock of their own.
 
 from __future__ import annotations
 
+import atexit
 import json
 import os
 import tempfile
@@ -78,7 +79,16 @@ def working_folder(spark: SparkSession, tag: str) -> str:
         if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
             raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = f"file://{tempfile.gettempdir()}/tallyhouse-work"
-    return f"{base.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
+    folder = f"{base.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
+    atexit.register(_quietly_delete, spark, folder)
+    return folder
+
+
+def _quietly_delete(spark: SparkSession, path: str) -> None:
+    try:
+        delete(spark, path)
+    except Exception:  # the JVM may have gone before the interpreter ends
+        pass
 
 
 class VersionLog:

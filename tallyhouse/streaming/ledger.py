@@ -92,10 +92,14 @@ class Finals:
             if self.read([fresh]).isEmpty():
                 delete(self.spark, f"{self.folder}/{fresh}")
                 break
-            live = [*folders, fresh]
-            if len(live) > MOST_FOLDERS:
-                live = [self._write(self.read(live))]
-            if self.log.publish(version + 1, {"folders": live}):
+            live, old = [*folders, fresh], record.get("old", [])
+            if merged := len(live) > MOST_FOLDERS:
+                live, old = [self._write(self.read(live))], live
+            if self.log.publish(version + 1, {"folders": live, "old": old}):
+                if merged:  # what was just put together may still be read; what was put together the time before goes
+                    for name in record.get("old", []):
+                        delete(self.spark, f"{self.folder}/{name}")
+                    self.log.forget_before(version)
                 break
             for name in {told, fresh, live[-1]}:  # another writer was first: look again which polls are open
                 delete(self.spark, f"{self.folder}/{name}")

@@ -121,11 +121,12 @@ def test_two_ledgers_settle_a_poll_once(spark, tmp_path, monkeypatch):
 def test_folders_of_results_are_put_together(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(module, "MOST_FOLDERS", 2)
     finals = Finals(spark, str(tmp_path))
-    polls = polls_of(spark, **{f"p{i}": 0 for i in range(5)})
-    for i in range(5):
+    polls = polls_of(spark, **{f"p{i}": 0 for i in range(7)})
+    for i in range(7):
         row = spark.createDataFrame([(f"p{i}", 1, i, i, 1, 1, "quorum")], module.FINAL)
         assert finals.settle(row, polls).first().outcome == "written" and finals.settle(row, polls).first().outcome == "already_completed"
-    assert sorted(r["count"] for r in finals.read().collect()) == [0, 1, 2, 3, 4] and len(finals.log.latest()[1]["folders"]) <= 2
+    assert sorted(r["count"] for r in finals.read().collect()) == list(range(7)) and len(finals.log.latest()[1]["folders"]) <= 2
+    assert len(store.names(spark, str(tmp_path))) <= 9 and len(store.names(spark, f"{tmp_path}/versions")) <= 4  # what was replaced has gone
 
 
 def test_events_replayed_in_batches_equal_the_tally(spark, tmp_path):
