@@ -415,7 +415,8 @@ def request_bodies(spark, sf_dir):
         .when(k == 3, made('{"option_id":', "} x")).when(k == 4, made('{"option_id":"', '"}')).when(k == 5, made('{"option_id":', '}{"option_id":1}'))
         .when(k == 6, "{}").when(k == 7, F.concat(made('{"option_id":', ""), F.repeat(F.lit(" "), 1 << 20), F.lit("}")))
     )
-    return votes(spark, sf_dir).select("seq", request_option(body).alias("option_id"))
+    rows = votes(spark, sf_dir).select("seq", body.alias("body"))  # made once for each row
+    return rows.select("seq", request_option(F.col("body")).alias("option_id"))
 
 
 @query("select * from t", _VOTES, _TALLY)
@@ -473,7 +474,7 @@ def vote_requests(spark, sf_dir):
     body = F.when(k == 3, '{"option_id":').when(k == 4, "{}").otherwise(F.format_string('{"option_id":%d}', "option_id"))
     cookie = F.when(F.col("seq") % 3 == 0, identity.sign(SECRET, F.col("poll_id"), F.col("fingerprint"))).when(F.col("seq") % 3 == 1, "x.y").when(F.col("seq") % 2 == 0, "")
     address = identity.client_ip(F.lit(""), F.lit(""), F.concat(F.lit("192.0.2."), (F.col("fingerprint").cast("bigint") % 256).cast("string"), F.lit(":80")))
-    rows = v.withColumns({"cookie": cookie, "address": address, "option_id": request_option(body)})
+    rows = v.withColumns({"cookie": cookie, "address": address, "body": body}).withColumn("option_id", request_option(F.col("body")))
     rows = rows.withColumns({"had_cookie": identity.has_cookie(F.col("cookie")), "fingerprint": identity.fingerprint(SECRET, F.col("poll_id"), F.col("cookie"), F.col("address"))})
     rows = rows.withColumn("poll_id", F.when(F.col("seq") % 50 == 7, "none").otherwise(F.col("poll_id")))
     return admit(rows, polls(spark, sf_dir)).select("seq", "had_cookie", "fingerprint", "status")

@@ -17,10 +17,13 @@ def small(df: DataFrame, most: int = BROADCAST_POLLS) -> DataFrame:
 
 
 def request_option(body: Column) -> Column:
-    """Option of a request body; 0 if it has none, null if the body is bad or too long."""
-    fits = F.octet_length(body) <= MOST_BODY
-    parsed = F.from_json(folded(body, "option_id"), "option_id bigint, _bad string", STRICT)
-    good = fits & whole_json(body) & parsed["_bad"].isNull() & parsed.isNotNull()
+    """Option of a request body; 0 if it has none, null if the body is bad or too long.
+
+    What is too long is not looked into.  ``body`` should be a column and no expression that is costly, as it is read several times.
+    """
+    text = F.when(F.octet_length(body) <= MOST_BODY, body)
+    parsed = F.from_json(folded(text, "option_id"), "option_id bigint, _bad string", STRICT)
+    good = text.isNotNull() & whole_json(text) & parsed["_bad"].isNull() & parsed.isNotNull()
     return F.when(good, F.coalesce(parsed["option_id"], F.lit(0)))
 
 

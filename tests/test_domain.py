@@ -6,6 +6,7 @@ import time
 from datetime import datetime, timedelta
 
 import pytest
+from conftest import DATA
 from pyspark.sql import functions as F
 
 from tallyhouse.config import Config, duration
@@ -213,3 +214,17 @@ def test_a_stream_of_files_takes_as_many_as_it_is_told(spark, tmp_path):
     sizes = []
     q = read_json_folder(spark, str(tmp_path / "in"), streaming=True, per_trigger=1).writeStream.foreachBatch(lambda df, i: sizes.append(df.count())).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
     assert q.awaitTermination(60) and sizes == [1, 1, 1]
+
+
+def test_bodies_are_made_once_and_long_ones_not_read(spark):
+    """A body is one column of the plan, however often it is read; one at the limit counts, one above it is bad."""
+    from tallyhouse import catalog
+    from tallyhouse.operators.admission import request_option
+    from tallyhouse.sources.messages import MOST_BODY
+
+    for name, part in (("request_bodies", '"Option_Id":'), ("vote_requests", '{"option_id":%d}')):
+        plan = catalog.QUERIES[name](spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count(part) == 1, name
+    bodies = ['{"option_id":2}' + " " * (MOST_BODY - 15), '{"option_id":2}' + " " * (MOST_BODY - 14), '{"option_id":3}', "", None]
+    rows = spark.createDataFrame([(i, b) for i, b in enumerate(bodies)], "i long, b string").select("i", request_option(F.col("b")).alias("o"))
+    assert [r.o for r in rows.orderBy("i").collect()] == [2, None, 3, None, None]
