@@ -562,3 +562,25 @@ def test_pipeline_stages_against_other_ways(spark):
     con = duckdb.connect()
     documents = docs.toPandas()  # noqa: F841 (the table of the SQL)
     assert rows_of(stages["mixing"](spark, docs, DATA).toPandas()) == rows_of(con.execute(q.SQL["op3_mixing"]).fetchdf())
+
+
+def test_embedding_tiles_shuffle_no_vectors(spark, monkeypatch):
+    """Over many blocks, with a large group of near copies and vectors that float32 can't hold: all links, and shuffles that don't grow with the blocks."""
+    from tallyhouse.llm import embedding_dedup
+
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(3000, 48)).astype(np.float32).astype(float)
+    x[::10] = x[0] + 0.15 * rng.normal(size=(300, 48))
+    monkeypatch.setattr(embedding_dedup, "BLOCK", 128)
+
+    def shuffled():
+        stages = spark._jsc.sc().statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), None)
+        return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+    before = shuffled()
+    got = embedding_near_duplicates(spark.createDataFrame(list(enumerate(x.tolist())), "vec_id long, embedding array<double>")).collect()
+    assert shuffled() - before < 3 * x.nbytes
+    v = unit(x)
+    near = v @ v.T >= 0.9
+    comp = groups([tuple(e) for e in np.argwhere(near).tolist() if e[0] < e[1]], list(range(3000)))
+    assert {r.vec_id: (r.n_links, r.component_id) for r in got} == {i: (int(near[i].sum()) - 1, comp[i]) for i in range(3000)}
