@@ -2,7 +2,8 @@
 
 * ``FirstVotes``, keyed by poll and a bucket of fingerprints, holds who voted, and passes on counts: what a batch adds to
   each option, with corrections if an earlier vote of a voter comes later.  A poll with most of all votes is spread over its buckets.
-* ``Silence``, keyed by consumer, numbers messages and tells polls when enough of others went by.
+* ``Ranges``, keyed by consumer and range of numbers, has no state and sums up the messages of a range by poll.
+* ``Silence``, keyed by consumer, puts the ranges of a batch in order and tells polls when enough of others went by.
 * ``Poll``, keyed by poll, adds up counts and workers, and ends the poll by quorum, silence or hard timeout; timers end it without input.
 * ``Batcher``, keyed by poll and worker, makes batches of a fixed size, and at the end of the poll the rest and a last word.
 
@@ -26,8 +27,12 @@ OUTPUT = "poll_id string, option_id long, count long, total long, workers_seen l
 #: What the first stages tell of a poll: kind is vote (n more of an option), worker (seen, or done) or silence (n is 1 or 0).
 NEWS = "poll_id string, kind string, option_id long, n long, worker_id string, done boolean, ends_ms long"
 BATCHES = "poll_id string, worker_id string, batch long, done boolean, votes array<struct<fingerprint:string,option_id:long>>"
+#: What a range of a consumer's messages holds of a poll: its first and last place in the range and how many it has; ``total`` counts all of the range.
+SPANS = "consumer string, span long, total long, poll_id string, first long, last long, own long, ends_ms long"
 #: Buckets of a poll's voters.
 BUCKETS = 32
+#: Numbers of a range of messages.
+SPAN = 1 << 16
 #: Milliseconds for which a settled poll is remembered.
 KEEP_MS = 3_600_000
 
@@ -80,6 +85,33 @@ class FirstVotes(StatefulProcessor):
         pass
 
 
+class Ranges(StatefulProcessor):
+    """Sums up a batch's messages of a consumer and range of numbers; keeps nothing."""
+
+    def init(self, handle):
+        pass
+
+    def handleInputRows(self, key, rows, timerValues):
+        codes, names, ends, seqs = {}, [], [], []
+        for pdf in rows:  # numbers and codes in place of texts, batch by batch
+            for poll, end in zip(pdf["poll_id"], pdf["ends_ms"]):
+                if poll not in codes:
+                    codes[poll] = len(codes)
+                    ends.append(int(end))
+            names.append(pdf["poll_id"].map(codes).to_numpy(np.int32))
+            seqs.append(pdf["seq"].to_numpy(np.int64))
+        code = np.concatenate(names)[np.argsort(np.concatenate(seqs), kind="stable")]
+        at = pd.DataFrame({"poll": code, "n": np.arange(len(code))}).groupby("poll")["n"].agg(["first", "last", "size"])
+        polls = list(codes)
+        yield _frame([(key[0], key[1], len(code), polls[c], int(f), int(l), int(n), ends[c]) for c, f, l, n in at.itertuples()], SPANS)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        yield _frame([], SPANS)
+
+    def close(self):
+        pass
+
+
 class Silence(StatefulProcessor):
     """Messages of a consumer, and of each of its polls the first, the last and how many they are."""
 
@@ -91,14 +123,16 @@ class Silence(StatefulProcessor):
         self.polls = handle.getMapState("polls", "poll_id string", "first long, last long, own long, ends_ms long, told boolean")
 
     def handleInputRows(self, key, rows, timerValues):
-        pdf = pd.concat(list(rows)).sort_values("seq", kind="stable")
+        pdf = pd.concat(list(rows))
         total = self.total.get()[0] if self.total.exists() else 0
-        at = pd.DataFrame({"poll": pdf["poll_id"].to_numpy(), "n": total + np.arange(len(pdf)), "ends": pdf["ends_ms"].to_numpy()})
-        total += len(pdf)
+        sizes = pdf.drop_duplicates("span").set_index("span")["total"].sort_index()
+        start = pdf["span"].map(sizes.cumsum() - sizes) + total
+        at = pd.DataFrame({"poll": pdf["poll_id"], "first": pdf["first"] + start, "last": pdf["last"] + start, "own": pdf["own"], "ends": pdf["ends_ms"]})
+        total += int(sizes.sum())
         self.total.update((total,))
-        for poll, g in at.groupby("poll"):
-            first, _, own, ends, told = self.polls.getValue((poll,)) if self.polls.containsKey((poll,)) else (int(g["n"].iloc[0]), 0, 0, int(g["ends"].iloc[0]), False)
-            self.polls.updateValue((poll,), (first, int(g["n"].iloc[-1]), own + len(g), ends, told))
+        for poll, new_first, new_last, more, end in at.groupby("poll").agg({"first": "min", "last": "max", "own": "sum", "ends": "first"}).itertuples():
+            first, _, own, ends, told = self.polls.getValue((poll,)) if self.polls.containsKey((poll,)) else (int(new_first), 0, 0, int(end), False)
+            self.polls.updateValue((poll,), (first, int(new_last), own + int(more), ends, told))
         now, news = timerValues.getCurrentProcessingTimeInMs(), []
         for (poll,), (first, last, own, ends, told) in list(self.polls.iterator()):
             if now > ends + int(self.config.hard_timeout * 1000) + self.keep_ms:
@@ -177,18 +211,21 @@ class Poll(StatefulProcessor):
         pass
 
 
-def final_results(votes: DataFrame, config: Config, messages: DataFrame | None = None, keep_ms: int = KEEP_MS) -> DataFrame:
+def final_results(votes: DataFrame, config: Config, messages: DataFrame | None = None, keep_ms: int = KEEP_MS, span: int = SPAN) -> DataFrame:
     """Results of a stream of votes: poll_id, fingerprint, option_id, worker_id, done, seq, ends_ms.
 
     Rows with a null fingerprint only tell of a worker.  ``messages`` (consumer, poll_id, seq, ends_ms), the same stream with a row for
     each well-formed message, is what silence is counted on; without it no poll ends by silence.  A poll without votes
-    has one row without an option.
+    has one row without an option.  Messages are first summed up by ranges of ``span`` numbers, so that none of them are ordered in
+    one task but those of a range; a stream whose numbers have gaps wants a wider one.
     """
     bucket = F.when(F.col("fingerprint").isNull(), 0).otherwise(F.pmod(F.xxhash64("fingerprint"), F.lit(BUCKETS))).cast("int")
     own = ["poll_id", "fingerprint", "option_id", "worker_id", "done", "seq", "ends_ms"]
     news = votes.select(*own, bucket.alias("bucket")).groupBy("poll_id", "bucket").transformWithStateInPandas(FirstVotes(config, keep_ms), NEWS, "append", "processingtime")
     if messages is not None:
-        silence = messages.select("consumer", "poll_id", "seq", "ends_ms").groupBy("consumer").transformWithStateInPandas(Silence(config, keep_ms), NEWS, "append", "processingtime")
+        own = ["consumer", "poll_id", "seq", "ends_ms"]
+        spans = messages.select(*own, F.floor(F.col("seq") / F.lit(span)).alias("span")).groupBy("consumer", "span").transformWithStateInPandas(Ranges(), SPANS, "append", "processingtime")
+        silence = spans.groupBy("consumer").transformWithStateInPandas(Silence(config, keep_ms), NEWS, "append", "processingtime")
         news = news.unionByName(silence)
     return news.groupBy("poll_id").transformWithStateInPandas(Poll(config, keep_ms), OUTPUT, "append", "processingtime")
 

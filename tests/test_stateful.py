@@ -136,3 +136,37 @@ def test_a_listener_keeps_counters(spark, tmp_path):
     bad = spark.read.parquet(f"{DATA}/events.parquet").where("event_id % 10 = 0").count()
     got = listener.rows().agg(F.sum("rows"), F.sum("produced"), F.sum("failed"), F.sum("votes")).first()
     assert tuple(got) == (n, n - bad, bad, 2 * (n - bad)) and listener.rows().first().query == "counted"
+
+
+def test_silence_reads_sums_of_ranges_not_messages(spark, tmp_path, monkeypatch):
+    """All messages of a consumer come to one task only as a row for each range and poll."""
+    from tallyhouse.streaming import stateful
+
+    base = stateful.Silence
+
+    class Watched(base):
+        def handleInputRows(self, key, rows, timerValues):
+            rows = list(rows)
+            assert sum(map(len, rows)) < 100, "too many rows for one task"
+            yield from base.handleInputRows(self, key, rows, timerValues)
+
+    monkeypatch.setattr(stateful, "Silence", Watched)
+    feed, past = Feed(spark, tmp_path), int(time.time() * 1000) - 60_000
+    feed.add([("p" if i == 0 else f"q{i % 5}", f"v{i}", 1, "w", False, i) for i in range(3000)], past)
+    sent = feed.stream().select(F.lit("c").alias("consumer"), "poll_id", "seq", "ends_ms")
+    got = {r.poll_id: r.reason for r in feed.run(final_results(feed.stream(), Config(stale_messages=2990), sent))}
+    assert got == {"p": "stale"}
+
+
+@pytest.mark.parametrize("mode", ["code", "spec"])
+def test_silence_over_many_ranges_and_batches(spark, tmp_path, mode):
+    """Numbers far apart, so that a range holds about three messages, in two batches in any order: the polls that a count by hand finds."""
+    feed, past, rng = Feed(spark, tmp_path), int(time.time() * 1000) - 60_000, random.Random(4)
+    polls = [rng.choice("abcdefgh" if i < 60 else "abc") for i in range(120)]
+    results = lambda: final_results(feed.stream(), Config(stale_messages=60, stale_mode=mode), feed.stream().select(F.lit("c").alias("consumer"), "poll_id", "seq", "ends_ms"))
+    for part in (range(40), range(40, 120)):
+        feed.add([(polls[i], f"v{i}", 1, "w", False, i * 20_000 - 700_000) for i in rng.sample(part, len(part))], past)
+        got = feed.run(results())
+    places = {p: [i for i, x in enumerate(polls) if x == p] for p in set(polls)}
+    silent = {p for p, at in places.items() if (119 - at[0] - (len(at) - 1) if mode == "code" else 119 - at[-1]) >= 60}
+    assert silent and {r.poll_id for r in got if r.reason == "stale"} == silent
