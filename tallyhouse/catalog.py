@@ -671,6 +671,13 @@ def _as_stream(spark, sf_dir, ends):
     return votes_of_events(raw).withColumn("ends_ms", ends)
 
 
+def _with_last_words(v, spark, sf_dir):
+    """``v`` with done; the few last words are written first, so that a stream's plan knows that they are few."""
+    folder = working_folder(spark, "last")
+    messages(spark, sf_dir).where("done").select("seq", "done").write.parquet(folder)
+    return v.join(spark.read.schema("seq long, done boolean").parquet(folder), "seq", "left").withColumn("done", F.coalesce("done", F.lit(False)))
+
+
 def _end_of_day(now):
     """Milliseconds of a poll's end, moved so that ``now`` is the present."""
     end = F.unix_millis((F.to_date("poll_id").cast("timestamp_ntz") + F.expr("interval 20 hours")).cast("timestamp"))
@@ -699,8 +706,7 @@ def _run(stream, folder, wait=0, until=None):
 def keyed_state_reasons(spark, sf_dir):
     """Events through keyed state, each a message: why polls end, silence among the reasons."""
     v = _as_stream(spark, sf_dir, _end_of_day(datetime(2024, 1, 15, 20, 0, 10)))
-    last = messages(spark, sf_dir).where("done").select("seq", F.lit(True).alias("done"))
-    v = v.join(last, "seq", "left").withColumn("done", F.coalesce("done", F.lit(False)))
+    v = _with_last_words(v, spark, sf_dir)
     told = v.select(F.lit("c").alias("consumer"), "poll_id", "seq", "ends_ms")
     config = Config(stale_messages=300, hard_timeout=864000.0)
     out, _ = _run(final_results(v, config, told), working_folder(spark, "keyed"))
@@ -712,8 +718,7 @@ def keyed_state_reasons(spark, sf_dir):
 def state_of_open_polls(spark, sf_dir):
     """Polls that are still open, as a reader finds them in the state of a stream that has stopped."""
     v = _as_stream(spark, sf_dir, F.unix_millis(F.current_timestamp()) + F.lit(86_400_000))
-    last = messages(spark, sf_dir).where("done").select("seq", F.lit(True).alias("done"))
-    v = v.join(last, "seq", "left").withColumn("done", F.coalesce("done", F.lit(False)))
+    v = _with_last_words(v, spark, sf_dir)
     _, checkpoint = _run(final_results(v, Config()), working_folder(spark, "open"))
     return open_polls(spark, checkpoint)
 

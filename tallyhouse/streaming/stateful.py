@@ -14,6 +14,8 @@ Needs ``spark.sql.streaming.stateStore.providerClass`` set to RocksDB's.
 
 from __future__ import annotations
 
+from zlib import crc32
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -31,6 +33,8 @@ BATCHES = "poll_id string, worker_id string, batch long, done boolean, votes arr
 SPANS = "consumer string, span long, total long, poll_id string, first long, last long, own long, ends_ms long"
 #: Buckets of a poll's voters.
 BUCKETS = 32
+#: Parts of a bucket; a part's voters are read and written at once.
+PARTS = 64
 #: Numbers of a range of messages.
 SPAN = 1 << 16
 #: Milliseconds for which a settled poll is remembered.
@@ -45,14 +49,14 @@ def _frame(rows: list, schema: str) -> pd.DataFrame:
 
 
 class FirstVotes(StatefulProcessor):
-    """Voters of a bucket of a poll, each with the option and number of its earliest vote."""
+    """Voters of a bucket of a poll, each with the option and number of its earliest vote; held by parts, as each call of the state has its cost."""
 
     def __init__(self, config: Config, keep_ms: int):
         self.config, self.keep_ms = config, keep_ms
 
     def init(self, handle):
         self.handle = handle
-        self.voted = handle.getMapState("voted", "fingerprint string", "option_id long, seq long")
+        self.voted = handle.getMapState("voted", "part int", "fingerprints array<string>, options array<long>, seqs array<long>")
         self.ends = handle.getValueState("ends", "ends_ms long")
 
     def handleInputRows(self, key, rows, timerValues):
@@ -63,14 +67,21 @@ class FirstVotes(StatefulProcessor):
             self.handle.registerTimer(ends + int(self.config.hard_timeout * 1000) + self.keep_ms)
         first = pdf[pdf["fingerprint"].notna()].sort_values("seq").drop_duplicates("fingerprint")
         added: dict[int, int] = {}
-        for voter, option, seq in zip(first["fingerprint"], first["option_id"], first["seq"]):
-            held = self.voted.getValue((voter,)) if self.voted.containsKey((voter,)) else None
-            if held is not None and held[1] <= seq:
-                continue
-            self.voted.updateValue((voter,), (int(option), int(seq)))
-            added[int(option)] = added.get(int(option), 0) + 1
-            if held is not None:
-                added[held[0]] = added.get(held[0], 0) - 1
+        known = self.voted.exists()
+        parts = np.fromiter((crc32(f.encode()) % PARTS for f in first["fingerprint"]), np.int64, len(first))
+        for part, votes in first.groupby(parts):
+            at = (int(part),)
+            held = self.voted.getValue(at) if known and self.voted.containsKey(at) else ([], [], [])
+            voters = {f: (o, s) for f, o, s in zip(*held)}
+            for voter, option, seq in zip(votes["fingerprint"], votes["option_id"], votes["seq"]):
+                was = voters.get(voter)
+                if was is not None and was[1] <= seq:
+                    continue
+                voters[voter] = (int(option), int(seq))
+                added[int(option)] = added.get(int(option), 0) + 1
+                if was is not None:
+                    added[was[0]] = added.get(was[0], 0) - 1
+            self.voted.updateValue(at, (list(voters), [o for o, _ in voters.values()], [s for _, s in voters.values()]))
         news += [(poll, "vote", o, n, None, None, ends) for o, n in sorted(added.items()) if n]
         named = pdf[pdf["worker_id"].fillna("") != ""].groupby("worker_id")["done"].any()
         news += [(poll, "worker", None, None, w, bool(d), ends) for w, d in named.items()]

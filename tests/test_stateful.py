@@ -170,3 +170,16 @@ def test_silence_over_many_ranges_and_batches(spark, tmp_path, mode):
     places = {p: [i for i, x in enumerate(polls) if x == p] for p in set(polls)}
     silent = {p for p, at in places.items() if (119 - at[0] - (len(at) - 1) if mode == "code" else 119 - at[-1]) >= 60}
     assert silent and {r.poll_id for r in got if r.reason == "stale"} == silent
+
+
+def test_voters_are_held_in_parts(spark, tmp_path):
+    """State has no row for each voter, and holds for each one the earliest vote over batches."""
+    feed, ends = Feed(spark, tmp_path), int(time.time() * 1000) + 3_600_000
+    results = final_results(feed.stream(), Config())
+    feed.add([("p", f"v{i}", 1, "w", False, 10_000 + i) for i in range(5000)], ends)
+    feed.run(results)
+    assert state_rows(spark, str(tmp_path / "c"), "voted").count() <= 32 * 64
+    feed.add([("p", f"v{i}", 2, "w", False, i if i % 2 else 20_000 + i) for i in range(4900, 5100)], ends)
+    feed.run(results)
+    counts = {r.key.option_id if "option_id" in r.key else r.user_map_key.option_id: r.user_map_value.n for r in state_rows(spark, str(tmp_path / "c"), "counts").collect()}
+    assert counts == {1: 4950, 2: 150}
