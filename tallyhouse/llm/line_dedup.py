@@ -33,8 +33,10 @@ from .textkit import NOT_BLANK, mix, pieces, shingles, string_parts, word_hashes
 BROADCAST_LINES = 2_000_000
 #: Tokens of several lines up to which their set may be broadcast (8 bytes each); beyond, postings are shuffled.
 BROADCAST_TOKENS = 3_000_000
-#: Lines up to which a list of them may be broadcast (16 to 24 bytes each).
+#: Lines up to which a list of them may be broadcast (16 to 28 bytes each).
 BROADCAST_WANTED = 1_000_000
+#: Longs of a line's parity bitmap, a power of two: one alone tells little of lines of over 100 tokens.
+BITMAPS = 4
 
 
 def _token_sets(data: np.ndarray, offsets: np.ndarray, k: int, least_words: int):
@@ -103,21 +105,21 @@ def _once(value: Column) -> Column:
     return F.explode(F.array(value))
 
 
-def _native_lines(low: DataFrame, k: int, num: int, den: int, least_words: int, whole: bool, wanted: DataFrame | None = None) -> DataFrame:
-    """Rows of ``LINES`` by functions alone; of the lines ``wanted`` (id, line), if given, only."""
-    lines = low.select("id", F.posexplode(F.split(_spaced(F.col("low")), "\n")).alias("line", "s"))
+def _native_lines(docs: DataFrame, k: int, num: int, den: int, least_words: int, whole: bool, wanted: DataFrame | None = None) -> DataFrame:
+    """Rows of ``LINES`` of texts (id, text) by functions alone; of the lines ``wanted`` (id, line), if given, only."""
+    lines = docs.select("id", F.posexplode(F.split("text", "\n")).alias("line", "s"))
     if wanted is not None:
         lines = lines.join(wanted, ["id", "line"], "left_semi")
-    hashed = lines.select("id", "line", _once(F.array_remove(F.transform(F.split("s", " "), lambda w: F.xxhash64(w)), F.xxhash64(F.lit("")))).alias("h"))
-    hashed = hashed.where(F.size("h") >= max(1, least_words))
-    def runs(h: Column) -> Column:
+
+    def runs(w: Column) -> Column:
         # nulls behind the last word of a line of under k words leave a hash as it is
-        first = F.slice(h, F.lit(1), F.greatest(F.size(h) - (k - 1), F.lit(1)))
-        return F.transform(first, lambda w, i: F.xxhash64(w, *[F.get(h, i + j) for j in range(1, k)]))
+        first = F.slice(w, F.lit(1), F.greatest(F.size(w) - (k - 1), F.lit(1)))
+        return F.when(F.size(w) >= max(1, least_words), F.transform(first, lambda x, i: F.xxhash64(x, *[F.get(w, i + j) for j in range(1, k)])))
 
-    # the words go through a one-element array, so that a run reads them in place
-    tokens = F.get(F.transform(F.array("h"), runs), 0)
-    made = hashed.select("id", "line", F.sort_array(F.array_distinct(tokens)).alias("t"))
+    # the words go through a one-element array: cut once, read in place by each run, and never copied into a row
+    words = F.array_remove(F.split(_spaced(F.lower("s")), " "), "")
+    hashed = lines.select("id", "line", _once(F.get(F.transform(F.array(words), runs), 0)).alias("h")).where("h is not null")
+    made = hashed.select("id", "line", _once(F.sort_array(F.array_distinct("h"))).alias("t"))
     n = F.size("t")
     prefix = F.slice("t", F.lit(1), n - F.floor((n * num + (den - 1)) / F.lit(den)).cast("int") + 1)
     return made.select("id", "line", F.xxhash64("t").alias("key1"), F.xxhash64(F.lit(1), "t").alias("key2"), n.alias("n"), (F.col("t") if whole else prefix).alias("tokens"))
@@ -145,15 +147,17 @@ def _alike(num: int, den: int) -> Column:
     return F.size(F.array_intersect("x.t", "y.t")) * (num + den) >= (F.col("x.n") + F.col("y.n")) * num
 
 
-def _bitmap(tokens: Column) -> Column:
-    """63 bits: whether the tokens of each remainder are odd in number."""
-    powers = F.lit([1 << i for i in range(63)])
-    return F.aggregate(tokens, F.lit(0).cast("long"), lambda b, t: b.bitwiseXOR(F.coalesce(F.get(powers, F.pmod(t, F.lit(63)).cast("int")), F.lit(0))))
+def _bitmaps(sets: DataFrame, which: list[str]) -> DataFrame:
+    """``which`` and ``bits``, ``BITMAPS`` longs: whether the tokens ``t`` of each remainder are odd in number."""
+    own = [F.expr(f"bit_xor(case when (token >> 6) & {BITMAPS - 1} = {j} then shiftleft(1L, cast(token & 63 as int)) else 0L end)").alias(f"b{j}") for j in range(BITMAPS)]
+    bits = sets.select(*which, F.explode("t").alias("token")).groupBy(*which).agg(*own)
+    return bits.select(*which, F.struct(*[f"b{j}" for j in range(BITMAPS)]).alias("bits"))
 
 
 def _bits_fit(num: int, den: int) -> Column:
     """Bits that differ are no more than the tokens that differ, n + m - 2 * o."""
-    return F.bit_count(F.col("x.bits").bitwiseXOR(F.col("y.bits"))) * (num + den) <= (F.col("x.n") + F.col("y.n")) * (den - num)
+    differ = sum((F.bit_count(F.col(f"x.bits.b{j}").bitwiseXOR(F.col(f"y.bits.b{j}"))) for j in range(BITMAPS)), F.lit(0))
+    return differ * (num + den) <= (F.col("x.n") + F.col("y.n")) * (den - num)
 
 
 def _small(df: DataFrame, most: int) -> DataFrame:
@@ -164,17 +168,18 @@ def _small(df: DataFrame, most: int) -> DataFrame:
 def similar_lines(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, least_words: int = 5, native: bool = True) -> DataFrame:
     """(id, line) of the lines of ``docs`` (id, text) that an earlier line is similar to."""
     spark = docs.sparkSession
-    low = docs.select("id", F.lower("text").alias("low"))
+    low = docs.select("id", F.lower("text").alias("low"))  # of numpy's form; the native one lower-cases lines
     which = ["id", "line", "key1"]
-    made = _native_lines(low, k, num, den, least_words, False) if native else low.mapInArrow(_lines(k, num, den, least_words, False), LINES)
+    made = _native_lines(docs, k, num, den, least_words, False) if native else low.mapInArrow(_lines(k, num, den, least_words, False), LINES)
     lines, lines_uri = written_at(made, "lines")
     # of equal sets, the first one's postings are compared
-    # a place as one number, as the least struct would be found by sorting all lines
-    place = F.col("id").cast("decimal(19,0)") * F.lit(1 << 31).cast("decimal(10,0)") + F.col("line").cast("decimal(10,0)")
-    same = lines.groupBy("key1", "key2").agg(F.min(place).alias("first"), F.max(place).alias("last"))
-    same = written(same.where("first <> last").select("key1", "key2", "first"), "same")
+    # first id, then line: longs are aggregated in compiled code, a struct or decimal isn't
+    same = lines.groupBy("key1", "key2").agg(F.count("*").alias("c"), F.min("id").alias("first_id"))
+    same = written(same.where("c > 1").select("key1", "key2", "first_id"), "repeated")
+    same = lines.join(_small(same, BROADCAST_WANTED), ["key1", "key2"]).where("id = first_id")
+    same = written(same.groupBy("key1", "key2", "first_id").agg(F.min("line").alias("first_line")), "same")
     told = lines.join(_small(same, BROADCAST_WANTED), ["key1", "key2"], "left")
-    later = F.col("first").isNotNull() & (F.col("first") != place)
+    later = F.col("first_id").isNotNull() & ((F.col("id") != F.col("first_id")) | (F.col("line") != F.col("first_line")))
     copies, own = written(told.where(later).select("id", "line"), "copies"), told.where(~later)
 
     # most prefix tokens occur once: only those of two lines or more are joined
@@ -192,12 +197,11 @@ def similar_lines(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, le
     wanted = written(later.select(*which).union(partner.select(*which)).distinct(), "wanted")
 
     places = _small(wanted, BROADCAST_WANTED)
-    texts = only_ids(low.where("id is not null"), wanted.select("id").distinct(), "left_semi")
+    texts = only_ids((docs if native else low).where("id is not null"), wanted.select("id").distinct(), "left_semi")
     again = _native_lines(texts, k, num, den, least_words, True, places.select("id", "line")) if native else texts.mapInArrow(_lines(k, num, den, least_words, True), LINES)
-    sets = again.select(*which, "n", F.col("tokens").alias("t"), _bitmap(F.col("tokens")).alias("bits")).join(places, which)
-    sets = written(sets.dropDuplicates(which), "sets")
-    # sets travel only with postings whose bitmaps fit
-    bits, t = sets.select(*which, "bits"), sets.select(*which, "t")
+    sets = again.select(*which, F.col("tokens").alias("t")).join(places, which)
+    t = written(sets.dropDuplicates(which), "sets")
+    bits = written(_bitmaps(t, which), "bits")
     x, y = later.join(bits, which).alias("x"), partner.join(bits, which).alias("y")
     fits = pair & _bits_fit(num, den)
     x = written(x.join(y, fits, "left_semi").select("x.*"), "fitting").alias("x")
